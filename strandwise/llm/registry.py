@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import bpe, line_dedup, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op7_quality_rules": quality.SQL}
