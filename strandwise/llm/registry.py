@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, lm_scoring, packing, quality, simhash, substring, token_counts, topk
+from . import bpe, html_text, line_dedup, lm_scoring, packing, quality, simhash, substring, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_bpe": bpe.op5_bpe,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality.op7_quality_rules,
