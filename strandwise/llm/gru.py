@@ -180,8 +180,11 @@ class Model:
             g /= count
         return grads, -float(logp.sum()), count, hs[-1]
 
-    def train(self, windows: Windows, adam: dict, rate: float) -> int:
-        """One pass over the windows with Adam, gradients clipped by norm; returns the number of tokens."""
+    def train(self, windows: Windows, adam: dict, rate: float, full: int) -> int:
+        """One pass over the windows with Adam, gradients clipped by norm; returns the number of tokens.
+
+        A window of fewer than `full` tokens moves the parameters less: at the end of a batch a few long texts are left alone.
+        """
         seen = 0
         h = np.zeros((0, self.hidden), np.float32)
         for x, y, begin, doc in windows:
@@ -190,13 +193,14 @@ class Model:
             seen += count
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             adam["t"] = adam.get("t", 0) + 1
+            step = np.float32(rate * min(1.0, count / full))
             fix1, fix2 = 1 - 0.9 ** adam["t"], 1 - 0.99 ** adam["t"]
             for k, g in grads.items():
                 if norm > 1:
                     g = g / np.float32(norm)
                 m = adam[k, 0] = 0.9 * adam.get((k, 0), 0) + np.float32(0.1) * g
                 v = adam[k, 1] = 0.99 * adam.get((k, 1), 0) + np.float32(0.01) * g * g
-                self.p[k] = (self.p[k] - np.float32(rate) * (m / np.float32(fix1)) / (np.sqrt(v / np.float32(fix2)) + np.float32(1e-6))).astype(np.float32)
+                self.p[k] = (self.p[k] - step * (m / np.float32(fix1)) / (np.sqrt(v / np.float32(fix2)) + np.float32(1e-6))).astype(np.float32)
         return seen
 
     def score(self, texts: list[np.ndarray], width: int, steps: int, first: int) -> np.ndarray:

@@ -78,6 +78,18 @@ class Coder:
         self.dims = gru.shapes(n, HEADS + SHAPES, HEADS, WIDTH, HIDDEN)
         self.first = int(self.id[self.index[END]]) if END in self.index else n - 1
 
+    def start(self, mass: np.ndarray) -> dict[str, np.ndarray]:
+        """First parameters: small random weights, and biases from the counts (mass: that of each spelling class), so that the
+        untrained model is about the unigram one."""
+        p = gru.start(self.dims)
+        counts = np.full(HEADS * WIDTH, 1e-6)
+        counts[: self.own] = 10 ** self.log_count[: self.own]
+        grid = counts.reshape(WIDTH, HEADS).T  # as out_class and out_slot have them
+        p["ob"] = np.log(grid).astype(np.float32)
+        p["cb"] = np.log(np.concatenate([grid.sum(1), np.maximum(mass, 1)])).astype(np.float32)
+        p["cb"] -= p["cb"].max()
+        return p
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places of the words and the end among the common words (-1: elsewhere), output ids, and the words elsewhere."""
         tokens = [*words(text), END]
@@ -90,13 +102,13 @@ class Coder:
         return at, self.id[places], others
 
 
-def fit(texts: DataFrame, coder: Coder, key: Column) -> np.ndarray:
+def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.ndarray:
     """Parameters after len(RATES) passes, each over its own part of the texts by `key`, so that every text is used once.
 
     In a pass each task trains on its rows from the pass's first parameters; the new ones are the means, weighted by tokens.
     Sums of whole numbers make them the same whatever order tasks end in. What comes to the driver is one set of parameters.
     """
-    params = gru.flatten(gru.start(coder.dims))
+    params = gru.flatten(coder.start(mass))
     for r, rate in enumerate(RATES):
         frozen = params
 
@@ -105,7 +117,7 @@ def fit(texts: DataFrame, coder: Coder, key: Column) -> np.ndarray:
             seen, adam = 0, {}
             for b in batches:
                 ids = [coder.encode(t)[1] for t in b.column(0).to_pylist()]
-                seen += model.train(gru.Windows(ids, *TRAIN, coder.first), adam, rate) if ids else 0
+                seen += model.train(gru.Windows(ids, *TRAIN, coder.first), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
             if seen:
                 value = np.rint(gru.flatten(model.p) * 1e6).astype(np.int64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([value.tolist()], pa.list_(pa.int64()))], names=["seen", "value"])
@@ -152,7 +164,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     for x in counts.mapInArrow(by_shape, "shape long, mass long").groupBy("shape").agg(F.sum("mass").alias("mass")).collect():
         mass[x["shape"]] += x["mass"]
     log_mass = np.log10(mass.astype(np.float64))
-    params = fit(known, coder, F.xxhash64("doc_id", "text"))
+    params = fit(known, coder, mass, F.xxhash64("doc_id", "text"))
     sent = docs.sparkSession.sparkContext.broadcast((coder, params))
 
     def run(batches):
