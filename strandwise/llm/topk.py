@@ -76,14 +76,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): the k rows with the largest integer inner products with each query row, itself left out.
 
     Ties go to the smaller id. is_query is a condition on vec_id. Rows with a null vector, or with null or non-finite
-    components, or with a null id take no part; vectors of different lengths are compared with those of their own length only.
+    components, empty ones, or those with a null id take no part; vectors of different lengths are compared with those of their own length only.
     Rows that repeat an id are candidates each; of query rows that repeat an id the least vector asks. Queries with no candidate
     give no rows.
 
     Queries and candidates are dealt by a hash to blocks of bounded size, and every pair of blocks is one task, whose k best a
     query are merged by rank. Pivots are fitted on a bounded sample; they decide speed, not results.
     """
-    rows = whole_steps(vectors, id_col, vec_col).filter("vec_id is not null").withColumn("dim", F.size("v"))
+    rows = whole_steps(vectors, id_col, vec_col).filter("vec_id is not null and size(v) > 0").withColumn("dim", F.size("v"))
     total, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     n_x, n_q = max(1, -(-total // block)), max(1, -(-asked // query_block))
     sample = [x[0] for x in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
@@ -100,7 +100,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         grid = lambda t: np.array(t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
         ids = lambda t: t.column("vec_id").to_numpy()
         q = x = s = []
-        if left.num_rows and right.num_rows and left.column("dim")[0].as_py():
+        if left.num_rows and right.num_rows:
             d = left.column("dim")[0].as_py()
             a, b = grid(left), grid(right)
             p = fitted.get(d)
