@@ -28,14 +28,21 @@ def haystack(seq: Column, topology: Column, width: Column) -> Column:
     return F.when((topology == "circular") & (n >= width) & (width > 1), F.concat(seq, F.substr(seq, F.lit(1), width - 1))).otherwise(seq)
 
 
+def wrapped(seq: Column, topology: Column, width: Column) -> Column:
+    """As haystack, but a circular sequence shorter than the pattern is read round more than once."""
+    n = F.length(seq)
+    return F.when(topology == "circular", F.substr(F.repeat(seq, F.ceil(width / n).cast("int") + 1), F.lit(1), n + width - 1)).otherwise(seq)
+
+
 def scan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs (doc_id, n, hay, regex, width, ... ) with a row and a column start0 for each match of regex in hay.
+    """docs (doc_id, n, hay, regex, width, ... ) with a row for each match of regex in hay: its start0 and its text in hit.
 
     hay is cut into blocks that overlap by width - 1; other columns pass through.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.length("hay") - 1, F.lit(0)), F.lit(block))
     cut = docs.withColumn("__at", F.explode(starts)).withColumn("__part", F.substr("hay", F.col("__at") + 1, block + F.col("width") - 1))
     found = cut.drop("hay").withColumn("__start", F.explode(match_starts(F.col("__part"), F.col("regex"))))
+    found = found.withColumn("hit", F.substr("__part", (F.col("__start") + 1).cast("int"), F.col("width")))
     return found.withColumn("start0", F.col("__at") + F.col("__start")).drop("__at", "__start", "__part")
 
 
