@@ -32,7 +32,12 @@ def unflatten(flat: np.ndarray, dims: dict[str, tuple[int, ...]]) -> dict[str, n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; a large negative x overflows to infinity, whose reciprocal is the right zero."""
+    with np.errstate(over="ignore"):
+        np.negative(x, out=x)
+        np.exp(x, out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
 
 
 def lanes(texts: list[np.ndarray], width: int) -> list[list[int]]:
@@ -48,9 +53,14 @@ def lanes(texts: list[np.ndarray], width: int) -> list[list[int]]:
 
 class Windows:
     """Texts (arrays of output ids, the last one the end) as windows of steps x lanes; a lane is cut after each window, but the
-    state goes on. first: the input of a text's first step."""
-
-    def __init__(self, texts: list[np.ndarray], width: int, steps: int, first: int):
+    state goes on. first: the input of a text's first step. longest: texts above this length are cut into texts of it (each
+    from a fresh state, but after its true predecessor), so that lanes stay even; for training only."""
+
+    def __init__(self, texts: list[np.ndarray], width: int, steps: int, first: int, longest: int | None = None):
+        firsts = [first] * len(texts)
+        if longest:
+            cut = [(t[k : k + longest], t[k - 1] if k else first) for t in texts for k in range(0, len(t), longest)]
+            texts, firsts = [t for t, _ in cut], [f for _, f in cut]
         dealt = lanes(texts, width)
         self.steps = steps
         lengths = [sum(len(texts[i]) for i in lane) for lane in dealt]
@@ -65,7 +75,7 @@ class Windows:
                 t = texts[i]
                 m = len(t)
                 self.y[at : at + m, k] = t
-                self.x[at, k] = first
+                self.x[at, k] = firsts[i]
                 self.x[at + 1 : at + m, k] = t[:-1]
                 self.begin[at, k] = True
                 self.doc[at : at + m, k] = i
@@ -91,8 +101,10 @@ class Model:
         p, n = self.p, self.hidden
         hs = np.empty((*x.shape, n), np.float32)
         back = []
+        any_begin = begin.any(1)
         for t in range(len(x)):
-            h = np.where(begin[t][:, None], np.float32(0), h)
+            if any_begin[t]:
+                h = h * ~begin[t][:, None]
             g = p["E"][x[t]] + p["b"]
             u = h @ p["U"]
             zr = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
@@ -109,7 +121,7 @@ class Model:
         """Natural log probability of each output (rows) given its state; with grads, also the states' gradients of the loss."""
         p = self.p
         logits = hs @ p["C"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
+        # biases and states are bounded, so exponents stay in range without taking the maximum out
         e = np.exp(logits)
         total = e.sum(1)
         k = self.out_class[y]
@@ -117,7 +129,8 @@ class Model:
         logp = logits[rows, k] - np.log(total)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
+            d = e
+            d /= total[:, None]
             d[rows, k] -= 1
             grads["C"] += hs.T @ d
             grads["cb"] += d.sum(0)
@@ -130,8 +143,8 @@ class Model:
             i = inner[edges[c] : edges[c + 1]]
             if not len(i):
                 continue
-            a = hs[i] @ p["O"][c] + p["ob"][c]
-            a -= a.max(1, keepdims=True)
+            own = hs[i]
+            a = own @ p["O"][c] + p["ob"][c]
             e = np.exp(a)
             total = e.sum(1)
             at = np.arange(len(i))
@@ -139,7 +152,7 @@ class Model:
             if grads is not None:
                 d = e / total[:, None]
                 d[at, slot[i]] -= 1
-                grads["O"][c] += hs[i].T @ d
+                grads["O"][c] += own.T @ d
                 grads["ob"][c] += d.sum(0)
                 dh[i] += d @ p["O"][c].T
         return logp, dh

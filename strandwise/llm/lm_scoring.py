@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,11 @@ from . import gru
 from .common import Scratch
 
 #: The model's word classes and the words in each, spelling classes for all other words, and hidden units.
-HEADS, WIDTH, SHAPES, HIDDEN = 32, 16, 32, 24
+HEADS, WIDTH, SHAPES, HIDDEN = 16, 24, 32, 12
 #: Lanes and steps of a training window and of a scoring window, passes into which training is cut, and their rates.
-TRAIN, SCORE, RATES = (96, 16), (256, 32), (0.02, 0.01, 0.004)
+TRAIN, SCORE, RATES = (256, 16), (512, 32), (0.03, 0.02, 0.008)
+#: Tokens after which a text starts a new lane in training; scores carry the state through whole texts.
+SEGMENT = 512
 #: Words with at least 1/COMMON of all tokens are sent to every task: at most COMMON of them; the rest is joined.
 COMMON = 1 << 20
 #: Counts that a task holds before it hands them on.
@@ -93,8 +96,7 @@ class Coder:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places of the words and the end among the common words (-1: elsewhere), output ids, and the words elsewhere."""
         tokens = [*words(text), END]
-        get = self.index.get
-        at = np.array([get(w, -1) for w in tokens], np.int64)
+        at = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
         rare = np.flatnonzero(at < 0)
         others = [tokens[i] for i in rare.tolist()]
         places = at.copy()
@@ -117,7 +119,7 @@ def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.nda
             seen, adam = 0, {}
             for b in batches:
                 ids = [coder.encode(t)[1] for t in b.column(0).to_pylist()]
-                seen += model.train(gru.Windows(ids, *TRAIN, coder.first), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
+                seen += model.train(gru.Windows(ids, *TRAIN, coder.first, SEGMENT), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
             if seen:
                 value = np.rint(gru.flatten(model.p) * 1e6).astype(np.int64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([value.tolist()], pa.list_(pa.int64()))], names=["seen", "value"])
