@@ -169,3 +169,43 @@ def consequence(before: Column, after: Column) -> Column:
         .when((stop(q) > 0) & ((stop(p) == 0) | (stop(q) < stop(p))), "nonsense").when((stop(p) > 0) & ((stop(q) == 0) | (stop(q) > stop(p))), "stop_lost")
         .when(p == q, "synonymous").otherwise("missense")
     )
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of an ASCII text, as a long."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * 16777619) % F.lit(4294967296))
+
+
+def rotations(pairs: DataFrame, k: int = 21) -> DataFrame:
+    """(doc_id, rotation, votes): where circular query begins on circular reference; null votes where it is the same but for that.
+
+    pairs (doc_id, reference, query). Else k-mers vote that the reference has once: pairs meet k-mer by k-mer in one equi-join, and
+    the rotation with most votes wins, then the smallest; a pair without such k-mers has a null rotation.
+    """
+    every = pairs
+    at = F.when(F.length("reference") == F.length("query"), F.expr("instr(concat(reference, reference), query)")).otherwise(0)
+    exact = pairs.select("doc_id", at.cast("long").alias("at"))
+    pairs = pairs.join(exact.filter("at = 0").select("doc_id"), "doc_id", "left_semi")
+
+    def kmers(c):
+        n = F.length(c)
+        hay = F.concat(c, F.substr(c, F.lit(1), F.lit(k - 1)))
+        return pairs.select("doc_id", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(hay, i, F.lit(k)))).alias("pos", "kmer"))
+
+    once = W.partitionBy("doc_id", "kmer")
+    ref = kmers(F.col("reference")).withColumn("c", F.count(F.lit(1)).over(once)).filter("c = 1").select("doc_id", "kmer", F.col("pos").alias("r"), "n")
+    votes = ref.join(kmers(F.col("query")).select("doc_id", "kmer", "pos"), ["doc_id", "kmer"]).groupBy("doc_id", F.pmod(F.col("r") - F.col("pos"), F.col("n")).cast("long").alias("rotation")).agg(F.count(F.lit(1)).alias("votes"))
+    best = W.partitionBy("doc_id").orderBy(F.desc("votes"), "rotation")
+    voted = votes.withColumn("x", F.row_number().over(best)).filter("x = 1").drop("x")
+    j = every.select("doc_id").join(exact, "doc_id").join(voted, "doc_id", "left")
+    return j.select("doc_id", F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.col("rotation")).alias("rotation"), "votes")
+
+
+def summary(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_differences, edit_distance, identity_percent) of every pair; gaps count in the aligned length."""
+    size = F.greatest(F.length("ref_bases"), F.length("qry_bases"))
+    d = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum(size).alias("e"), F.sum(F.length("qry_bases") - F.length("ref_bases") + F.greatest(F.length("ref_bases") - F.length("qry_bases"), F.lit(0))).alias("gaps"))
+    j = pairs.select("doc_id", F.length("reference").alias("n")).join(d, "doc_id", "left")
+    e, aligned = F.coalesce("e", F.lit(0)), F.col("n") + F.coalesce("gaps", F.lit(0))
+    return j.select("doc_id", F.coalesce("k", F.lit(0)).alias("n_differences"), e.alias("edit_distance"), ((aligned - e) * 100.0 / aligned).alias("identity_percent"))

@@ -56,3 +56,26 @@ def search(kinds: dict[str, DataFrame], query: str, most: int = 40) -> DataFrame
         part = df.filter(F.contains(F.lower("label"), F.lit(q))).select(F.lit(k).alias("__k"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "label")
         found = part if found is None else found.unionByName(part)
     return found.orderBy("__k", "label", "id").limit(most).drop("__k")
+
+
+def parse_coordinates(text: Column) -> dict[str, Column]:
+    """start1 and end1 of ":12", "12", "12-30" or "12..30"; null for other texts, for place 0, and for ends before their start."""
+    rx = r"^:?(\d{1,9})(?:\s*(?:-|\.\.)\s*(\d{1,9}))?$"
+    t = F.trim(text)
+    a = F.nullif(F.regexp_extract(t, rx, 1), F.lit("")).cast("long")
+    b = F.coalesce(F.nullif(F.regexp_extract(t, rx, 2), F.lit("")).cast("long"), a)
+    ok = (a >= 1) & (b >= a)
+    return {"start1": F.when(ok, a), "end1": F.when(ok, b)}
+
+
+def projects(list_of: DataFrame, most: int = 250) -> DataFrame:
+    """Each user's latest `most` projects (user_id, project_id, updated), with their place in the list."""
+    w = W.partitionBy("user_id").orderBy(F.desc("updated"), "project_id")
+    return list_of.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= most)
+
+
+def restore(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """(doc_id, version, hash): a new version with an old one's content, for requests (doc_id, to_version); unknown ones give none."""
+    last = history.groupBy("doc_id").agg(F.max("version").alias("last"))
+    j = requests.join(history.withColumnRenamed("version", "to_version"), ["doc_id", "to_version"]).join(last, "doc_id")
+    return j.select("doc_id", (F.col("last") + 1).alias("version"), "hash")
