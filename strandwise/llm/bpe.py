@@ -6,12 +6,15 @@ import base64
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts longer than this are encoded part by part.
 PART_CHARS = 1 << 16
+#: Ids that a task gathers before it hands them on.
+BATCH_IDS = 1 << 19
 #: Places where a match of the split pattern always ends, whatever follows: before a blank or line feed after an ASCII letter
 #: or digit, and between an ASCII letter and a digit.
 SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -57,8 +60,16 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         enc = encoding(*own)
         for b in batches:
-            ids = [[t for p in parts(x) for t in enc.encode_ordinary(p)] if x else [] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            held, first, size = [], 0, 0
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py() or ""
+                held.append(np.concatenate([np.zeros(0, np.uint32), *(enc.encode_to_numpy(p, disallowed_special=()) for p in parts(text))]).astype(np.int32))
+                size += len(held[-1])
+                # hand on what has gathered: a batch of long texts never stands in memory as ids
+                if size > BATCH_IDS or k == b.num_rows - 1:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.ListArray.from_arrays(offsets, np.concatenate(held))], names=["doc_id", "ids"])
+                    held, first, size = [], k + 1, 0
 
     kind = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -71,8 +82,14 @@ def decode_ids(tokens: DataFrame, rank_file: str | None = None, pattern: str | N
     def run(batches):
         enc = encoding(*own)
         for b in batches:
-            ids = b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([enc.decode_bytes(x) if x else b"" for x in ids.to_pylist()], pa.binary())], names=["doc_id", "ids", "decoded"])
+            sizes = np.cumsum([len(x) if x.is_valid else 0 for x in b.column(1)])
+            first = 0
+            while first < b.num_rows:
+                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BATCH_IDS, "right")))
+                c = b.slice(first, last - first)
+                out = [enc.decode_bytes(x.values.to_pylist()) if x.is_valid else b"" for x in c.column(1)]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+                first = last
 
     kind = dict(tokens.dtypes)["doc_id"]
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
