@@ -53,16 +53,12 @@ def lanes(texts: list[np.ndarray], width: int) -> list[list[int]]:
 
 class Windows:
     """Texts (arrays of output ids, the last one the end) as windows of steps x lanes; a lane is cut after each window, but the
-    state goes on. first: the input of a text's first step. longest: texts above this length are cut into texts of it (each
-    from a fresh state, but after its true predecessor), so that lanes stay even; for training only."""
+    state goes on. first: the input of a text's first step. longest: where few lanes are left, windows take more steps, up to
+    this many, so that they hold about width * steps tokens as before; for training only."""
 
     def __init__(self, texts: list[np.ndarray], width: int, steps: int, first: int, longest: int | None = None):
-        firsts = [first] * len(texts)
-        if longest:
-            cut = [(t[k : k + longest], t[k - 1] if k else first) for t in texts for k in range(0, len(t), longest)]
-            texts, firsts = [t for t, _ in cut], [f for _, f in cut]
         dealt = lanes(texts, width)
-        self.steps = steps
+        self.steps, self.full, self.longest = steps, width * steps, longest or steps
         lengths = [sum(len(texts[i]) for i in lane) for lane in dealt]
         n = max(lengths, default=0)
         self.y = np.zeros((n, len(dealt)), np.int32)
@@ -75,7 +71,7 @@ class Windows:
                 t = texts[i]
                 m = len(t)
                 self.y[at : at + m, k] = t
-                self.x[at, k] = firsts[i]
+                self.x[at, k] = first
                 self.x[at + 1 : at + m, k] = t[:-1]
                 self.begin[at, k] = True
                 self.doc[at : at + m, k] = i
@@ -83,9 +79,11 @@ class Windows:
         self.lengths = np.array(lengths)
 
     def __iter__(self):
-        for t in range(0, len(self.y), self.steps):
+        t = 0
+        while t < len(self.y):
             b = int((self.lengths > t).sum())
-            s = slice(t, t + self.steps)
+            s = slice(t, t + max(self.steps, min(self.longest, self.full // b)))
+            t = s.stop
             yield self.x[s, :b], self.y[s, :b], self.begin[s, :b], self.doc[s, :b]
 
 
@@ -210,10 +208,22 @@ class Model:
             fix1, fix2 = 1 - 0.9 ** adam["t"], 1 - 0.99 ** adam["t"]
             for k, g in grads.items():
                 if norm > 1:
-                    g = g / np.float32(norm)
-                m = adam[k, 0] = 0.9 * adam.get((k, 0), 0) + np.float32(0.1) * g
-                v = adam[k, 1] = 0.99 * adam.get((k, 1), 0) + np.float32(0.01) * g * g
-                self.p[k] = (self.p[k] - step * (m / np.float32(fix1)) / (np.sqrt(v / np.float32(fix2)) + np.float32(1e-6))).astype(np.float32)
+                    g /= np.float32(norm)
+                if (k, 0) not in adam:
+                    adam[k, 0], adam[k, 1] = np.zeros_like(g), np.zeros_like(g)
+                m, v = adam[k, 0], adam[k, 1]
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                np.multiply(g, g, out=g)
+                g *= np.float32(0.01)
+                v *= np.float32(0.99)
+                v += g
+                np.divide(v, np.float32(fix2), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-6)
+                np.divide(m, g, out=g)
+                g *= step / np.float32(fix1)
+                self.p[k] = self.p[k] - g
         return seen
 
     def score(self, texts: list[np.ndarray], width: int, steps: int, first: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import repeat
 
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import Scratch
 
-#: The model's word classes and the words in each, spelling classes for all other words, and hidden units.
-HEADS, WIDTH, SHAPES, HIDDEN = 16, 24, 32, 12
+#: The most frequent words that make up SHARE of all tokens are neural, LEAST of them at least, in HEADS word classes at least;
+#: spelling classes for all other words, and hidden units.
+SHARE, LEAST, HEADS, SHAPES, HIDDEN = 0.6, 512, 32, 32, 24
 #: Lanes and steps of a training window and of a scoring window, passes into which training is cut, and their rates.
 TRAIN, SCORE, RATES = (256, 16), (512, 32), (0.03, 0.02, 0.008)
-#: Tokens after which a text starts a new lane in training; scores carry the state through whole texts.
-SEGMENT = 512
+#: Steps of a training window where few long texts are left; the state is carried through whole texts, as in scoring.
+LONGEST = 128
+#: Parameters in a block, the unit in which the tasks' parameters are added up.
+BLOCK = 1 << 12
 #: Words with at least 1/COMMON of all tokens are sent to every task: at most COMMON of them; the rest is joined.
 COMMON = 1 << 20
 #: Counts that a task holds before it hands them on.
@@ -65,29 +69,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Coder:
     """Words to output ids: the most frequent ones have ids of their own in word classes, the others share ids by spelling."""
 
-    def __init__(self, common: list[tuple[bytes, int]]):
-        """common: (word, count), most frequent first."""
-        own = min(len(common), HEADS * WIDTH)
+    def __init__(self, common: list[tuple[bytes, int]], total: int | None = None):
+        """common: (word, count), most frequent first. total: tokens of the corpus, if there are more than those of common."""
+        sums = np.cumsum([c for _, c in common])
+        share = int(np.searchsorted(sums, SHARE * (total or (sums[-1] if common else 0)))) + 1
+        own = min(len(common), max(LEAST, share))
+        heads = max(HEADS, math.isqrt(own) // 2)
+        width = max(LEAST // HEADS, -(-own // heads))
+        self.heads, self.width = heads, width
         self.index = {w: i for i, (w, _) in enumerate(common)}
         self.log_count = np.log10(np.array([c for _, c in common], np.float64) + 1)
         self.own = own
-        self.spelled = HEADS * WIDTH
+        self.spelled = heads * width
         #: of the common words, then of spelling class s at len(common) + s
         self.id = np.concatenate([np.arange(own), self.spelled + np.array([_SHAPE[w[-1]] if w else 31 for w, _ in common[own:]], np.int64), self.spelled + np.arange(SHAPES)]).astype(np.int32)
-        n = HEADS * WIDTH + SHAPES
+        n = heads * width + SHAPES
         # frequent words are spread over the classes, so that each class has some of every frequency
-        self.out_class = np.concatenate([np.arange(HEADS * WIDTH) % HEADS, HEADS + np.arange(SHAPES)]).astype(np.int32)
-        self.out_slot = np.concatenate([np.arange(HEADS * WIDTH) // HEADS, np.full(SHAPES, -1)]).astype(np.int32)
-        self.dims = gru.shapes(n, HEADS + SHAPES, HEADS, WIDTH, HIDDEN)
+        self.out_class = np.concatenate([np.arange(heads * width) % heads, heads + np.arange(SHAPES)]).astype(np.int32)
+        self.out_slot = np.concatenate([np.arange(heads * width) // heads, np.full(SHAPES, -1)]).astype(np.int32)
+        self.dims = gru.shapes(n, heads + SHAPES, heads, width, HIDDEN)
         self.first = int(self.id[self.index[END]]) if END in self.index else n - 1
 
     def start(self, mass: np.ndarray) -> dict[str, np.ndarray]:
         """First parameters: small random weights, and biases from the counts (mass: that of each spelling class), so that the
         untrained model is about the unigram one."""
         p = gru.start(self.dims)
-        counts = np.full(HEADS * WIDTH, 1e-6)
+        counts = np.full(self.heads * self.width, 1e-6)
         counts[: self.own] = 10 ** self.log_count[: self.own]
-        grid = counts.reshape(WIDTH, HEADS).T  # as out_class and out_slot have them
+        grid = counts.reshape(self.width, self.heads).T  # as out_class and out_slot have them
         p["ob"] = np.log(grid).astype(np.float32)
         p["cb"] = np.log(np.concatenate([grid.sum(1), np.maximum(mass, 1)])).astype(np.float32)
         p["cb"] -= p["cb"].max()
@@ -119,17 +128,21 @@ def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.nda
             seen, adam = 0, {}
             for b in batches:
                 ids = [coder.encode(t)[1] for t in b.column(0).to_pylist()]
-                seen += model.train(gru.Windows(ids, *TRAIN, coder.first, SEGMENT), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
+                seen += model.train(gru.Windows(ids, *TRAIN, coder.first, LONGEST), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
             if seen:
                 value = np.rint(gru.flatten(model.p) * 1e6).astype(np.int64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([value.tolist()], pa.list_(pa.int64()))], names=["seen", "value"])
+                blocks = [value[k : k + BLOCK].tobytes() for k in range(0, len(value), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "seen", "value"])
 
-        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").mapInArrow(run, "seen long, value array<long>")
-        sums = part.select("seen", F.posexplode("value").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"), F.sum("seen").alias("n"))
-        got = sums.select("k", (F.col("v").cast("double") / F.col("n") / 1e6).alias("v")).collect()
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in t.column("value"))
+            mean = total / (sum(t.column("seen").to_pylist()) * 1e6)
+            return pa.table({"block": t.column("block")[:1], "value": pa.array([mean.tobytes()], pa.binary())})
+
+        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").mapInArrow(run, "block int, seen long, value binary")
+        got = part.groupBy("block").applyInArrow(add, "block int, value binary").collect()
         if got:
-            params = np.zeros(len(params))
-            params[[x.k for x in got]] = [x.v for x in got]
+            params = np.concatenate([np.frombuffer(x.value) for x in sorted(got, key=lambda x: x.block)])
     return params
 
 
@@ -138,7 +151,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the unigram log10 probability with one added to every
     count. score is the recurrent model's: the class of each token given all before it, then the word in its class: by the model
-    for the HEADS * WIDTH most frequent words, by counts plus one for the words that share a spelling class, where words never
+    for the most frequent words that make up SHARE of all tokens, by counts plus one for the words that share a spelling class, where words never
     seen count as zero. Null text counts as empty (its one token is the end). A null held_out counts as false. Without any
     training rows both scores come from empty counts and an untrained model. Repeated rows are scored and counted each.
     """
@@ -149,7 +162,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     found = counts.filter(F.col("c") * COMMON >= total).collect() if total else []
     common = sorted(((bytes(x.word), x.c) for x in found), key=lambda x: (-x[1], x[0]))
-    coder = Coder(common)
+    coder = Coder(common, total)
 
     def by_shape(batches):
         for b in batches:

@@ -52,6 +52,29 @@ def test_outputs_are_probabilities():
     assert abs(np.exp(logp.astype(np.float64)).sum() - 1) < 1e-3
 
 
+def test_neural_words_follow_from_the_counts():
+    common = [(b"w%d" % i, 3000 - i) for i in range(3000)]
+    total = sum(c for _, c in common)
+    coder = lm_scoring.Coder(common, total)
+    assert sum(c for _, c in common[: coder.own]) >= lm_scoring.SHARE * total and coder.own > 512
+    assert lm_scoring.HIDDEN >= 24 and coder.heads >= 32 and coder.heads * coder.width >= coder.own
+    assert lm_scoring.Coder(common, 2 * total).own == 3000 and lm_scoring.Coder(common[:600], 10**9).own == 600
+    # a word with an id of its own, whatever the rank
+    assert len(set(coder.id[: coder.own])) == coder.own and coder.id[coder.own : 3000].min() >= coder.spelled
+
+
+def test_training_goes_through_whole_texts():
+    """One beginning a text, every token once, each after its predecessor, however long the text."""
+    texts = [np.arange(n, dtype=np.int32) + 1 for n in (5000, 40, 700)]
+    seen = Counter()
+    begins = 0
+    for x, y, begin, doc in gru.Windows(texts, 8, 16, 0, lm_scoring.LONGEST):
+        begins += begin.sum()
+        assert (x == y - 1)[doc >= 0].all() and len(x) <= lm_scoring.LONGEST
+        seen.update(zip(doc[doc >= 0].tolist(), y[doc >= 0].tolist(), strict=True))
+    assert begins == 3 and len(seen) == 5740 and set(seen.values()) == {1}
+
+
 def held(d):
     return zlib.crc32(str(d).encode()) % 7 == 2
 
