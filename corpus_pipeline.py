@@ -9,7 +9,7 @@ from strandwise.llm.common import Scratch, table
 from strandwise.llm.line_dedup import dedup_lines
 from strandwise.llm.packing import best_fit_packing, doc_tokens
 from strandwise.llm.quality import quality_rules
-from strandwise.llm.simhash import drop_near_duplicates
+from strandwise.llm.similar import drop_similar
 from strandwise.llm.substring import dedup_substrings
 
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies stays: those that share 0.8 of their five-word shingles."""
+    return drop_similar(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
