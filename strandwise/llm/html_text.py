@@ -128,7 +128,10 @@ def weights(inside: Counter, outside: Counter) -> dict[str, float]:
 
 
 def score_of(token: tuple, table: dict[str, float], against: bool) -> float:
-    """Score of a token: words count for the page's content where their context does, tags count against it."""
+    """Score of a token: words count for the page's content where their context does, tags count against it. Furniture inside
+    the marked content counts nothing: it is left out of the text, but the content goes on after it."""
+    if token[2] and token[4]:
+        return 0.0
     if token[0] == "text":
         n = len(token[1].split())
         return n * (min(table.get(_feature(token, True), -2.0), -0.5) if against else max(table.get(_feature(token, False), 2.0), 0.05)) if n else 0.0

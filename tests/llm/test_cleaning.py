@@ -172,3 +172,16 @@ def test_substring_columns(spark):
 def test_units_of_odd_texts(text):
     kept, starts, stops = substring.cut(text, np.zeros(0, np.uint64))
     assert len(starts) == len(stops) and kept is not None
+
+
+@pytest.mark.parametrize("links", [5, 10, 40])
+def test_html_furniture_inside_an_article_does_not_end_it(links):
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(links)) + "</ul>"
+    parts = [f"<nav>{menu}</nav>", f"<aside>{menu}</aside>", f'<div class="advert">{menu}</div>', f'<form action="/go">{menu}<input name="q"><button>Send</button></form>', f'<div class="share">{menu}<script>track("a < b");</script></div>']
+    inside, outside = Counter({"+p": 50_000, "+h1": 500}), Counter({"-li": 40_000, "-p": 9_000})
+    outside.update({f"<-{t}": 9_000 for t in ("li", "a", "ul", "nav", "aside", "/li", "/a", "/ul")})
+    table = html_text.weights(inside, outside)
+    for part in parts:
+        page = f"<html><body>{part}<article><h1>A short title</h1>{part}<p>{'middle words stand here ' * 30}</p>{part}<p>The last paragraph.</p></article>{part}</body></html>"
+        got = html_text.extract(page, table).split("\n\n")
+        assert got == ["A short title", ("middle words stand here " * 30).strip(), "The last paragraph."], part[:20]
