@@ -44,20 +44,38 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A session without the setting gets a temporary folder only if it runs in one process (local mode), where there is nothing
+    to share it with; on a cluster it is an error, as executors would write to disks of their own.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="strandwise-")
         shared_dir.own = place
     return place
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors.
+
+    A result is lazy and reads its tables when it is used, so they stay for the life of the application, whose end deletes the
+    whole folder; drop() removes a table that nothing reads any more.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/strandwise-{uuid.uuid4().hex}"
         self.count = 0
+        fs, path = self._at(self.base)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
@@ -65,10 +83,20 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
-    def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            fs, target = self._at(path)
+            fs.delete(target, True)
+
+
+def ceil_div(a: int, b: int) -> int:
+    return -(-a // b)
+
+
+def below(key: Column, share: float) -> Column:
+    """True for about that share of the rows, by a hash of key that is the same in every run. A sample taken with it costs one
+    scan: no rows are sorted and none move that aren't in it."""
+    return F.pmod(F.xxhash64(key, F.lit(41)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, hot: int = 512, salts: int = 64) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -53,6 +54,51 @@ def test_small_tries_change_nothing(monkeypatch):
     assert [trie.tokens(w) for w in words] == want
 
 
+def test_scores_are_log_probabilities():
+    scores = token_counts.vocabulary(token_counts.default_model())
+    assert abs(math.fsum(math.exp(s) for s in scores.values()) - 1) < 1e-9 and min(scores.values()) > -20
+    assert "▁" in scores and "▁▁" not in scores
+
+
+def test_frequent_words_are_one_token():
+    trie = token_counts.Trie(token_counts.vocabulary(token_counts.default_model()))
+    assert {w: trie.tokens(w.encode()) for w in ("the", "of", "quick", "international", "understanding")} == {w: 1 for w in ("the", "of", "quick", "international", "understanding")}
+
+
+def test_tokens_a_word_are_near_those_of_the_encoder():
+    """Over the words of a table of documents, not more than the merges give, and at most a tenth fewer."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    trie = token_counts.Trie(token_counts.vocabulary(token_counts.default_model()))
+    words = [w for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()[:120] for w in (t or "").encode().split()]
+    known = {w: len(sp.encode(w.decode())) for w in set(words)}
+    mine, theirs = sum(trie.tokens(w) for w in words), sum(known[w] for w in words)
+    assert 0.9 * theirs <= mine <= 1.02 * theirs
+
+
+def test_real_vocabulary_against_all_splits():
+    """The split with the largest product of probabilities, of all splits there are; equal sums take the longest last piece."""
+    scores = token_counts.vocabulary(token_counts.default_model())
+    trie = token_counts.Trie(scores)
+    for w in ("unbelievable", "haus", "straße", "x1y2", "日本x", "naïve", "q", "thethe"):
+        count, score = trie.scored(w.encode())
+        best = max(sum(scores.get(p, trie.unknown if len(p) == 1 else float("-inf")) for p in split) for split in every_split("▁" + w))
+        assert abs(score - best) < 1e-9 and count == plain_unigram("▁" + w, scores, trie.unknown)[1]
+
+
+def every_split(text):
+    for cuts in itertools.product((0, 1), repeat=len(text) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
+        yield [text[a:b] for a, b in itertools.pairwise(at)]
+
+
+def test_ties_take_the_longest_last_piece():
+    trie = token_counts.Trie({"▁": -1.0, "▁a": -1.0, "a": -1.0, "b": -1.0, "ab": -1.0})
+    assert trie.scored(b"ab") == (2, -2.0) and trie.scored(b"a") == (1, -1.0)
+
+
 def test_token_counts_rows(spark):
     rows = [(1, "hello hello world"), (1, "hello hello world"), (2, None), (3, ""), (None, " \n x y ")]
     got = sorted(((r.doc_id, r.n_pretokens, r.n_distinct, r.n_tokens) for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
