@@ -6,16 +6,22 @@ import html as entities
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages (those with one article or main element) that the weights are fitted on, at most, the characters such a page
-#: may have, and the features kept.
-LABELLED, LABELLED_CHARS, FEATURES = 1_000, 100_000, 4_000
-#: Weights are log odds within these bounds; a tag counts against its run by TAG at least.
-BOUND, TAG = 8.0, 0.05
+from .common import below
+
+#: Labelled pages (those with one article or main element) that the weights are fitted on, at most, and the characters up to
+#: which a page counts as a labelled one. Both are parameters of extract_text; every page is extracted, whatever its length.
+LABELLED, LABELLED_CHARS = 1_000, 1_000_000
+#: Strength of the data against the prior: words that all labelled pages together count for, at most, and the prior's precision.
+EVIDENCE, PRECISION, STEPS = 5_000.0, 1.0, 1_500
+#: Log odds against content from which an element speaks for all it holds, whatever stands inside it.
+FIRM = -2.0
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|(?P<text>[^<]+|<)""",
@@ -29,69 +35,81 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-#: Elements, and words in class, id or role, that make what they hold page furniture; those of HEAD only outside an article.
-FURNITURE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "head"}
-FURNITURE_WORDS = {
+CONTENT = ("article", "main")
+#: What the weights are before any page is seen: the fit starts from these values and moves them as the labelled pages say.
+#: Elements, and words in class, id or role (with a dot), that mostly hold page furniture; those that mostly hold content.
+FURNITURE = ("nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "head")
+FURNITURE_WORDS = (
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "promo", "promotion", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer",
     "comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share",
     "sharing", "social", "related", "recommended", "widget", "toolbar", "contentinfo", "complementary", "copyright", "pagination", "pager", "skip",
-}
-HEAD, HEAD_WORDS = {"header"}, {"header", "masthead", "topbar"}
-CONTENT = {"article", "main"}
+)
+PRIOR = {x: -4.0 for x in FURNITURE} | {f".{x}": -4.0 for x in FURNITURE_WORDS} | {"header": -1.5, ".header": -1.5, ".masthead": -1.5, ".topbar": -1.5} | {x: 2.0 for x in CONTENT}
+#: Words and tags inside and outside of content that are counted before any page is seen.
+DENSITY = {("word", True): 9, ("tag", True): 1, ("word", False): 5, ("tag", False): 5}
+
+
+class Weights(NamedTuple):
+    """feature: log odds of content that an open element adds by its name or a word of its class, id or role; word and tag: the
+    log odds of either kind of token, which are above and below zero as content has fewer tags a word."""
+
+    feature: dict[str, float]
+    word: float
+    tag: float
 
 
 def scan(page: str):
-    """The page in order: ("tag", name, is_furniture, mark, in_content) and ("text", text, is_furniture, context, in_content).
+    """The page in order: ("open", name, features), ("shut", depth, name), ("lone", name, ()) and ("text", text, ()).
 
-    mark is name and class words of a tag; context that of the nearest block around a text. Contents of RAW elements are left out.
+    depth is the number of open elements that stay; a lone tag opens nothing, be it void, raw or an end without a begin. Contents
+    of RAW elements are left out. Work is linear in the page, whatever its nesting: positions of open elements are kept by name.
     """
     at, n = 0, len(page)
-    stack: list[tuple[str, str, bool, bool]] = []  # name, mark, furniture, content
+    stack: list[str] = []
+    places: dict[str, list[int]] = {}
+
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop()].pop()
+
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
         if text is not None:
-            block = next((e for e in reversed(stack) if e[0] in BLOCK), ("", "", False, False))
-            top = stack[-1] if stack else block
-            yield "text", text, top[2], block[1], top[3]
+            yield "text", text, ()
             continue
         name = m["name"] or m["name2"]
         if name is None:
             continue
         name, is_end, rest = name.lower(), bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
         if is_end:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            was = stack[-1] if stack else ("", "", False, False)
-            if depth is not None:
-                was = stack[depth]
-                del stack[depth:]
-            yield "tag", name, was[2], "/" + name, was[3] and name not in CONTENT
+            if places.get(name):
+                depth = places[name][-1]
+                shut(depth)
+                yield "shut", depth, name
+            else:
+                yield "lone", name, ()
             continue
-        marks = _marks(rest) if rest else []
-        mark = ".".join([name, *marks[:4]])
         if name in RAW:
-            top = stack[-1] if stack else ("", "", False, False)
-            yield "tag", name, True, mark, top[3]
+            yield "lone", name, ()
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
         if name in VOID or rest.endswith("/"):
-            top = stack[-1] if stack else ("", "", False, False)
-            yield "tag", name, top[2], mark, top[3]
+            yield "lone", name, ()
             continue
-        if name in BLOCK and any(e[0] == "p" for e in stack):
-            # a block ends an open paragraph, with the inline elements left open in it
-            del stack[next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p") :]
-        if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-        outer = stack[-1] if stack else ("", "", False, False)
-        content = outer[3] or name in CONTENT
-        own = name in FURNITURE or not FURNITURE_WORDS.isdisjoint(marks) or (not content and (name in HEAD or not HEAD_WORDS.isdisjoint(marks)))
-        # what a page says of itself as a whole doesn't make all of it furniture
-        own = own and name not in ("html", "body", "main")
-        yield "tag", name, outer[2] or own, mark, outer[3]
-        stack.append((name, mark, outer[2] or own, content))
+        # a block ends an open paragraph, with the elements left open in it; an item ends the item before it
+        depth = places["p"][-1] if name in BLOCK and places.get("p") else len(stack) - 1 if name == "li" and stack and stack[-1] == "li" else None
+        if depth is not None:
+            ended = stack[depth]
+            shut(depth)
+            yield "shut", depth, ended
+        places.setdefault(name, []).append(len(stack))
+        stack.append(name)
+        # what holds the whole page tells nothing, nor does the name of a generic container
+        own = () if name in ("html", "body", "div", "span") else (name,)
+        yield "open", name, (*own, *(f".{x}" for x in _marks(rest))) if rest and name not in ("html", "body") else own
 
 
 def _marks(rest: str) -> list[str]:
@@ -105,50 +123,132 @@ def _marks(rest: str) -> list[str]:
     return sorted(out)
 
 
-def features(page: str) -> tuple[Counter, Counter]:
-    """Features of a labelled page inside and outside its content: words by context, tags by mark."""
-    inside, outside = Counter(), Counter()
-    for token in scan(page):
-        n = len(entities.unescape(token[1]).split()) if token[0] == "text" else 1
+class _Open:
+    """The open elements of a page, each with the features that it added to those of the elements around it."""
+
+    def __init__(self):
+        self.active: Counter = Counter()
+        self.added: list[tuple] = []
+
+    def open(self, features: tuple) -> tuple:
+        new = tuple(f for f in features if f not in self.active)
+        self.active.update(new)
+        self.added.append(new)
+        return new
+
+    def shut(self, depth: int) -> None:
+        while len(self.added) > depth:
+            for f in self.added.pop():
+                del self.active[f]
+
+
+def observations(page: str) -> tuple[Counter, Counter]:
+    """Of a labelled page, words by (features of the open elements, in content) and tokens by (kind, in content)."""
+    words: Counter = Counter()
+    kinds: Counter = Counter()
+    elements = _Open()
+    for kind, what, features in scan(page):
+        if kind == "open":
+            elements.open(features)
+        elif kind == "shut":
+            elements.shut(what)
+        inside = "article" in elements.active or "main" in elements.active
+        n = len(entities.unescape(what).split()) if kind == "text" else 1
         if n:
-            (inside if token[4] and not token[2] else outside)[_feature(token, token[2] or not token[4])] += n
-    return inside, outside
-
-
-def _feature(token: tuple, against: bool) -> str:
-    """A text's or tag's feature: its context or mark, and whether that is furniture or beside the marked content."""
-    return f"{'<' if token[0] == 'tag' else ''}{'-' if against else '+'}{token[3]}"
-
-
-def weights(inside: Counter, outside: Counter) -> dict[str, float]:
-    """Log odds of each feature, inside against outside."""
-    every = set(inside) | set(outside)
-    a, b = sum(inside.values()) + len(every), sum(outside.values()) + len(every)
-    return {f: max(-BOUND, min(BOUND, math.log((inside[f] + 1) / a) - math.log((outside[f] + 1) / b))) for f in every}
-
+            kinds["word" if kind == "text" else "tag", inside] += n
+            if kind == "text":
+                words[tuple(sorted(elements.active)), inside] += n
+    return words, kinds
 
-def score_of(token: tuple, table: dict[str, float], against: bool) -> float:
-    """Score of a token: words count for the page's content where their context does, tags count against it. Furniture inside
-    the marked content counts nothing: it is left out of the text, but the content goes on after it."""
-    if token[2] and token[4]:
-        return 0.0
-    if token[0] == "text":
-        n = len(token[1].split())
-        return n * (min(table.get(_feature(token, True), -2.0), -0.5) if against else max(table.get(_feature(token, False), 2.0), 0.05)) if n else 0.0
-    return min(table.get(_feature(token, against), -1.0), 0.0) - TAG
 
+def fit(words: Counter, kinds: Counter) -> Weights:
+    """Weights by logistic regression of the label on the features of the open elements, from PRIOR on.
 
-def extract(page: str | None, table: dict[str, float]) -> str:
-    """Text of the best contiguous run of a page, less the furniture inside it: one blank line between blocks."""
-    tokens = list(scan(page or ""))
-    marked = any(t[4] and not t[2] and t[0] == "text" for t in tokens)
+    Each observation counts half as it is and half without the elements that made its label, so that the other features are
+    learned too and hold on pages without those elements. The loss is convex and the steps are fixed: equal counts give equal
+    weights. Without observations they are those of PRIOR.
+    """
+    kinds = Counter(DENSITY) + kinds
+    share = lambda kind, inside: kinds[kind, inside] / (kinds["word", inside] + kinds["tag", inside])
+    density = {kind: math.log(share(kind, True) / share(kind, False)) for kind in ("word", "tag")}
+    seen = sorted({f for (fs, _) in words for f in fs})
+    if not seen:
+        return Weights(dict(PRIOR), density["word"], density["tag"])
+    place = {f: k for k, f in enumerate(seen)}
+    start = np.array([PRIOR.get(f, 0.0) for f in seen])
+    sets, labels, counts = [], [], []
+    for (fs, inside), n in sorted(words.items()):
+        for hidden in (False, True):
+            sets.append([place[f] for f in fs if not (hidden and f in CONTENT)])
+            labels.append(1.0 if inside else 0.0)
+            counts.append(n / 2)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    col = np.array([k for x in sets for k in x], np.int64)
+    y, c = np.array(labels), np.array(counts)
+    c *= min(EVIDENCE, c.sum()) / c.sum()
+    rate = 1 / (PRECISION + 0.25 * c.sum() * max(1, max(map(len, sets))))
+    w, before = start.copy(), start.copy()
+    for t in range(STEPS):
+        ahead = w + (t / (t + 3)) * (w - before)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, ahead[col], len(sets)), -40, 40)))
+        slope = np.bincount(col, (c * (p - y))[row], len(seen)) + PRECISION * (ahead - start)
+        before, w = w, ahead - rate * slope
+    return Weights(PRIOR | dict(zip(seen, w.tolist(), strict=True)), density["word"], density["tag"])
+
+
+def scored(page: str, weights: Weights) -> list[tuple[str, str, float]]:
+    """The page's tokens with their scores: ("text", text, score), ("tag", name, score), and None for the score of what is left out.
+
+    A word's and a tag's score are the log odds of their kind plus those that the open elements add. A block, or another element
+    by its class, id or role, that turns them from above zero to zero or below is furniture inside content: it is left out and
+    doesn't end the run around it. One that lowers them by FIRM or more bounds those of all it holds: a paragraph in a list of
+    comments is a comment.
+    """
+    out: list[tuple] = []
+    elements = _Open()
+    odds, tops, turned = [0.0], [math.inf], None  # the log odds and their bound at each depth; the depth from which all is left out
+    get = weights.feature.get
+    for kind, what, features in scan(page):
+        if kind == "text":
+            out.append(("text", what, None if turned is not None else len(what.split()) * (weights.word + odds[-1])))
+            continue
+        if kind == "shut":
+            elements.shut(what)
+            del odds[what + 1 :], tops[what + 1 :]
+            if turned is not None and what < turned:
+                turned = None
+            out.append(("tag", features, None if turned is not None else weights.tag + odds[-1]))
+            continue
+        if kind == "open":
+            new = elements.open(features)
+            own = sum(get(f, 0.0) for f in new)
+            now = min(odds[-1] + own, tops[-1])
+            speaks = what in BLOCK or sum(get(f, 0.0) for f in new if f != what) < 0
+            if turned is None and speaks and now <= 0 < odds[-1]:
+                turned = len(odds)
+            tops.append(min(tops[-1], now) if speaks and own <= FIRM else tops[-1])
+            odds.append(now)
+        out.append(("tag", what, None if turned is not None else weights.tag + odds[-1]))
+    return out
+
+
+def best_run(scores: list[float | None]) -> tuple[int, int]:
+    """Begin and end of the contiguous run with the largest sum above zero (the first such, and of those the shortest); (0, 0) if
+    there is none. None counts as zero."""
     best, span, now, first = 0.0, (0, 0), 0.0, 0
-    for i, token in enumerate(tokens):
+    for i, s in enumerate(scores):
         if now <= 0:
             now, first = 0.0, i
-        now += score_of(token, table, token[2] or (marked and not token[4]))
+        now += s or 0.0
         if now > best:
             best, span = now, (first, i + 1)
+    return span
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """Text of the best run of a page, less the furniture inside it: one blank line between blocks."""
+    tokens = scored(page or "", weights)
+    begin, end = best_run([x[2] for x in tokens])
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -158,52 +258,65 @@ def extract(page: str | None, table: dict[str, float]) -> str:
             blocks.append(text)
         parts.clear()
 
-    for token in tokens[span[0] : span[1]]:
-        if token[0] == "tag":
-            if token[1] in BLOCK:
+    for kind, what, score in tokens[begin:end]:
+        if kind == "tag":
+            if what in BLOCK:
                 flush()
-            elif token[1] == "br":
+            elif what == "br":
                 parts.append(" ")
-        elif not token[2]:
-            parts.append(token[1])
+        elif score is not None:
+            parts.append(what)
     flush()
     return "\n\n".join(blocks)
 
 
-def fit_weights(pages: DataFrame, id_col: str, html_col: str, labelled: int = LABELLED) -> dict[str, float]:
-    """Weights from up to `labelled` pages whose content is marked: those with exactly one article or main element."""
+def fit_weights(pages: DataFrame, id_col: str, html_col: str, labelled: int = LABELLED, labelled_chars: int = LABELLED_CHARS) -> Weights:
+    """Weights from up to `labelled` pages whose content is marked: those with exactly one article or main element.
+
+    Pages are taken by a hash threshold that follows from a count, so that only the sample itself moves: no page is sorted or
+    sent that isn't in it. Counts are added up in Spark; what comes to the driver follows from the sample's size.
+    """
     page = F.col(f"`{html_col}`")
-    once = F.regexp_count(page, F.lit(r"(?i)<(article|main)\b")) == 1
-    sample = pages.filter((F.length(page) <= LABELLED_CHARS) & once).orderBy(F.xxhash64(f"`{id_col}`"), F.xxhash64(page)).limit(labelled).select(page.alias("html"))
+    marked = pages.filter((F.length(page) <= labelled_chars) & (F.regexp_count(page, F.lit(r"(?i)<(article|main)\b")) == 1))
+    key = F.xxhash64(F.col(f"`{id_col}`"), page)
+    total = marked.count()
+    # a fifth more than asked for, as hashes vary; what is still over goes by rank within the sample
+    sample = marked.filter(below(key, 1.2 * labelled / max(1, total))).select(page.alias("html"), key.alias("key"))
+    sample = sample.orderBy("key").limit(labelled).select("html") if total > labelled else sample.select("html")
 
     def run(batches):
         for b in batches:
-            inside, outside = Counter(), Counter()
+            words, kinds = Counter(), Counter()
             for x in b.column(0).to_pylist():
-                i, o = features(x)
-                inside += i
-                outside += o
-            every = sorted(set(inside) | set(outside))
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([inside[f] for f in every], pa.int64()), pa.array([outside[f] for f in every], pa.int64())], names=["feature", "inside", "outside"])
-
-    sums = sample.mapInArrow(run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    got = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(FEATURES).collect()
-    return weights(Counter({x.feature: x.inside for x in got}), Counter({x.feature: x.outside for x in got}))
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", labelled: int = LABELLED) -> DataFrame:
+                w, k = observations(x)
+                words += w
+                kinds += k
+            rows = [(list(fs), inside, n) for (fs, inside), n in sorted(words.items())] + [([f"#{kind}"], inside, n) for (kind, inside), n in sorted(kinds.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["features", "inside", "n"])
+
+    words, kinds = Counter(), Counter()
+    for x in sample.mapInArrow(run, "features array<string>, inside boolean, n long").groupBy("features", "inside").agg(F.sum("n").alias("n")).collect():
+        if len(x.features) == 1 and x.features[0][:1] == "#":
+            kinds[x.features[0][1:], x.inside] += x.n
+        else:
+            words[tuple(x.features), x.inside] += x.n
+    return fit(words, kinds)
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", labelled: int = LABELLED, labelled_chars: int = LABELLED_CHARS) -> DataFrame:
     """Every row of pages with a column text: the main text of its page, empty if there is none.
 
-    Null or empty html gives an empty text. Without labelled pages plain weights are used (a word one, a tag minus one). A column
-    text of pages is replaced; others pass through. Each page is scanned once, from end to end; repeated rows are extracted each.
+    Null or empty html gives an empty text. Without labelled pages the weights are those of PRIOR. A column text of pages is
+    replaced; others pass through. Each page is scanned once, from end to end; repeated rows are extracted each. Of equal runs
+    the first is taken. Deep nesting and elements that are never closed cost no more than others.
     """
-    table = fit_weights(pages, id_col, html_col, labelled)
+    weights = fit_weights(pages, id_col, html_col, labelled, labelled_chars)
 
     @F.pandas_udf("string")
     def text(page):
         import pandas as pd
 
-        return pd.Series([extract(x, table) for x in page], dtype=object)
+        return pd.Series([extract(x, weights) for x in page], dtype=object)
 
     return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"], text(F.col(f"`{html_col}`")).alias("text"))
 
