@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -131,37 +132,124 @@ def test_bpe_round_trip(spark):
     assert bytes(raw) == enc.decode_bytes([lone])
 
 
-def plain_pack(lengths, sizes, cost):
-    """The same rule with a plain search through all bins."""
-    left, bins, at = sum(lengths), [], {}
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+def plain_pack(lengths, opening, sizes, cost):
+    """One plan by the same rule, with plain searches through all bins and all pieces still to come."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins, at = [], {}
+    for place, i in enumerate(order):
         n = lengths[i]
         fit = [(room, k) for k, (room, _) in enumerate(bins) if room >= n]
         if fit:
             k = min(fit)[1]
         else:
-            size = min((s for s in sorted(sizes) if s >= n), key=lambda s: ((s + cost) / min(s, left), -s))
-            bins.append((size, 0))
+            offers = []
+            for s in opening:
+                if s >= n:
+                    used = n
+                    for j in order[place + 1 :]:
+                        if used + lengths[j] <= s:
+                            used += lengths[j]
+                    offers.append((cost(min(z for z in sizes if z >= used)) / used, s))
+            bins.append((min(offers)[1], 0))
             k = len(bins) - 1
         at[i] = (k, bins[k][1])
         bins[k] = (bins[k][0] - n, bins[k][1] + n)
-        left -= n
-    return [(*at[i], min(s for s in sizes if s >= bins[at[i][0]][1])) for i in range(len(lengths))]
+    final = [min(z for z in sizes if z >= u) for _, u in bins]
+    return sum(map(cost, final)), [(*at[i], final[at[i][0]]) for i in range(len(lengths))]
+
+
+def plain_optimum(lengths, sizes, cost):
+    """The least cost of all partitions of the pieces into bins."""
+    if not lengths:
+        return 0.0
+    first, rest, best = lengths[0], lengths[1:], float("inf")
+    for mask in range(1 << len(rest)):
+        used = first + sum(n for k, n in enumerate(rest) if mask >> k & 1)
+        if used <= max(sizes):
+            best = min(best, cost(min(z for z in sizes if z >= used)) + plain_optimum([n for k, n in enumerate(rest) if not mask >> k & 1], sizes, cost))
+    return best
+
+
+def total_cost(packed, cost):
+    return sum(cost(z) for z in {b: z for b, _, z in packed}.values())
+
+
+MIXES = (((8, 16, 32), 2, 64), ((10,), 0, 10**9), ((4, 100), 7, 200))
 
 
 def test_pack_against_plain():
     rng = random.Random(4)
-    for sizes, cost in (((8, 16, 32), 2), ((10,), 0), ((4, 100), 7)):
+    for sizes, fixed, attention in MIXES:
+        cost = lambda z: packing.cost_of(z, fixed, attention)  # noqa: B023, E731
         for _ in range(40):
-            lengths = [rng.randrange(1, max(sizes) + 1) for _ in range(rng.randrange(50))]
-            got = packing.pack(lengths, sizes, cost)
-            assert got == plain_pack(lengths, sizes, cost)
+            lengths = [rng.randrange(1, max(sizes) + 1) for _ in range(rng.randrange(1, 50))]
+            got = packing.pack(lengths, sizes, fixed, attention)
+            plans = [plain_pack(lengths, o, sizes, cost) for r in range(1, len(sizes) + 1) for o in itertools.combinations(sizes, r) if max(o) >= max(lengths)]
+            assert any(got == p[1] for p in plans) and abs(total_cost(got, cost) - min(p[0] for p in plans)) < 1e-6
             used = {}
             for n, (b, o, z) in sorted(zip(lengths, got, strict=True), key=lambda x: x[1]):
                 assert used.get(b, 0) == o and o + n <= z
                 used[b] = o + n
 
 
+def test_pack_against_the_optimum():
+    rng = random.Random(8)
+    ratios = []
+    for sizes, fixed, attention in MIXES:
+        cost = lambda z: packing.cost_of(z, fixed, attention)  # noqa: B023, E731
+        for _ in range(25):
+            lengths = [rng.randrange(1, max(sizes) + 1) for _ in range(rng.randrange(1, 9))]
+            ratios.append(total_cost(packing.pack(lengths, sizes, fixed, attention), cost) / plain_optimum(lengths, sizes, cost))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.3 and sum(r < 1 + 1e-9 for r in ratios) > 0.8 * len(ratios)
+
+
+def test_mixed_sizes_beat_any_single_one():
+    rng = random.Random(15)
+    lengths = [min(4096, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(4000)]
+    packed = packing.pack(lengths)
+    opened = Counter({b: z for b, _, z in packed}.values())
+    assert len(opened) >= 3 and min(opened.values()) > 5
+    single = []
+    for s in packing.SIZES:
+        # pieces cut to the one size, as that size needs
+        cut = [m for n in lengths for m in [s] * (n // s) + [n % s] * (n % s > 0)]
+        if len(cut) == len(lengths):
+            single.append(total_cost(packing.pack(cut, (s,)), packing.cost_of))
+    assert single and total_cost(packed, packing.cost_of) < 0.95 * min(single)
+
+
+def test_sequences_hold_every_token_once(spark):
+    """Byte-level BPE ids, packed by their real counts and put together."""
+    texts = [(i, f"text {i} " * (1 + 37 * i % 400)) for i in range(40)] + [(100, "a b c d " * 3000), (101, ""), (None, "no id here")]
+    ids = bpe.encode_texts(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    packed = packing.best_fit_packing(ids, packing.F.size("ids"), shard_rows=30)
+    made = packing.sequences(packed, ids).collect()
+    assert all(0 < len(r.ids) <= r.bin_size and r.bin_size in packing.SIZES for r in made)
+    place = {(r.bin_id, r.bin_offset): r for r in packed.collect()}
+    whole = {}
+    for r in made:
+        for (b, o), p in place.items():
+            if b == r.bin_id:
+                whole.setdefault(p.doc_id, {})[p.start] = r.ids[o : o + p.n_tokens]
+    want = {r.doc_id: list(r.ids) for r in ids.collect() if r.ids}
+    assert {d: [x for k in sorted(v) for x in v[k]] for d, v in whole.items()} == want
+    assert sum(len(r.ids) for r in made) == sum(map(len, want.values()))
+
+
+def test_hot_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    df = spark.createDataFrame([(None, 3)] * 50 + [(1, 4096 * 30 + 5), (2, 9)], "doc_id long, n int")
+    out = packing.best_fit_packing(df, df.n).collect()
+    assert len(out) == 50 + 31 + 1 and sum(r.n_tokens for r in out) == 150 + 4096 * 30 + 5 + 9
+    assert sorted(r.copy for r in out if r.doc_id is None) == list(range(50)) and sorted(r.start for r in out if r.doc_id == 1) == [4096 * k for k in range(31)]
+
+
+def test_packing_ids_and_columns(spark):
+    df = spark.createDataFrame([("b", 5, 1, 2), ("a", 5, 1, 2), (None, None, 1, 2)], "doc_id string, n int, shard int, copy int")
+    out = packing.best_fit_packing(df, df.n).collect()
+    assert sorted((r.doc_id, r.bin_offset) for r in out) == [("a", 0), ("b", 5)]
+
+
 def test_packing_rows(spark):
     rows = [(1, 5000), (2, 10), (2, 10), (2, 10), (3, None), (4, 0), (None, 77), (5, 4096), (6, 1)] + [(9, 3)] * 500
     df = spark.createDataFrame(rows, "doc_id long, n int")
