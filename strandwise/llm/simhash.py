@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints, links at few differing bits through vantage-point trees, components."""
+"""SimHash near-dedup: fingerprints, links at few differing bits through vantage-point trees, components or verified near copies."""
 
 from __future__ import annotations
 
@@ -8,11 +8,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
+from . import similar
+from .common import Scratch, below, salted_join
 from .components import components
 
-#: Fingerprints that the trees are fitted on (at most), points a shard should hold, and rows that one task compares (at most).
-SAMPLE, SHARD, CELL = 1 << 14, 1500, 20_000
+#: Fingerprints that the first trees are fitted on (about), points a shard should hold, rows that one task compares (at most), and
+#: rows of an over-full shard that its own tree is fitted on (about).
+SAMPLE, SHARD, CELL, REGROW = 1 << 14, 1500, 20_000, 4_096
+#: Levels of trees within trees; what is over-full after them is dealt in blocks.
+LEVELS = 8
+#: Fingerprints of a text for near copies, the differing bits at which any one of them makes a candidate, and the parts that its
+#: trees look at: of pairs whose shingles have a similarity of 0.8, 99 of 100 come together by at least one.
+TABLES, REACH, PARTS = 4, 7, 4
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -76,33 +83,40 @@ def grow(values: np.ndarray, leaf: int, reach: int) -> list[tuple]:
     return nodes
 
 
-def route(nodes: list[tuple], values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(nodes: list[tuple], values: np.ndarray, reach: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, home): for each value its home leaf, and the leaves beyond it that may hold values within reach.
 
     Of two values in reach of each other on different sides of a node, the one inside is sent across, so each pair meets where
-    the outer one lives. A branch is left out if the triangle inequality rules its values out.
+    the outer one lives. A branch is left out if the triangle inequality rules its values out. home: False for values that only
+    ask here, as their own home is elsewhere.
     """
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
-    stack = [(0 if nodes else -1, np.arange(len(values)), np.ones(len(values), bool))]
+    stack = [(0 if nodes else -1, np.arange(len(values)), np.ones(len(values), bool) if home is None else home)]
     while stack:
-        at, rows, home = stack.pop()
+        at, rows, own = stack.pop()
         if not len(rows):
             continue
         if at < 0:
-            out.append((rows, ~at, home))
+            out.append((rows, ~at, own))
             continue
         p, radius, left, right = nodes[at]
         d = np.bitwise_count(values[rows] ^ np.uint32(p)).astype(np.int16)
         near = d <= radius
-        go = near | (~home & (d - reach <= radius))
-        stack.append((left, rows[go], home[go]))
+        go = near | (~own & (d - reach <= radius))
+        stack.append((left, rows[go], own[go]))
         go = ~near | (d + reach > radius)
-        stack.append((right, rows[go], home[go] & ~near[go]))
+        stack.append((right, rows[go], own[go] & ~near[go]))
     if not out:
         return (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
     return np.concatenate([r for r, _, _ in out]), np.concatenate([np.full(len(r), k, np.int32) for r, k, _ in out]), np.concatenate([h for _, _, h in out])
 
 
+def part_of(fp: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Bits of one of `parts` equal parts of 64-bit fingerprints, as 32-bit values."""
+    width = 64 // parts
+    return (fp >> np.uint64(part * width)).astype(np.uint32) & np.uint32((1 << width) - 1)
+
+
 def local_links(fp: np.ndarray, resident: np.ndarray, asks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fp, root) that join what pairs of asking and resident fingerprints at up to `bits` differing bits join.
 
@@ -129,39 +143,90 @@ def local_links(fp: np.ndarray, resident: np.ndarray, asks: np.ndarray, bits: in
     return fp[moved], fp[root[moved]]
 
 
-def near_links(nodes_df: DataFrame, scratch: Scratch, bits: int = 3, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL) -> DataFrame:
-    """(a, b): links that connect exactly the fingerprints of nodes_df (fp, distinct) at up to `bits` differing bits.
+def near_links(points: DataFrame, scratch: Scratch, bits: int = 3, parts: int = 2, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL, regrow: int = REGROW) -> DataFrame:
+    """(tab, a, b): links that connect exactly the fingerprints of points (tab int, fp long, distinct) of one tab at up to `bits`
+    differing bits.
 
-    Two fingerprints that differ in at most `bits` bits differ in at most bits // 2 in one half of 32. Each half has a
-    vantage-point tree, fitted on at most `sample` fingerprints, whose leaves are the shards; all fingerprints go to their home
-    shard and, as queries, to the shards across a boundary that the triangle inequality does not rule out. Distances on a half
-    spread less than on the whole, so with a reach of bits // 2 far fewer fingerprints lie on a boundary than with `bits` on all
-    64. Shards of over `cell` rows are dealt in blocks of residents and queries, so none is too large for a task.
+    Two fingerprints that differ in at most `bits` bits differ in at most bits // parts in one of `parts` equal parts. Each part
+    has a vantage-point tree, fitted on about `sample` fingerprints taken by a hash threshold, whose leaves are the shards; all
+    fingerprints go to their home shard and, as queries, to the shards across a boundary that the triangle inequality does not
+    rule out. Distances on a part spread less than on the whole, so with a reach of bits // parts far fewer fingerprints lie on a
+    boundary. A shard of over `cell` rows grows a tree of its own, on the executors, from its own rows, so that shards stay small
+    however many fingerprints there are; what can't be split (equal parts) is dealt in blocks of residents and queries.
     """
-    reach = bits // 2
-    total = nodes_df.count()
-    picked = np.array([x[0] for x in nodes_df.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
-    leaf = max(8, int(shard * len(picked) / max(total, 1)))
-    trees = [grow((picked >> np.uint64(32)).astype(np.uint32), leaf, reach), grow(picked.astype(np.uint32), leaf, reach)]
+    reach = bits // parts
+    total = points.count()
+    picked: dict[int, list[int]] = {}
+    for x in points.filter(below(F.xxhash64("tab", "fp"), 1.0 * sample / max(1, total))).collect():
+        picked.setdefault(x.tab, []).append(x.fp)
+    trees = {}
+    for tab, values in picked.items():
+        some = np.sort(np.array(values, np.int64).view(np.uint64))
+        some = some[np.argsort(some * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+        leaf = max(8, int(shard * sum(map(len, picked.values())) / max(total, 1)))
+        trees[tab] = [grow(part_of(some, k, parts), leaf, reach) for k in range(parts)]
 
     def to_shards(batches):
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, tree in enumerate(trees):
-                rows, shards, home = route(tree, (fp >> np.uint64(32)).astype(np.uint32) if half == 0 else fp.astype(np.uint32), reach)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array((shards * 2 + half).astype(np.int32)), pa.array(home)], names=["fp", "shard", "home"])
-
-    routed, path = scratch.keep(nodes_df.select("fp").mapInArrow(to_shards, "fp long, shard int, home boolean"))
-    # one row per shard: their number follows from the sample's size
-    blocks = {s: -(-n // cell) for s, n in routed.groupBy("shard").count().filter(F.col("count") > cell).collect()}
-    block = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("shard")] if blocks else F.lit(None).cast("int")
-    k = F.coalesce(block, F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), k).cast("int")
-    all_k = F.sequence(F.lit(0), k - 1)
+            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            tabs = b.column(0).to_numpy(zero_copy_only=False)
+            for tab in np.unique(tabs).tolist():
+                own = fp[tabs == tab]
+                for k in range(parts):
+                    rows, shards, home = route(trees.get(tab, [[]] * parts)[k], part_of(own, k, parts), reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tab, np.int32)), pa.array(np.full(len(rows), k, np.int32)), pa.array(own[rows].view(np.int64)), pa.array(shards.astype(np.int64)), pa.array(home)], names=["tab", "part", "fp", "shard", "home"])
+
+    schema = "tab int, part int, fp long, shard long, home boolean"
+    key = ["tab", "part", "shard"]
+    routed, path = scratch.keep(points.select("tab", "fp").mapInArrow(to_shards, schema))
+    done, paths = [], [path]
+    for _ in range(LEVELS):
+        sizes, sizes_path = scratch.keep(routed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("home"), 1)).alias("residents")).filter(F.col("n") > cell))
+        paths.append(sizes_path)
+        if sizes.isEmpty():
+            break
+        some = routed.filter("home").join(sizes, key).filter(F.pmod(F.xxhash64("fp", F.lit(43)), F.lit(1 << 30)) < F.lit(float(regrow) * (1 << 30)) / F.col("residents"))
+
+        def fit(t: pa.Table) -> pa.Table:
+            part = t.column("part")[0].as_py()
+            fp = np.unique(t.column("fp").to_numpy().view(np.uint64))
+            fp = fp[np.argsort(fp * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+            leaf = max(1, int(shard * len(fp) / max(1, t.column("residents")[0].as_py())))
+            tree = np.array(grow(part_of(fp, part, parts), leaf, reach), np.int64).reshape(-1, 4)
+            return pa.table({**{k: t.column(k)[:1] for k in key}, "tree": pa.array([tree.tobytes()], pa.binary())})
+
+        grown, grown_path = scratch.keep(some.groupBy(*key).applyInArrow(fit, "tab int, part int, shard long, tree binary").filter(F.octet_length("tree") > 0))
+        paths.append(grown_path)
+        if grown.isEmpty():
+            break
+
+        def again(batches):
+            for b in batches:
+                keys = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
+                fp, home = b.column(3).to_numpy(zero_copy_only=False).view(np.uint64), b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+                _, first, which = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+                for g, at in enumerate(first.tolist()):
+                    mine = np.flatnonzero(which.ravel() == g)
+                    tab, part, old = keys[at].tolist()
+                    tree = [tuple(x) for x in np.frombuffer(b.column(5)[at].as_py(), np.int64).reshape(-1, 4).tolist()]
+                    rows, leaf, own = route(tree, part_of(fp[mine], part, parts), reach, home[mine])
+                    # a shard of the next level is named by its place in the last one
+                    new = np.array([xxhash.xxh64_intdigest(f"{old}/{x}") for x in range(int(leaf.max(initial=0)) + 1)], np.uint64).view(np.int64)[leaf]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tab, np.int32)), pa.array(np.full(len(rows), part, np.int32)), pa.array(fp[mine][rows].view(np.int64)), pa.array(new), pa.array(own)], names=["tab", "part", "fp", "shard", "home"])
+
+        done.append(routed.join(grown.select(*key), key, "left_anti"))
+        split = routed.join(grown, key).select("tab", "part", "shard", "fp", "home", "tree").mapInArrow(again, schema)
+        routed, path = scratch.keep(split)
+        paths.append(path)
+    for d in done:
+        routed = routed.unionByName(d)
+    full = routed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).select(*key, F.ceil(F.col("n") / cell).cast("int").alias("k"))
+    routed = routed.join(full, key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     # residents meet every block of queries; queries (residents are queries too) meet every block of residents
-    here = routed.select("fp", "shard", "home", own.alias("own"), all_k.alias("ks"))
-    as_resident = here.filter("home").select("shard", "fp", F.col("own").alias("rb"), F.explode("ks").alias("qb"), F.lit(True).alias("resident"))
-    as_query = here.select("shard", "fp", F.explode("ks").alias("rb"), F.col("own").alias("qb"), F.lit(False).alias("resident"))
+    here = routed.select(*key, "fp", "home", own.alias("own"), F.sequence(F.lit(0), F.col("k") - 1).alias("ks"))
+    as_resident = here.filter("home").select(*key, "fp", F.col("own").alias("rb"), F.explode("ks").alias("qb"), F.lit(True).alias("resident"))
+    as_query = here.select(*key, "fp", F.explode("ks").alias("rb"), F.col("own").alias("qb"), F.lit(False).alias("resident"))
 
     def compare(t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
@@ -171,11 +236,11 @@ def near_links(nodes_df: DataFrame, scratch: Scratch, bits: int = 3, sample: int
         is_r[inverse[resident]] = True
         is_q[inverse[~resident]] = True
         a, b = local_links(points, is_r, is_q, bits)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"tab": pa.array(np.full(len(a), t.column("tab")[0].as_py(), np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    found = as_resident.unionByName(as_query).groupBy("shard", "rb", "qb").applyInArrow(compare, "a long, b long")
-    links, _ = scratch.keep(found)
-    scratch.drop(path)
+    found = as_resident.unionByName(as_query).groupBy(*key, "rb", "qb").applyInArrow(compare, "tab int, a long, b long")
+    links, _ = scratch.keep(found.distinct())
+    scratch.drop(*paths)
     return links
 
 
@@ -189,21 +254,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     prints, _ = scratch.keep(fingerprints(docs, id_col, text_col))
     nodes, _ = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    joined = components(near_links(nodes, scratch, bits), scratch)
+    joined = components(near_links(nodes.select(F.lit(0).alias("tab"), "fp"), scratch, bits).select("a", "b"), scratch)
     named = nodes.join(joined.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("b", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
     placed = salted_join(named, smallest, "root", "m", F.col("fp")).select("fp", "n", "component_id")
     return salted_join(prints, placed, "fp", "n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id.
-
-    Rows that repeat that id count as one. Rows with a null id can't be named as a group's representative: they stay.
+def candidate_groups(nodes: DataFrame, scratch: Scratch, bits: int = REACH, parts: int = PARTS) -> DataFrame:
+    """(node, root): the group of every node of nodes (node long, prints array<long>) that has candidates: nodes that agree to
+    within `bits` bits in one of their fingerprints, and what they join."""
+    prints = nodes.select("node", F.posexplode("prints").alias("tab", "fp"))
+    points, _ = scratch.keep(prints.groupBy("tab", "fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    links = near_links(points.select("tab", "fp"), scratch, bits, parts)
+    # a fingerprint stands for the least of its nodes
+    shared = points.filter("n > 1").select(F.xxhash64("tab", "fp").alias("key"), "tab", "fp", "least", "n")
+    keyed = prints.select("node", F.xxhash64("tab", "fp").alias("key"))
+    same = salted_join(keyed, shared.select("key", "least", "n"), "key", "n", F.col("node")).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of = lambda c: points.select("tab", F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    near = links.join(of("a"), ["tab", "a"]).join(of("b"), ["tab", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    joined = components(same.unionByName(near), scratch)
+    return joined.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tables: int = TABLES, bits: int = REACH) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest id.
+
+    Near copies share `similarity` of their shingles of `width` words (intersection by union of the sets). Candidates are texts
+    of which one of `tables` fingerprints of these sets (similar.set_prints) agree to within `bits` bits; vantage-point shards
+    find them, and the exact similarity decides. In a group of candidates a text is linked to the first one, by id, that stays and that it is a
+    near copy of; so every row that goes is a near copy of one that stays, but where a group is dealt to several tasks: there it
+    may be one of a row that goes for being a near copy of one that stays. Texts with the same shingles meet as one before any
+    comparison, null and empty ones among them. Rows that repeat an id but not their text are rows of their own; null ids come
+    last in their group, and ties go by a hash of the text, then of the whole row, so that a retry keeps the same one.
     """
-    name = f"`{id_col}`"
-    groups = near_duplicates(docs, id_col, text_col, bits).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(groups, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.filter(F.col(name).isNull()))
+    scratch = Scratch(docs.sparkSession)
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    kept, _ = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    kind = docs.select(ident).dtypes[0][1]
+    source = kept.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), F.xxhash64("doc").alias("h"), "row")
+
+    def sign(batches):
+        for b in batches:
+            sets = [similar.shingles(x, width) for x in b.column(1).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            prints = pa.array([similar.set_prints(s, tables).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), prints, pa.array([len(s) for s in sets], pa.int64()), b.column(2), b.column(3)], names=["id", "node", "prints", "size", "h", "row"])
+
+    signed, _ = scratch.keep(source.mapInArrow(sign, f"id {kind}, node long, prints array<long>, size long, h long, row long"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "row")).alias("first")
+    nodes, _ = scratch.keep(signed.groupBy("node").agg(first, F.first("prints").alias("prints"), F.first("size").alias("size")).select("node", F.col("first.id").alias("least"), F.col("first.row").alias("row"), "prints", "size"))
+    groups = candidate_groups(nodes.select("node", "prints"), scratch, bits)
+    members, _ = scratch.keep(nodes.drop("prints").join(groups, "node"))
+    links = similar.verified(members, source.select("row", "text"), scratch, width, similarity)
+    gone = components(links, scratch).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    named = nodes.select("node", "least", "row").join(gone, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    winner = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "row")).alias("w")
+    stay = named.groupBy("root").agg(winner).select(F.col("w.row").alias("row"))
+    return kept.join(stay, "row", "left_semi").select("doc.*")
 
 
 def op8_simhash(spark, sf_dir):

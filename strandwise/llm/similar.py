@@ -1,4 +1,4 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: candidates by MinHash bands, verified, components, one row of each."""
+"""Exact similarity of word shingles: sets, fingerprints of sets, and the check of candidate groups."""
 
 from __future__ import annotations
 
@@ -8,106 +8,95 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, salted_join
-from .components import components
+from .common import Scratch
 
-#: Words in a shingle, and the similarity (intersection by union of the shingle sets) from which two texts are near copies.
-SHINGLE, SIMILAR = 5, 0.8
-#: Bands of minima and the minima in each: of pairs of similarity 0.8 all but 0.04 % agree in a band.
-BANDS, ROWS = 20, 5
-#: Texts of one band value that one task compares (at most) before the leaders of the parts meet.
-CELL = 2_000
+#: Texts, and shingles of texts, that one task compares (at most, but for a single text).
+CELL, CELL_SHINGLES = 2_000, 4_000_000
 
-_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = np.random.default_rng(18).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-
-
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles (A-Z lower-cased, words without ASCII white space); a shorter text is one."""
     words = (text or "").encode().lower().split()
     flat = b" ".join(words)
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words or [b""]])
     starts, stops = np.concatenate([[0], ends[:-1]])[:n].tolist(), (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     return np.unique(np.fromiter((digest(flat[s:e], 42) for s, e in zip(starts, stops, strict=True)), np.uint64, n))
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A signed long for each band, equal for two sets if the band's minima are."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(grams), 1 << 12):
-        np.minimum(low, (_FACTORS[:, None] * grams[None, k : k + (1 << 12)] + _SHIFTS[:, None]).min(1), out=low)
-    return np.array([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+def set_prints(grams: np.ndarray, tables: int) -> np.ndarray:
+    """`tables` fingerprints of 64 bits of a set of hashes, each bit one of the least member under an order of its own.
+
+    Two sets of similarity s differ in (1 - s) / 2 of their bits on average: in 6.4 of 64 at 0.8, where fingerprints by majority
+    differ in 9.6, so that fewer bits find the same pairs.
+    """
+    rng = np.random.default_rng(17)
+    n = 64 * tables
+    factors, shifts = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(grams), 1 << 10):
+            np.minimum(low, (factors[:, None] * grams[None, k : k + (1 << 10)] + shifts[:, None]).min(1), out=low)
+        # which member it is decides the bit, not its rank
+        low = (low ^ (low >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        low = (low ^ (low >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits((low >> np.uint64(63)).astype(np.uint8)).view(">u8").astype(np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    """Intersection by union of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
     return common / (len(a) + len(b) - common)
 
 
-def _lead(t: pa.Table) -> pa.Table:
-    """Each text of a group linked to the first leader that it is a near copy of; one with none leads itself."""
-    least, fps = t.column("least").to_pylist(), t.column("fp").to_pylist()
-    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
-    leaders: list[int] = []
-    to = list(range(len(fps)))
-    for i in sorted(to, key=lambda i: (least[i] is None, least[i] if least[i] is not None else 0, fps[i])):
-        n = len(grams[i])
-        # sizes alone rule a pair out if the smaller is under 0.8 of the larger
-        near = (j for j in leaders if min(n, len(grams[j])) >= SIMILAR * max(n, len(grams[j])) and similarity(grams[i], grams[j]) >= SIMILAR)
-        j = next(near, None)
-        if j is None:
-            leaders.append(i)
-        else:
-            to[i] = j
-    return pa.table({"key": t.column("key"), "a": pa.array(fps, pa.int64()), "b": pa.array([fps[j] for j in to], pa.int64()), "parts": t.column("parts")})
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest id.
-
-    Near copies share SIMILAR of their shingles; groups are what verified links join. Texts with the same shingles meet as one
-    before any comparison. Of two texts that agree in a band, the later one is linked to the earliest that it is a near copy of,
-    so that no two of the rows that stay and share a band are near copies. A group of texts that agree in a band costs its
-    members times its leaders, which is many where most of them are no near copies of each other. Rows that repeat an id but not their text are rows of their own; those with a null id come last in their group. Ties in the id go
-    by a hash of the text.
-    """
-    scratch = Scratch(docs.sparkSession)
-    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+def verified(members: DataFrame, texts: DataFrame, scratch: Scratch, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(a, b): links between near copies among the members (node, least, row, size, root) of each group `root`.
 
-    def sign(batches):
-        for b in batches:
-            sets = [shingles(x) for x in b.column(1).to_pylist()]
-            fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), keys, b.column(2), b.column(3)], names=["id", "fp", "keys", "h", "row"])
-
-    kept, _ = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
-    inside = F.col("doc")[id_col], F.col("doc")[text_col]
-    kind = docs.select(ident).dtypes[0][1]
-    source = kept.select(inside[0].alias("id"), inside[1].alias("text"), F.xxhash64(inside[1]).alias("h"), "row")
-    signed, _ = scratch.keep(source.mapInArrow(sign, f"id {kind}, fp long, keys array<long>, h long, row long"))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "row")).alias("first")
-    nodes, _ = scratch.keep(signed.groupBy("fp").agg(first, F.first("keys").alias("keys")).select("fp", F.col("first.id").alias("least"), F.col("first.row").alias("row"), "keys"))
-    banded = nodes.select("fp", "least", "row", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members, _ = scratch.keep(salted_join(banded, shared, "key", "m", F.col("fp")).select("key", "fp", "least", "row", F.ceil(F.col("m") / CELL).cast("int").alias("parts")))
+    Shingle sets are made of the members' texts (row, text) only. A group is dealt to parts of bounded size, in which each text
+    is linked to the first, by id, that leads and that it is a near copy of; a text with none leads. The leaders of a group's
+    parts then meet, block by block, so no group is too large for a task, and a group of copies costs its members times its leaders.
+    """
 
     def gather(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["row", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, width).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["row", "grams"])
+
+    def lead(t: pa.Table) -> pa.Table:
+        ids, node = t.column("least").to_pylist(), t.column("node").to_pylist()
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]
+        leaders: list[int] = []
+        sizes = np.zeros(len(node), np.int64)
+        to = list(range(len(node)))
+        for i in sorted(to, key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, node[i])):
+            n = len(grams[i])
+            known = sizes[: len(leaders)]
+            # sizes alone rule a pair out if the smaller is under `least` of the larger
+            fit = np.flatnonzero((known >= least * n) & (n >= least * known)).tolist()
+            j = next((leaders[k] for k in fit if similarity(grams[i], grams[leaders[k]]) >= least), None)
+            if j is None:
+                sizes[len(leaders)] = n
+                leaders.append(i)
+            else:
+                to[i] = j
+        return pa.table({"root": t.column("root"), "a": pa.array(node, pa.int64()), "b": pa.array([node[j] for j in to], pa.int64())})
 
     asked = members.select("row").distinct()
-    grams, _ = scratch.keep(source.select("row", "text").join(asked, "row", "left_semi").mapInArrow(gather, "row long, grams binary"))
-    out = "key long, a long, b long, parts int"
-    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    led, _ = scratch.keep(members.join(grams, "row").select("key", part.alias("part"), "fp", "least", "grams", "parts").groupBy("key", "part").applyInArrow(_lead, out))
-    # the leaders of the parts of a large group meet in a second round
-    again = members.filter("parts > 1").join(led.filter("a = b and parts > 1").select("key", F.col("a").alias("fp")), ["key", "fp"])
-    more = again.join(grams, "row").select("key", "fp", "least", "grams", "parts").groupBy("key").applyInArrow(_lead, out)
-    joined = components(led.unionByName(more).select("a", "b"), scratch)
-    named = nodes.select("fp", "least", "row").join(joined.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("b", "fp"))
-    winner = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp", "row")).alias("w")
-    stay = named.groupBy("root").agg(winner).select(F.col("w.row").alias("row"))
-    return kept.join(stay, "row", "left_semi").select("doc.*")
+    grams, _ = scratch.keep(texts.join(asked, "row", "left_semi").mapInArrow(gather, "row long, grams binary"))
+    cells = lambda df: df.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("size") / CELL_SHINGLES)).cast("int").alias("k"))
+    block = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("k"))
+    out = "root long, a long, b long"
+    columns = ["root", "node", "least", "grams"]
+    dealt = members.join(cells(members), "root").join(grams, "row")
+    first, _ = scratch.keep(dealt.select(*columns, block(1).alias("part")).groupBy("root", "part").applyInArrow(lead, out))
+    # a group that one task has seen whole is settled
+    several = cells(members).filter("k > 1").select("root")
+    leaders = first.filter("a = b").select("root", F.col("a").alias("node")).join(several, "root", "left_semi")
+    leaders, _ = scratch.keep(members.join(leaders, ["root", "node"]))
+    pairs = leaders.join(cells(leaders), "root").join(grams, "row").select(*columns, block(2).alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    more = pairs.groupBy("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).applyInArrow(lead, out)
+    links, _ = scratch.keep(first.unionByName(more).filter("a <> b").select("a", "b"))
+    return links

@@ -158,15 +158,13 @@ def test_near_duplicates_against_plain(spark):
         if i is not None:
             least[r] = min(i, least.get(r, i))
     assert got == sorted(((i, p, least.get(r)) for (i, _), p, r in zip(rows, points, root, strict=True)), key=str)
-    kept = simhash.drop_near_duplicates(df)
-    assert kept.columns == df.columns
-    ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == sorted([*set(least.values()), None], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell", [20_000, 60])
-def test_tree_shards_find_every_link(spark, cell):
+@pytest.mark.parametrize(("cell", "levels", "parts"), [(20_000, 8, 2), (60, 8, 2), (60, 0, 2), (200, 8, 4), (30, 2, 3)])
+def test_tree_shards_find_every_link(spark, monkeypatch, cell, levels, parts):
+    """Shards that hold all, that grow trees of their own, that are dealt in blocks, and all of these on smaller parts."""
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     rng = random.Random(11)
     fps = [rng.getrandbits(64) for _ in range(1500)]
     for f in fps[:150]:
@@ -176,9 +174,9 @@ def test_tree_shards_find_every_link(spark, cell):
                 g ^= 1 << b
             fps.append(g)
     fps = np.unique(np.array(fps, np.uint64))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(0, int(x)) for x in fps.view(np.int64)] + [(1, int(x)) for x in fps.view(np.int64)[:50]], "tab int, fp long")
     scratch = Scratch(spark)
-    links = simhash.near_links(df, scratch, sample=1024, shard=100, cell=cell)
+    links = simhash.near_links(df, scratch, parts=parts, sample=1024, shard=30 if levels else 100, cell=cell, regrow=64).filter("tab = 0").select("a", "b")
     found = {r.a % (1 << 64): r.b % (1 << 64) for r in components(links, scratch).collect()}
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
     group = np.arange(len(fps))
@@ -192,6 +190,18 @@ def test_tree_shards_find_every_link(spark, cell):
     assert len(set(mine)) == len(set(group.tolist())) == len(set(zip(mine, group.tolist(), strict=True)))
 
 
+def test_equal_parts_are_dealt_in_blocks(spark):
+    """Fingerprints that agree in one part can't be split by it, however many levels grow."""
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 1 << 32, 400, np.uint64) | np.uint64(7 << 32))
+    df = spark.createDataFrame([(0, int(x)) for x in fps.view(np.int64)], "tab int, fp long")
+    scratch = Scratch(spark)
+    got = components(simhash.near_links(df, scratch, bits=9, sample=100, shard=10, cell=50, regrow=64).select("a", "b"), scratch).count()
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 9
+    root = plain_components(range(len(fps)), lambda a, b: near[a, b])
+    assert got == len(fps) - len(set(root))
+
+
 def test_one_link_a_fingerprint():
     """A group of thousands of near copies gives one link each, not one per pair."""
     rng = np.random.default_rng(3)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from strandwise.llm import packing, quality, simhash, substring
+from strandwise.llm import packing, quality, substring
 
 from .test_cleaning import WORDS, plain_line_dedup, plain_quality
 
@@ -33,14 +33,13 @@ def plain(docs):
     docs = [(i, clean(t)[0]) for i, t in docs if clean(t)[1]]
     docs = [(i, t) for i, t, _, _ in plain_line_dedup(docs)]
     docs.sort()
-    prints = {i: simhash.fingerprint(t) for i, t in docs}
-    group = {i: i for i in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if bin(prints[a] ^ prints[b]).count("1") <= 3 and group[a] != group[b]:
-                low, high = sorted((group[a], group[b]))
-                group = {k: low if v == high else v for k, v in group.items()}
-    docs = [(i, t) for i, t in docs if group[i] == i]
+    stay = []
+    for i, t in docs:
+        w = t.lower().split()
+        grams = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        if all(len(grams & g) < 0.8 * len(grams | g) for _, _, g in stay):
+            stay.append((i, t, grams))
+    docs = [(i, t) for i, t, _ in stay]
     seen, out = np.zeros(0, np.uint64), []
     for i, t in docs:
         out.append((i, substring.cut(t, seen)[0]))
