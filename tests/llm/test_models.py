@@ -234,6 +234,43 @@ def test_topk_against_plain(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def plain_top(rows, k=5):
+    out = []
+    for i, v in rows:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e5, 3e7, 1e30])
+def test_topk_of_large_values(spark, scale):
+    """Above 2^53 and above 2^63 order and ties are those of the whole numbers; scores that fit no long are null."""
+    rng = np.random.default_rng(8)
+    vecs = [[float(np.float32(x)) for x in v] for v in rng.normal(0, scale, (120, 3))]
+    vecs[7], vecs[9] = vecs[3], [vecs[3][0], vecs[3][1], math.nextafter(vecs[3][2], math.inf)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = sorted(topk.top_k(df, F.col("vec_id") % 50 == 0, block=40, per_center=20).collect(), key=lambda r: r[:2])
+    want = plain_top([(i, [math.floor(256 * x) for x in v]) for i, v in enumerate(vecs)])
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [w[:3] for w in want]
+    assert [r.score for r in got] == [w[3] if -(2**63) <= w[3] < 2**63 else None for w in want]
+
+
+def test_topk_asks_few_blocks_of_clustered_vectors(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(0, 40, (30, 8))
+    vecs = np.repeat(centers, 60, 0) + rng.normal(0, 0.2, (1800, 8))
+    vecs[100:700] = vecs[0]  # a third of all rows is one vector
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=90, per_center=60).collect())
+    assert got == plain_top([(i, [math.floor(256 * float(x)) for x in v]) for i, v in enumerate(vecs)])
+
+
+def test_sort_keys_sort_as_numbers():
+    n = [0, 1, -1, 9, 10, -9, -10, 99, 2**53, 2**53 + 1, -(2**63), 10**40, -(10**40), 5 * 10**39]
+    assert sorted(n, key=topk.sort_key) == sorted(n)
+
+
 def test_bounds_leave_out_products():
     """Clustered vectors: most products are never computed."""
     rng = np.random.default_rng(2)
