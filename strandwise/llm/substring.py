@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units of text: whole lines, and paragraphs whose ends the content itself decides."""
+"""Substring dedup by hashing units of text: lines and paragraphs, and besides them pieces whose ends the content itself decides."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join
+from .common import Scratch, salted_join
 
-#: A paragraph starts at every unit boundary and ends at the first one at least SPAN words on. In any WINDOW successive word pairs
-#: there is a boundary, and boundaries at least WINDOW words inside a passage are the same wherever it stands: copies of a passage
-#: of 50 words share paragraphs that cover it but for fewer than WINDOW words at either end. Only removals of at least MIN_RUN
-#: words take effect: more than the longest paragraph (SPAN + WINDOW + 1), so that one shared digest is never enough.
+#: Words from which a line or a paragraph (lines up to a blank one) is a unit that goes by itself where it repeats.
+MIN_UNIT = 24
+#: Pieces find passages inside longer lines. A piece starts at every mark and ends at the first one at least SPAN words on. In any
+#: WINDOW successive word pairs there is a mark, and marks at least WINDOW words inside a passage are the same wherever it stands:
+#: copies of a passage of 50 words share pieces that cover it but for fewer than WINDOW words at either end. Only runs of pieces
+#: of at least MIN_RUN words go: more than the longest piece (SPAN + WINDOW + 1), so that one shared digest is never enough.
 SPAN, WINDOW, MIN_RUN = 12, 10, 24
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -72,32 +74,38 @@ def _digests(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
         return _mix((sums[end] - sums[begin]) * inverse[begin])
 
 
-def units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, begin, end) of the units, in words, in order of begin; whether a unit is a line; start and stop of the words, in bytes."""
+def units(text: str | None, pieces: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, begin, end) of the units, in words, in order of begin; whether a unit is a line or paragraph; start and stop of the
+    words, in bytes. pieces: whether those that the content decides are made too."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
     words, starts, stops = word_hashes(raw)
     n = len(words)
     none = np.zeros(0, np.int64)
     if n < SPAN + 2:
         return none.astype(np.uint64), none, none, none.astype(bool), starts, stops
-    with np.errstate(over="ignore"):
-        pairs = _mix(words[:-1] * np.uint64(3) + words[1:])
-    width = min(WINDOW, len(pairs))
-    least = np.lib.stride_tricks.sliding_window_view(pairs, width).argmin(1) + np.arange(len(pairs) - width + 1)
-    marks = np.unique(least)
-    to = np.searchsorted(marks, marks + SPAN)
-    begin, end = marks[to < len(marks)], marks[to[to < len(marks)]] + 2
-    # lines long enough to count by themselves
+    begin = end = none
+    if pieces:
+        with np.errstate(over="ignore"):
+            pairs = _mix(words[:-1] * np.uint64(3) + words[1:])
+        width = min(WINDOW, len(pairs))
+        least = np.lib.stride_tricks.sliding_window_view(pairs, width).argmin(1) + np.arange(len(pairs) - width + 1)
+        marks = np.unique(least)
+        to = np.searchsorted(marks, marks + SPAN)
+        begin, end = marks[to < len(marks)], marks[to[to < len(marks)]] + 2
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    last = np.append(first[1:], n)
-    long = last - first >= MIN_RUN
+    step = np.diff(line, prepend=-2)
+    first, top = np.flatnonzero(step), np.flatnonzero(step > 1)
+    last, bottom = np.append(first[1:], n), np.append(top[1:], n)
+    # a paragraph of one line is that line
+    several = line[bottom - 1] > line[top]
+    first, last = np.concatenate([first, top[several]]), np.concatenate([last, bottom[several]])
+    long = last - first >= MIN_UNIT
     first, last = first[long], last[long]
     lines = _mix(_digests(words, first, last) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     digest = np.concatenate([_digests(words, begin, end), lines])
     begin, end = np.concatenate([begin, first]), np.concatenate([end, last])
     is_line = np.arange(len(digest)) >= len(digest) - len(lines)
-    order = np.lexsort((is_line, begin))
+    order = np.lexsort((-end, is_line, begin))
     return digest[order], begin[order], end[order], is_line[order], starts, stops
 
 
@@ -112,22 +120,21 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cut(text: str | None, elsewhere: np.ndarray) -> tuple[str, list[int], list[int]]:
+def cut(text: str | None, elsewhere: np.ndarray, pieces: bool = True) -> tuple[str, list[int], list[int]]:
     """(text kept, starts and stops of what goes, in code points of the original text).
 
-    A unit goes if its digest is among `elsewhere` (an earlier document has it) or came before in this text.
+    A unit goes if its digest is among `elsewhere` (an earlier document has it) or came before in this text: lines and paragraphs
+    each by itself, pieces where they run to MIN_RUN words.
     """
     text = text or ""
-    digest, begin, end, is_line, starts, stops = units(text)
+    digest, begin, end, is_line, starts, stops = units(text, pieces)
     gone = np.isin(digest, elsewhere)
     seen = np.ones(len(digest), bool)
     seen[np.unique(digest, return_index=True)[1]] = False
     gone |= seen
-    runs = [(b, e) for b, e in _spans(begin[gone & ~is_line], end[gone & ~is_line])]
-    # a line alone could be a chance digest: it needs a paragraph that agrees
-    lines = [(b, e) for b, e in zip(begin[gone & is_line].tolist(), end[gone & is_line].tolist(), strict=True) if any(x < e and b < y for x, y in runs)]
-    every = sorted(runs + lines)
-    runs = [(b, e) for b, e in _spans(np.array([b for b, _ in every], np.int64), np.array([e for _, e in every], np.int64)) if e - b >= MIN_RUN]
+    runs = [(b, e) for b, e in _spans(begin[gone & ~is_line], end[gone & ~is_line]) if e - b >= MIN_RUN]
+    every = sorted(runs + list(zip(begin[gone & is_line].tolist(), end[gone & is_line].tolist(), strict=True)))
+    runs = _spans(np.array([b for b, _ in every], np.int64), np.array([e for _, e in every], np.int64))
     if not runs:
         return text, [], []
     raw = text.encode()
@@ -144,51 +151,50 @@ def cut(text: str | None, elsewhere: np.ndarray) -> tuple[str, list[int], list[i
     return "".join(kept), begin_cp, end_cp
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: bool = True) -> DataFrame:
     """Every row of docs with its text less the passages that an earlier document, or the text itself before, already has; and
     removed (array<struct<start,stop>>, code points of the original text) and n_removed (long, code points).
 
-    Units are hashed and their digests grouped globally; the earliest by id, then by place, keeps each unit. Units are lines of
-    at least MIN_RUN words and content-defined paragraphs, as passages also repeat inside longer lines. A null id ranks after
-    every other; rows that repeat an id count as one document. Null text counts as empty. Columns of docs named removed or
-    n_removed are replaced; others pass through.
+    Units are hashed and their digests grouped globally; the earliest by id, then by place, keeps each unit. Units are lines and
+    paragraphs of at least MIN_UNIT words and, with pieces, content-defined pieces, as passages also repeat inside longer lines.
+    Rows that repeat an id count as one document. A row with a null id is a document of its own, after all that have one and in
+    the order of the rows. Null text counts as empty. Columns of docs named removed or n_removed are replaced; others pass
+    through. Units are made once for the digests, and again only for texts that lose some.
     """
     own = {text_col.lower(), "removed", "n_removed"}
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
+    scratch = Scratch(docs.sparkSession)
+    kept, _ = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")))
+    body, ident = F.col("row")[text_col].alias("body"), F.col("row")[id_col].alias("id")
 
     def emit(batches):
         for b in batches:
-            ids, out, local = [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                d = units(text)[0]
-                first = np.unique(d)
-                # one row without digest tells that the text repeats itself
-                again = int(len(first) < len(d))
-                ids.append(np.full(len(first) + again, k))
-                out.append(np.concatenate([first, np.zeros(again, np.uint64)]).view(np.int64))
-                local.append(np.arange(len(first) + again) >= len(first))
-            at = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            for s in range(0, len(at), 100_000):
-                p = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[p])), pa.array(np.concatenate(out)[p], mask=np.concatenate(local)[p])], names=["id", "digest"])
-
-    kind = dict(rows.dtypes)["id"]
-    found = rows.mapInArrow(emit, f"id {kind}, digest long")
-    known = found.filter("digest is not null")
-    shared = known.groupBy("digest").agg(F.min("id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    shared = shared.filter("n > 1 and keeper is not null").select("digest", "keeper", "n")
-    late = salted_join(known, shared, "digest", "n", F.struct("id")).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper"))).select("id", "digest")
-    marks = late.unionByName(found.filter("digest is null")).groupBy("id").agg(F.collect_set("digest").alias("late")).select(F.col("id").alias("id_"), "late")
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                digests = [units(t, pieces)[0] for t in part.column(2).to_pylist()]
+                first = [np.unique(d).view(np.int64) for d in digests]
+                # whether the text repeats itself
+                again = [len(f) < len(d) for f, d in zip(first, digests, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *first])), pa.array(again, pa.bool_())], names=["id", "at", "digests", "again"])
+
+    kind = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
+    found, _ = scratch.keep(kept.select(ident, "at", body).mapInArrow(emit, f"id {kind}, at long, digests array<long>, again boolean"))
+    known = found.select("id", "at", F.explode("digests").alias("digest"))
+    shared = known.groupBy("digest").agg(F.min("id").alias("keeper"), F.min(F.when(F.col("id").isNull(), F.col("at"))).alias("keeper_at"), F.count(F.lit(1)).alias("n"))
+    shared = shared.filter("n > 1").select("digest", "keeper", "keeper_at", "n")
+    mine = F.when(F.col("keeper").isNull(), F.col("at") == F.col("keeper_at")).otherwise(F.coalesce(F.col("id") == F.col("keeper"), F.lit(False)))
+    late = salted_join(known, shared, "digest", "n", F.col("at")).filter(~mine).select("at", "digest")
+    late = late.unionByName(found.filter("again").select("at", F.lit(None).cast("long").alias("digest")))
+    marks = late.groupBy("at").agg(F.collect_set("digest").alias("late"))
 
     @F.pandas_udf("struct<kept:string,starts:array<int>,stops:array<int>>")
     def trim(texts, late):
         import pandas as pd
 
-        got = [cut(t, np.asarray(d, np.int64).view(np.uint64)) if d is not None else (t or "", [], []) for t, d in zip(texts, late, strict=True)]
+        got = [cut(t, np.asarray(d, np.int64).view(np.uint64), pieces) if d is not None else (t or "", [], []) for t, d in zip(texts, late, strict=True)]
         return pd.DataFrame(got, columns=["kept", "starts", "stops"])
 
-    payload = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    joined = payload.join(marks, F.col("id").eqNullSafe(F.col("id_")), "left")
+    joined = kept.select("row", "at", body).join(marks, "at", "left")
     # texts that stay whole don't go through Python
     done = joined.filter("late is not null").withColumn("t", trim("body", "late"))
     spans = F.arrays_zip(F.col("t.starts").alias("start"), F.col("t.stops").alias("stop"))

@@ -224,6 +224,93 @@ def test_substring_dedup(spark):
     assert len(by[2][1].split()) < 12 + 40 + 21
 
 
+def plain_units(text, pieces=True):
+    """(words, begin, end, is_line) of the units of a text, by lists of words; marks from the same hashes of word pairs."""
+    words, lines = [], []
+    for k, line in enumerate((text or "").split("\n")):
+        for w in re.findall(r"[^\x20\x09-\x0D]+", line):
+            words.append(ascii_lower(w))
+            lines.append(k)
+    n, out = len(words), []
+    if n < substring.SPAN + 2:
+        return words, []
+    if pieces:
+        h, _, _ = substring.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+        pairs = substring._mix(h[:-1] * np.uint64(3) + h[1:]).tolist()
+        width = min(substring.WINDOW, n - 1)
+        marks = sorted({min(range(i, i + width), key=lambda j: (pairs[j], j)) for i in range(n - width)})
+        for m in marks:
+            to = next((x for x in marks if x >= m + substring.SPAN), None)
+            if to is not None:
+                out.append((m, to + 2, False))
+    for gap in (0, 1):
+        cuts = [0, *(i for i in range(1, n) if lines[i] - lines[i - 1] > gap), n]
+        out += [(a, b, True) for a, b in zip(cuts, cuts[1:]) if b - a >= substring.MIN_UNIT]
+    return words, sorted(set(out))
+
+
+def plain_substrings(rows):
+    """What stays of each row's words, by comparing the words of units themselves."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, out = {}, {}
+    for i in order:
+        doc = (rows[i][0], None if rows[i][0] is not None else i)
+        words, found = plain_units(rows[i][1])
+        for a, b, line in found:
+            seen.setdefault((line, tuple(words[a:b])), doc)
+    for i in order:
+        doc = (rows[i][0], None if rows[i][0] is not None else i)
+        words, found = plain_units(rows[i][1])
+        mine, gone, cover = set(), set(), []
+        for a, b, line in sorted(found):
+            key = (line, tuple(words[a:b]))
+            if seen[key] != doc or key in mine:
+                (gone.update(range(a, b)) if line else cover.append((a, b)))
+            mine.add(key)
+        at = 0
+        while at < len(cover):
+            a, b = cover[at]
+            while at + 1 < len(cover) and cover[at + 1][0] <= b:
+                at += 1
+                b = max(b, cover[at][1])
+            if b - a >= substring.MIN_RUN:
+                gone.update(range(a, b))
+            at += 1
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def test_substring_dedup_against_plain(spark):
+    rng = random.Random(21)
+    pick = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    p, line, para = pick(70), pick(26), f"{pick(10)}\n{pick(9)}\n{pick(8)}"
+    rows = [(i, f"{pick(rng.randrange(40))} {p if i % 3 else ''} {pick(rng.randrange(30))}\n{line if i % 4 else pick(5)}\n\n{para if i % 5 else pick(3)}\n\n{pick(20)}") for i in range(30)]
+    rows += [(None, f"{p} {pick(30)}"), (None, f"x {p}"), (None, p.upper()), (None, None), (4, p), (7, f"{pick(3)}\n{line}\n{pick(3)}\n{line}"), (90, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").coalesce(1)
+    got = {r.place: [ascii_lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)] for r in substring.dedup_substrings(df).collect()}
+    assert got == plain_substrings(rows)
+
+
+def test_lines_and_paragraphs_go_by_themselves():
+    rng = random.Random(22)
+    pick = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    line, para = pick(30), f"{pick(9)}\n{pick(9)}\n{pick(9)}"
+    seen = substring.units(f"{line}\n\n{para}", False)[0]
+    a, b = pick(20), pick(20)
+    kept, starts, stops = substring.cut(f"{a}\n{line.upper()}\n{b}\n\n{para}\n\n{b[:20]}", seen, False)
+    assert kept == f"{a}\n\n{b}\n\n\n\n{b[:20]}" and len(starts) == 2
+    # inside a longer line only pieces find them
+    assert substring.cut(f"{a} {line} {b}", seen, False)[0] == f"{a} {line} {b}"
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    rng = random.Random(23)
+    p = " ".join(rng.choice(WORDS) for _ in range(80))
+    df = spark.createDataFrame([(None, p)] * 50 + [(None, "other words")], "doc_id long, text string")
+    kept = [r.text for r in substring.dedup_substrings(df).collect()]
+    assert kept.count(p) == 1 and "other words" in kept and max(len(t.split()) for t in kept if t != p) < 20
+
+
 def test_substring_columns(spark):
     df = spark.createDataFrame([(1, "a", "x", 3)], "doc_id long, text string, removed string, late int")
     out = substring.dedup_substrings(df)

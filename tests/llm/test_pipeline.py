@@ -2,12 +2,10 @@
 
 import random
 
-import numpy as np
-
 import corpus_pipeline
-from strandwise.llm import packing, quality, substring
+from strandwise.llm import packing, quality
 
-from .test_cleaning import WORDS, plain_line_dedup, plain_quality
+from .test_cleaning import WORDS, plain_line_dedup, plain_quality, plain_substrings
 
 
 def corpus():
@@ -40,11 +38,7 @@ def plain(docs):
         if all(len(grams & g) < 0.8 * len(grams | g) for _, _, g in stay):
             stay.append((i, t, grams))
     docs = [(i, t) for i, t, _ in stay]
-    seen, out = np.zeros(0, np.uint64), []
-    for i, t in docs:
-        out.append((i, substring.cut(t, seen)[0]))
-        seen = np.union1d(seen, substring.units(t)[0])
-    return {i: len(t.split()) + 1 for i, t in out}
+    return {docs[i][0]: len(w) + 1 for i, w in plain_substrings(docs).items()}
 
 
 def test_run_against_plain(spark, tmp_path):
