@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -31,60 +33,97 @@ def unflatten(flat: np.ndarray, dims: dict[str, tuple[int, ...]]) -> dict[str, n
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; a large negative x overflows to infinity, whose reciprocal is the right zero."""
-    with np.errstate(over="ignore"):
-        np.negative(x, out=x)
-        np.exp(x, out=x)
-        x += 1
-        return np.reciprocal(x, out=x)
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: the squashing function of gates and candidates. Like tanh it runs from -1 to 1, at a quarter of
+    the time; its slope is (1 - |result|)^2."""
+    y = np.abs(x)
+    y += 1
+    x /= y
+    return x
+
+
+#: x * _SLOPE + _ONE as a whole number, read as the bits of a float, is 2 ** (x / ln 2) at whole powers of two and linear between.
+_SLOPE, _ONE, _MOST = np.float32(2**23 / np.log(2)), np.int32(127 << 23), np.float32(125 * 2**23)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """An exponential that is linear between powers of two, in place: positive and growing, within 6.2 % of e^x. What is
+    divided by its sum is a probability all the same, and its slope (_slope) is used as it is, so training and scores agree."""
+    x *= _SLOPE
+    np.clip(x, -_MOST, _MOST, out=x)
+    bits = x.astype(np.int32)
+    bits += _ONE
+    return bits.view(np.float32)
+
+
+def _slope(e: np.ndarray) -> np.ndarray:
+    """The slope of _exp where its value is e: 1 / ln 2 times the power of two at or below it."""
+    out = (e.view(np.int32) & np.int32(0x7F800000)).view(np.float32)
+    out *= np.float32(1 / np.log(2))
+    return out
 
 
 def lanes(texts: list[np.ndarray], width: int) -> list[list[int]]:
     """Texts dealt to at most `width` lanes of about equal length, the longest lane first."""
     out: list[list[int]] = [[] for _ in range(min(width, max(1, len(texts))))]
-    load = np.zeros(len(out))
+    load = [(0, k) for k in range(len(out))]
     for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
-        k = int(load.argmin())
+        n, k = heapq.heappop(load)
         out[k].append(i)
-        load[k] += len(texts[i])
-    return [out[k] for k in np.argsort(-load, kind="stable") if out[k]]
+        heapq.heappush(load, (n + len(texts[i]), k))
+    return [out[k] for _, k in sorted(load, reverse=True) if out[k]]
+
+
+#: Lanes, unless there are fewer texts.
+FEWEST = 48
 
 
 class Windows:
     """Texts (arrays of output ids, the last one the end) as windows of steps x lanes; a lane is cut after each window, but the
     state goes on. first: the input of a text's first step. longest: where few lanes are left, windows take more steps, up to
-    this many, so that they hold about width * steps tokens as before; for training only."""
+    this many, so that they hold about width * steps tokens as before.
+
+    Windows are made as they are asked for and hold the live lanes only: memory doesn't depend on the longest text.
+    """
 
     def __init__(self, texts: list[np.ndarray], width: int, steps: int, first: int, longest: int | None = None):
-        dealt = lanes(texts, width)
+        self.texts, self.first = texts, first
+        # no more lanes than keep busy as long as the longest text takes
+        lengths = [len(t) for t in texts]
+        self.dealt = lanes(texts, min(width, max(FEWEST, sum(lengths) // max(1, max(lengths, default=1)))))
         self.steps, self.full, self.longest = steps, width * steps, longest or steps
-        lengths = [sum(len(texts[i]) for i in lane) for lane in dealt]
-        n = max(lengths, default=0)
-        self.y = np.zeros((n, len(dealt)), np.int32)
-        self.x = np.zeros((n, len(dealt)), np.int32)
-        self.doc = np.full((n, len(dealt)), -1, np.int32)
-        self.begin = np.zeros((n, len(dealt)), bool)
-        for k, lane in enumerate(dealt):
-            at = 0
-            for i in lane:
-                t = texts[i]
-                m = len(t)
-                self.y[at : at + m, k] = t
-                self.x[at, k] = first
-                self.x[at + 1 : at + m, k] = t[:-1]
-                self.begin[at, k] = True
-                self.doc[at : at + m, k] = i
-                at += m
-        self.lengths = np.array(lengths)
+        self.lengths = [sum(len(texts[i]) for i in lane) for lane in self.dealt]
 
     def __iter__(self):
-        t = 0
-        while t < len(self.y):
-            b = int((self.lengths > t).sum())
-            s = slice(t, t + max(self.steps, min(self.longest, self.full // b)))
-            t = s.stop
-            yield self.x[s, :b], self.y[s, :b], self.begin[s, :b], self.doc[s, :b]
+        t, live = 0, len(self.dealt)
+        place = [(0, 0)] * live  # text of the lane, and place in it
+        last = [self.first] * live
+        while live and self.lengths[live - 1] <= t:
+            live -= 1
+        while live:
+            n = max(self.steps, min(self.longest, self.full // live))
+            x, y, doc = np.zeros((n, live), np.int32), np.zeros((n, live), np.int32), np.full((n, live), -1, np.int32)
+            begin = np.zeros((n, live), bool)
+            for k in range(live):
+                at, (j, start) = 0, place[k]
+                lane = self.dealt[k]
+                while at < n and j < len(lane):
+                    text = self.texts[lane[j]]
+                    m = min(n - at, len(text) - start)
+                    y[at : at + m, k] = text[start : start + m]
+                    doc[at : at + m, k] = lane[j]
+                    x[at, k] = last[k] if start else self.first
+                    x[at + 1 : at + m, k] = text[start : start + m - 1]
+                    begin[at, k] = not start
+                    last[k] = text[start + m - 1]
+                    at, start = at + m, start + m
+                    if start == len(text):
+                        j, start = j + 1, 0
+                place[k] = (j, start)
+            t += n
+            yield x, y, begin, doc
+            while live and self.lengths[live - 1] <= t:
+                live -= 1
 
 
 class Model:
@@ -95,111 +134,144 @@ class Model:
         self.hidden = params["U"].shape[0]
 
     def forward(self, x: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each step (steps, lanes, hidden) and what the way back needs."""
+        """States (hidden x lanes) after each step, and what the way back needs. Gates stand above each other, so that each is a
+        whole block of memory."""
         p, n = self.p, self.hidden
-        hs = np.empty((*x.shape, n), np.float32)
+        hs = np.empty((len(x), n, x.shape[1]), np.float32)
         back = []
         any_begin = begin.any(1)
+        given = p["E"][x]
+        given += p["b"]
+        given = np.ascontiguousarray(given.transpose(0, 2, 1))
+        across, bn = np.ascontiguousarray(p["U"].T), p["bn"][:, None]
         for t in range(len(x)):
             if any_begin[t]:
-                h = h * ~begin[t][:, None]
-            g = p["E"][x[t]] + p["b"]
-            u = h @ p["U"]
-            zr = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            m = u[:, 2 * n :] + p["bn"]
-            c = np.tanh(g[:, 2 * n :] + r * m)
+                h = h * ~begin[t]
+            g = given[t]
+            u = across @ h
+            zr = g[: 2 * n]
+            zr += u[: 2 * n]
+            zr = _soft(zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            z, r = zr[:n], zr[n:]
+            m = u[2 * n :]
+            m += bn
+            c = r * m
+            c += g[2 * n :]
+            c = _soft(c)
             if keep:
                 back.append((h, z, r, m, c))
-            h = c + z * (h - c)
-            hs[t] = h
+            new = hs[t]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
+            h = new
         return hs, back
 
     def output(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log probability of each output (rows) given its state; with grads, also the states' gradients of the loss."""
         p = self.p
-        logits = hs @ p["C"] + p["cb"]
-        # biases and states are bounded, so exponents stay in range without taking the maximum out
-        e = np.exp(logits)
-        total = e.sum(1)
         k = self.out_class[y]
-        rows = np.arange(len(y))
-        logp = logits[rows, k] - np.log(total)
-        dh = None
-        if grads is not None:
-            d = e
-            d /= total[:, None]
-            d[rows, k] -= 1
-            grads["C"] += hs.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["C"].T
+        logp, dh = self._choose(hs, k, p["C"], p["cb"], grads, ("C", "cb"), None)
         slot = self.out_slot[y]
         inner = np.flatnonzero(slot >= 0)
         inner = inner[np.argsort(k[inner], kind="stable")]
         edges = np.searchsorted(k[inner], np.arange(len(p["O"]) + 1))
-        for c in range(len(p["O"])):
-            i = inner[edges[c] : edges[c + 1]]
-            if not len(i):
-                continue
-            own = hs[i]
-            a = own @ p["O"][c] + p["ob"][c]
-            e = np.exp(a)
-            total = e.sum(1)
-            at = np.arange(len(i))
-            logp[i] += a[at, slot[i]] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[at, slot[i]] -= 1
-                grads["O"][c] += own.T @ d
-                grads["ob"][c] += d.sum(0)
-                dh[i] += d @ p["O"][c].T
+        own, place = hs[inner], slot[inner]
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            s = slice(edges[c], edges[c + 1])
+            more, back = self._choose(own[s], place[s], p["O"][c], p["ob"][c], grads, ("O", "ob"), c)
+            logp[inner[s]] += more
+            if back is not None:
+                dh[inner[s]] += back
         return logp, dh
 
+    @staticmethod
+    def _choose(hs, chosen, weight, bias, grads, names, c):
+        """Log probability of the chosen column of each row, and with grads the gradients of the loss."""
+        e = hs @ weight
+        e += bias
+        e = _exp(e)
+        total = e.sum(1)
+        rows = np.arange(len(chosen))
+        picked = e[rows, chosen]
+        logp = np.log(picked / total)
+        if grads is None:
+            return logp, None
+        d = _slope(e)
+        at = d[rows, chosen] / picked
+        d /= total[:, None]
+        d[rows, chosen] -= at
+        into_w, into_b = (grads[names[0]], grads[names[1]]) if c is None else (grads[names[0]][c], grads[names[1]][c])
+        into_w += hs.T @ d
+        into_b += d.sum(0)
+        return logp, d @ weight.T
+
     def gradients(self, x, y, begin, valid, h):
         """Gradients of the mean loss of a window (backpropagation stops at its begin), the loss and the last state."""
         p, n = self.p, self.hidden
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         hs, back = self.forward(x, begin, h, True)
         at = np.flatnonzero(valid.ravel())
-        logp, dout = self.output(hs.reshape(-1, n)[at], y.ravel()[at], grads)
+        logp, dout = self.output(self._rows(hs)[at], y.ravel()[at], grads)
         count = max(1, len(at))
         dhs = np.zeros((x.size, n), np.float32)
         dhs[at] = dout
-        dhs = dhs.reshape(hs.shape)
-        dg = np.empty((*x.shape, 3 * n), np.float32)
+        dhs = np.ascontiguousarray(dhs.reshape(*x.shape, n).transpose(0, 2, 1))
+        # slopes of the gates' sums, as the input gives them and as the state does
+        dg, du = (np.empty((len(x), 3 * n, x.shape[1]), np.float32) for _ in range(2))
         dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, m, c = back[t]
-            dh = dh + dhs[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * m * r * (1 - r)
-            dm = dc * r
-            dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :] = dz, dr, dc
-            du = np.concatenate([dz, dr, dm], 1)
-            grads["U"] += before.T @ du
-            grads["bn"] += dm.sum(0)
-            dh = (dh * z + du @ p["U"].T) * ~begin[t][:, None]
-        flat = dg.reshape(-1, 3 * n)
-        # invalid steps have no gradient: zero rows may meet any input
+            dh += dhs[t]
+            dz, dr, dc = dg[t, :n], dg[t, n : 2 * n], dg[t, 2 * n :]
+            np.abs(c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= dc
+            dc *= dh
+            dc *= 1 - z
+            # a gate g is (1 + s) / 2: its slope is (1 - |s|)^2 / 2
+            for gate, slope, inner, outer in ((z, dz, before - c, dh), (r, dr, m, dc)):
+                np.multiply(gate, 2, out=slope)
+                slope -= 1
+                np.abs(slope, out=slope)
+                np.subtract(1, slope, out=slope)
+                slope *= slope
+                slope *= outer
+                slope *= inner
+                slope *= np.float32(0.5)
+            du[t, : 2 * n] = dg[t, : 2 * n]
+            np.multiply(dc, r, out=du[t, 2 * n :])
+            dh = dh * z
+            dh += p["U"] @ du[t]
+            dh *= ~begin[t]
+        befores = np.stack([b[0] for b in back])
+        grads["U"] += np.tensordot(befores, du, ((0, 2), (0, 2)))
+        grads["bn"] += du[:, 2 * n :].sum((0, 2))
+        # invalid steps have no gradient: zeros may meet any input
+        flat = dg.transpose(1, 0, 2).reshape(3 * n, -1)
         order = np.argsort(x.ravel(), kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
-        grads["E"][ids[first]] = np.add.reduceat(flat[order], first, axis=0)
-        grads["b"] += flat.sum(0)
+        grads["E"][ids[first]] = np.add.reduceat(flat[:, order], first, axis=1).T
+        grads["b"] += flat.sum(1)
         for g in grads.values():
             g /= count
         return grads, -float(logp.sum()), count, hs[-1]
 
+    def _rows(self, hs: np.ndarray) -> np.ndarray:
+        return hs.transpose(0, 2, 1).reshape(-1, self.hidden)
+
     def train(self, windows: Windows, adam: dict, rate: float, full: int) -> int:
         """One pass over the windows with Adam, gradients clipped by norm; returns the number of tokens.
 
         A window of fewer than `full` tokens moves the parameters less: at the end of a batch a few long texts are left alone.
         """
         seen = 0
-        h = np.zeros((0, self.hidden), np.float32)
+        h = np.zeros((self.hidden, 0), np.float32)
         for x, y, begin, doc in windows:
-            h = np.zeros((x.shape[1], self.hidden), np.float32) if not len(h) else h[: x.shape[1]]
+            h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
             grads, _, count, h = self.gradients(x, y, begin, doc >= 0, h)
             seen += count
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
@@ -229,12 +301,12 @@ class Model:
     def score(self, texts: list[np.ndarray], width: int, steps: int, first: int) -> np.ndarray:
         """Natural log probability of each whole text, its windows joined by the carried state."""
         out = np.zeros(len(texts))
-        h = np.zeros((0, self.hidden), np.float32)
-        for x, y, begin, doc in Windows(texts, width, steps, first):
-            h = np.zeros((x.shape[1], self.hidden), np.float32) if not len(h) else h[: x.shape[1]]
+        h = np.zeros((self.hidden, 0), np.float32)
+        for x, y, begin, doc in Windows(texts, width, steps, first, 8 * steps):
+            h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
             hs, _ = self.forward(x, begin, h, False)
             h = hs[-1]
             at = np.flatnonzero(doc.ravel() >= 0)
-            logp, _ = self.output(hs.reshape(-1, self.hidden)[at], y.ravel()[at])
+            logp, _ = self.output(self._rows(hs)[at], y.ravel()[at])
             out += np.bincount(doc.ravel()[at], logp, minlength=len(texts))
         return out

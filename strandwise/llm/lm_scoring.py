@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +15,19 @@ from .common import Scratch
 
 #: The most frequent words that make up SHARE of all tokens are neural, LEAST of them at least, in HEADS word classes at least;
 #: spelling classes for all other words, and hidden units.
-SHARE, LEAST, HEADS, SHAPES, HIDDEN = 0.6, 512, 32, 32, 24
+SHARE, LEAST, HEADS, SHAPES, HIDDEN = 0.6, 512, 32, 32, 32
 #: Lanes and steps of a training window and of a scoring window, passes into which training is cut, and their rates.
-TRAIN, SCORE, RATES = (256, 16), (512, 32), (0.03, 0.02, 0.008)
+TRAIN, SCORE, RATES = (512, 16), (512, 16), (0.03, 0.02, 0.008)
 #: Steps of a training window where few long texts are left; the state is carried through whole texts, as in scoring.
 LONGEST = 128
-#: Parameters in a block, the unit in which the tasks' parameters are added up.
-BLOCK = 1 << 12
-#: Words with at least 1/COMMON of all tokens are sent to every task: at most COMMON of them; the rest is joined.
+#: Parameters in a block, the unit in which the tasks' parameters are added up, and first sums of each block.
+BLOCK, FIRST = 1 << 12, 64
+#: Words with at least 1/COMMON of all tokens, and END, are sent to every task: at most COMMON + 1 of them; the rest is joined.
 COMMON = 1 << 20
-#: Counts that a task holds before it hands them on.
-MAX_COUNTS = 400_000
+#: Rows that are split into words at once.
+ROWS = 10_000
 #: The end mark among the words, which are never empty.
-END = b""
+END = ""
 
 _SHAPE = np.full(256, 31, np.int32)
 _SHAPE[97:123] = np.arange(26)
@@ -39,56 +38,67 @@ for _c in b"#*$%&|<>!":
     _SHAPE[_c] = 30
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased: the byte methods know ASCII only."""
-    return (text or "").encode().lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words [^\\x20\\x09-\\x0D]+ of an array of texts, A-Z lower-cased, and the number of words up to each row's end."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+    # spaces at either end of a text leave empty strings
+    full = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(full, min_count=0).as_py():
+        ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
+        flat = flat.filter(full)
+    return flat, ends
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c): the count of every word and of END over all rows of texts (text), each task handing on its own sums."""
+    """(word, c): the count of every word and of END over all rows of texts (text), each batch handing on its own sums."""
 
     def run(batches):
-        counts: Counter = Counter()
+        for b in batches:
+            for s in range(0, b.num_rows, ROWS):
+                part = b.column(0).slice(s, ROWS)
+                got = split(part)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field(0), pa.array([END])]), pa.concat_arrays([got.field(1), pa.array([len(part)], pa.int64())])], names=["word", "c"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(words(text))
-                counts[END] += 1
-                if len(counts) > MAX_COUNTS:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def shape_of(words: pa.Array) -> np.ndarray:
+    """The spelling class of each word: that of its last byte; 31 for END."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    empty = offsets[1:] == offsets[:-1]
+    out = _SHAPE[raw[np.maximum(offsets[1:] - 1, 0)]] if len(raw) else np.zeros(len(words), np.int32)
+    return np.where(empty, 31, out)
 
 
 class Coder:
     """Words to output ids: the most frequent ones have ids of their own in word classes, the others share ids by spelling."""
 
-    def __init__(self, common: list[tuple[bytes, int]], total: int | None = None):
-        """common: (word, count), most frequent first. total: tokens of the corpus, if there are more than those of common."""
-        sums = np.cumsum([c for _, c in common])
-        share = int(np.searchsorted(sums, SHARE * (total or (sums[-1] if common else 0)))) + 1
-        own = min(len(common), max(LEAST, share))
+    def __init__(self, words: pa.Array, counts: np.ndarray, total: int | None = None):
+        """Words and their counts, most frequent first. total: tokens of the corpus, if there are more than those."""
+        sums = np.cumsum(counts)
+        share = int(np.searchsorted(sums, SHARE * (total or (sums[-1] if len(sums) else 0)))) + 1
+        own = min(len(words), max(LEAST, share))
         heads = max(HEADS, math.isqrt(own) // 2)
         width = max(LEAST // HEADS, -(-own // heads))
         self.heads, self.width = heads, width
-        self.index = {w: i for i, (w, _) in enumerate(common)}
-        self.log_count = np.log10(np.array([c for _, c in common], np.float64) + 1)
+        self.words = words
+        self.log_count = np.log10(np.asarray(counts, np.float64) + 1)
         self.own = own
         self.spelled = heads * width
         #: of the common words, then of spelling class s at len(common) + s
-        self.id = np.concatenate([np.arange(own), self.spelled + np.array([_SHAPE[w[-1]] if w else 31 for w, _ in common[own:]], np.int64), self.spelled + np.arange(SHAPES)]).astype(np.int32)
+        self.id = np.concatenate([np.arange(own), self.spelled + shape_of(words.slice(own)), self.spelled + np.arange(SHAPES)]).astype(np.int32)
         n = heads * width + SHAPES
         # frequent words are spread over the classes, so that each class has some of every frequency
         self.out_class = np.concatenate([np.arange(heads * width) % heads, heads + np.arange(SHAPES)]).astype(np.int32)
         self.out_slot = np.concatenate([np.arange(heads * width) // heads, np.full(SHAPES, -1)]).astype(np.int32)
         self.dims = gru.shapes(n, heads + SHAPES, heads, width, HIDDEN)
-        self.first = int(self.id[self.index[END]]) if END in self.index else n - 1
+        end = words.index(END).as_py()
+        self.end = end if end >= 0 else len(words) + 31
+        self.first = int(self.id[self.end])
 
     def start(self, mass: np.ndarray) -> dict[str, np.ndarray]:
         """First parameters: small random weights, and biases from the counts (mass: that of each spelling class), so that the
@@ -102,47 +112,62 @@ class Coder:
         p["cb"] -= p["cb"].max()
         return p
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places of the words and the end among the common words (-1: elsewhere), output ids, and the words elsewhere."""
-        tokens = [*words(text), END]
-        at = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
-        rare = np.flatnonzero(at < 0)
-        others = [tokens[i] for i in rare.tolist()]
-        places = at.copy()
-        places[rare] = len(self.index) + np.array([_SHAPE[w[-1]] if w else 31 for w in others], np.int64) if len(rare) else at[rare]
-        return at, self.id[places], others
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all tokens of the texts, each text's end included: places among the common words (len(words) + spelling class for
+        those elsewhere) and the texts' ends; then the words elsewhere, and how many of them there are up to each text's end."""
+        flat, ends = split(texts)
+        at = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy().astype(np.int32)
+        rare = at < 0
+        others = flat.filter(pa.array(rare))
+        at[rare] = len(self.words) + shape_of(others)
+        stops = ends + np.arange(1, len(ends) + 1)
+        places = np.full(len(at) + len(ends), self.end, np.int32)
+        keep = np.ones(len(places), bool)
+        keep[stops - 1] = False
+        places[keep] = at
+        return places, stops, others, np.concatenate([[0], np.cumsum(rare)])[ends]
 
 
 def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.ndarray:
     """Parameters after len(RATES) passes, each over its own part of the texts by `key`, so that every text is used once.
 
     In a pass each task trains on its rows from the pass's first parameters; the new ones are the means, weighted by tokens.
-    Sums of whole numbers make them the same whatever order tasks end in. What comes to the driver is one set of parameters.
+    Sums of whole numbers make them the same whatever order tasks end in; they do depend on which rows share a task. Sums go
+    through FIRST partial ones a block, so no task reads them from all tasks. What comes to the driver is one set of parameters.
     """
     params = gru.flatten(coder.start(mass))
+    known = texts.sparkSession.sparkContext.broadcast(coder)
     for r, rate in enumerate(RATES):
         frozen = params
 
         def run(batches, frozen=frozen, rate=rate):
+            from pyspark import TaskContext
+
+            coder = known.value
             model = gru.Model(gru.unflatten(frozen, coder.dims), coder.out_class, coder.out_slot)
             seen, adam = 0, {}
             for b in batches:
-                ids = [coder.encode(t)[1] for t in b.column(0).to_pylist()]
+                places, stops, _, _ = coder.encode(b.column(0))
+                ids = np.split(coder.id[places], stops[:-1]) if len(stops) else []
                 seen += model.train(gru.Windows(ids, *TRAIN, coder.first, LONGEST), adam, rate, TRAIN[0] * TRAIN[1]) if ids else 0
             if seen:
                 value = np.rint(gru.flatten(model.p) * 1e6).astype(np.int64) * seen
                 blocks = [value[k : k + BLOCK].tobytes() for k in range(0, len(value), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "seen", "value"])
+                n = len(blocks)
+                first = TaskContext.get().partitionId() % FIRST
+                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([first] * n, pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "first", "seen", "value"])
 
         def add(t: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in t.column("value"))
-            mean = total / (sum(t.column("seen").to_pylist()) * 1e6)
-            return pa.table({"block": t.column("block")[:1], "value": pa.array([mean.tobytes()], pa.binary())})
+            return pa.table({"block": t.column("block")[:1], "first": t.column("first")[:1], "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "value": pa.array([total.tobytes()], pa.binary())})
 
-        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").mapInArrow(run, "block int, seen long, value binary")
-        got = part.groupBy("block").applyInArrow(add, "block int, value binary").collect()
+        schema = "block int, first int, seen long, value binary"
+        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").mapInArrow(run, schema)
+        sums = part.groupBy("block", "first").applyInArrow(add, schema)
+        got = sums.groupBy("block").applyInArrow(add, schema).collect()
         if got:
-            params = np.concatenate([np.frombuffer(x.value) for x in sorted(got, key=lambda x: x.block)])
+            params = np.concatenate([np.frombuffer(x.value, np.int64) / (x.seen * 1e6) for x in sorted(got, key=lambda x: x.block)])
+    known.unpersist()
     return params
 
 
@@ -153,29 +178,29 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     count. score is the recurrent model's: the class of each token given all before it, then the word in its class: by the model
     for the most frequent words that make up SHARE of all tokens, by counts plus one for the words that share a spelling class, where words never
     seen count as zero. Null text counts as empty (its one token is the end). A null held_out counts as false. Without any
-    training rows both scores come from empty counts and an untrained model. Repeated rows are scored and counted each.
+    training rows both scores come from empty counts and an untrained model. Repeated rows are scored and counted each. The
+    model's parameters depend on which rows share a task, so another partitioning changes score a little, and nothing else.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     known = rows.filter(~F.col("held_out"))
     counts, _ = scratch.keep(word_counts(known.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    found = counts.filter(F.col("c") * COMMON >= total).collect() if total else []
-    common = sorted(((bytes(x.word), x.c) for x in found), key=lambda x: (-x[1], x[0]))
-    coder = Coder(common, total)
+    found = counts.filter((F.col("c") * COMMON >= total) | (F.col("word") == END)).toArrow() if total else pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64())})
+    found = found.sort_by([("c", "descending"), ("word", "ascending")])
+    common, often = found.column("word").combine_chunks(), found.column("c").to_numpy()
+    if isinstance(common, pa.ChunkedArray):
+        common = pa.concat_arrays(common.chunks) if common.num_chunks else pa.array([], pa.string())
+    common = common.cast(pa.string())
+    coder = Coder(common, often, total)
 
     def by_shape(batches):
         for b in batches:
-            w, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            shape = np.array([_SHAPE[x[-1]] if x else 31 for x in w], np.int64)
-            mass = np.bincount(shape, c + 1, minlength=SHAPES).astype(np.int64)
+            mass = np.bincount(shape_of(b.column(0)), b.column(1).to_numpy() + 1, minlength=SHAPES).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(mass)], names=["shape", "mass"])
 
     # words with ids of their own are no part of the spelling classes
-    own = np.zeros(SHAPES, np.int64)
-    for w, c in common[: coder.own]:
-        own[_SHAPE[w[-1]] if w else 31] += c + 1
-    mass = np.ones(SHAPES, np.int64) - own
+    mass = 1 - np.bincount(shape_of(common.slice(0, coder.own)), often[: coder.own] + 1, minlength=SHAPES).astype(np.int64)
     for x in counts.mapInArrow(by_shape, "shape long, mass long").groupBy("shape").agg(F.sum("mass").alias("mass")).collect():
         mass[x["shape"]] += x["mass"]
     log_mass = np.log10(mass.astype(np.float64))
@@ -189,31 +214,29 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, n, n_known, base, inner, rare_words, rare_counts = [], [], [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                at, out, others = coder.encode(text)
-                here = at[at >= 0]
-                ids.append(out)
-                n.append(len(at))
-                n_known.append(len(here))
-                base.append(float(coder.log_count[here].sum()))
-                spelled = out[out >= coder.spelled] - coder.spelled
-                inner.append(float(coder.log_count[here[here >= coder.own]].sum() - log_mass[spelled].sum()))
-                rare = Counter(others)
-                rare_words.append(list(rare))
-                rare_counts.append(list(rare.values()))
-            score = model.score(ids, *SCORE, coder.first) / np.log(10) if ids else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(ids))), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score + np.array(inner, np.float64)), pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int32()))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
-            )
-            row += len(ids)
+            for s in range(0, b.num_rows, ROWS):
+                part = b.slice(s, ROWS)
+                places, stops, others, ends = coder.encode(part.column(1))
+                starts = np.concatenate([[0], stops[:-1]])
+                out = coder.id[places]
+                known = places < len(coder.words)
+                log_count = np.where(known, coder.log_count[np.minimum(places, len(coder.words) - 1)] if len(coder.words) else 0.0, 0.0)
+                spelled = out >= coder.spelled
+                # the word within its spelling class, by counts; rare words' own counts are joined later
+                inner = np.where(spelled, log_count - log_mass[np.maximum(out - coder.spelled, 0)], 0.0)
+                score = model.score(np.split(out, stops[:-1]), *SCORE, coder.first) / np.log(10) + np.add.reduceat(inner, starts)
+                rare = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), others)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(2), pa.array(stops - starts), pa.array(np.add.reduceat(known, starts).astype(np.int64)), pa.array(np.add.reduceat(log_count, starts)), pa.array(score), rare],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                )
+                row += part.num_rows
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored, _ = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"))
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    more = pairs.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("more"), F.sum("times").alias("more_known"))
-    out = scored.drop("rare", "times").join(more, "row", "left")
+    scored, _ = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"))
+    pairs = scored.select("row", F.explode("rare").alias("word"))
+    more = pairs.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
+    out = scored.drop("rare").join(more, "row", "left")
     extra = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -21,22 +22,38 @@ def test_gradients_against_differences():
     p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in dims.items()}
     model = gru.Model(p, np.concatenate([np.arange(12) % 3, [3, 4, 5]]), np.concatenate([np.arange(12) // 3, [-1] * 3]))
     x, y, begin, doc = next(iter(gru.Windows([rng.integers(0, 15, n) for n in (9, 4, 5)], 2, 9, 0)))
-    h = np.zeros((2, 5), np.float32)
+    h = np.zeros((5, 2), np.float32)
     grads, _, count, _ = model.gradients(x, y, begin, doc >= 0, h)
     for k in p:
         for _ in range(4):
             i = tuple(rng.integers(0, s) for s in p[k].shape)
             old, losses = p[k][i], []
-            for e in (0.01, -0.01):
+            for e in (0.01, 0.0, -0.01):
                 p[k][i] = old + e
                 losses.append(model.gradients(x, y, begin, doc >= 0, h)[1])
             p[k][i] = old
-            assert abs((losses[0] - losses[1]) / 0.02 / count - grads[k][i]) < 2e-4
+            # the exponential has corners: the slope lies between those to either side
+            right, left = ((losses[j] - losses[j + 1]) / 0.01 / count for j in (0, 1))
+            assert min(left, right) - 4e-4 < grads[k][i] < max(left, right) + 4e-4
+
+
+def test_exponential():
+    x = np.linspace(-60, 60, 100_001).astype(np.float32)
+    e = gru._exp(x.copy()).astype(float)
+    assert (np.diff(e) >= 0).all() and (e > 0).all()
+    assert 0.999 < (e / np.exp(x.astype(float))).min() and (e / np.exp(x.astype(float))).max() < 1.063
+    slope = np.diff(e) / np.diff(x.astype(float))
+    given = gru._slope(gru._exp(x.copy())).astype(float)[:-1]
+    assert np.mean(abs(slope / given - 1) < 0.01) > 0.97
+
+
+def coder_of(counted, total=None):
+    return lm_scoring.Coder(pa.array([w for w, _ in counted], pa.string()), np.array([c for _, c in counted]), total)
 
 
 def test_state_is_carried_across_windows():
     rng = np.random.default_rng(1)
-    coder = lm_scoring.Coder([(b"a", 9), (b"", 3), (b"bb", 2)])
+    coder = coder_of([("a", 9), ("", 3), ("bb", 2)])
     model = gru.Model(gru.start(coder.dims), coder.out_class, coder.out_slot)
     texts = [rng.integers(0, 3, n) for n in (50, 1, 7, 33, 90)]
     want = model.score(texts, 5, 1000, 0)
@@ -45,20 +62,74 @@ def test_state_is_carried_across_windows():
 
 
 def test_outputs_are_probabilities():
-    coder = lm_scoring.Coder([(w.encode(), 9 - i) for i, w in enumerate("abcde")] + [(b"", 1)])
+    coder = coder_of([(w, 9 - i) for i, w in enumerate("abcde")] + [("", 1)])
     model = gru.Model(gru.start(coder.dims), coder.out_class, coder.out_slot)
     ids = np.arange(len(coder.out_class))
     logp, _ = model.output(np.ones((len(ids), lm_scoring.HIDDEN), np.float32), ids)
     assert abs(np.exp(logp.astype(np.float64)).sum() - 1) < 1e-3
 
 
+def plain_score(p, coder, ids):
+    """The same model in plain loops over one text, in double precision."""
+    soft = lambda v: v / (1 + abs(v))
+
+    def bend(v):
+        """Between powers of two linear, equal to e^v at them."""
+        t = v / math.log(2)
+        return 2.0 ** math.floor(t) * (1 + t - math.floor(t))
+
+    q = {k: v.astype(float) for k, v in p.items()}
+    n, h, x, out = q["U"].shape[0], np.zeros(q["U"].shape[0]), coder.first, 0.0
+    for y in ids:
+        g, u = q["E"][x] + q["b"], h @ q["U"]
+        z = [(1 + soft(g[i] + u[i])) / 2 for i in range(n)]
+        r = [(1 + soft(g[n + i] + u[n + i])) / 2 for i in range(n)]
+        c = [soft(g[2 * n + i] + r[i] * (u[2 * n + i] + q["bn"][i])) for i in range(n)]
+        h = np.array([c[i] + z[i] * (h[i] - c[i]) for i in range(n)])
+        k, slot = coder.out_class[y], coder.out_slot[y]
+        e = [bend(v) for v in h @ q["C"] + q["cb"]]
+        out += math.log(e[k] / sum(e))
+        if slot >= 0:
+            e = [bend(v) for v in h @ q["O"][k] + q["ob"][k]]
+            out += math.log(e[slot] / sum(e))
+        x = y
+    return out
+
+
+def test_scores_against_plain_loops():
+    rng = np.random.default_rng(4)
+    coder = coder_of([("a", 9), ("", 3), ("bb", 2)])
+    p = {k: rng.normal(0, 0.4, s).astype(np.float32) for k, s in coder.dims.items()}
+    texts = [rng.integers(0, len(coder.out_class), n) for n in (1, 40, 7, 120)]
+    got = gru.Model(p, coder.out_class, coder.out_slot).score(texts, 3, 16, coder.first)
+    assert np.allclose(got, [plain_score(p, coder, t) for t in texts], rtol=2e-4, atol=2e-3)
+
+
+def test_a_long_text_among_short_ones_takes_little_memory():
+    import tracemalloc
+
+    texts = [np.zeros(1_000_000, np.int32)] + [np.zeros(20, np.int32)] * 511
+    tracemalloc.start()
+    seen = sum(int((doc >= 0).sum()) for _, _, _, doc in gru.Windows(texts, 512, 16, 0))
+    assert seen == 1_000_000 + 511 * 20 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_words_are_split_as_the_contract_says():
+    texts = [None, "", "  A b\x0bC\x0cÉ\x1cd ", "\n", "x" * 5, "\u00a0y Z\r\n"]
+    flat, ends = lm_scoring.split(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert flat.to_pylist() == [w.decode() for t in want for w in t] and ends.tolist() == np.cumsum([len(t) for t in want]).tolist()
+    assert lm_scoring.split(pa.array(texts)[1:4])[1].tolist() == [0, 4, 4]
+
+
 def test_neural_words_follow_from_the_counts():
-    common = [(b"w%d" % i, 3000 - i) for i in range(3000)]
+    common = [(f"w{i}", 3000 - i) for i in range(3000)]
     total = sum(c for _, c in common)
-    coder = lm_scoring.Coder(common, total)
+    coder = coder_of(common, total)
     assert sum(c for _, c in common[: coder.own]) >= lm_scoring.SHARE * total and coder.own > 512
-    assert lm_scoring.HIDDEN >= 24 and coder.heads >= 32 and coder.heads * coder.width >= coder.own
-    assert lm_scoring.Coder(common, 2 * total).own == 3000 and lm_scoring.Coder(common[:600], 10**9).own == 600
+    assert lm_scoring.HIDDEN >= 32 and coder.heads >= 32 and coder.heads * coder.width >= coder.own
+    assert coder_of(common, 2 * total).own == 3000 and coder_of(common[:600], 10**9).own == 600
     # a word with an id of its own, whatever the rank
     assert len(set(coder.id[: coder.own])) == coder.own and coder.id[coder.own : 3000].min() >= coder.spelled
 
@@ -75,6 +146,10 @@ def test_training_goes_through_whole_texts():
     assert begins == 3 and len(seen) == 5740 and set(seen.values()) == {1}
 
 
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
 def held(d):
     return zlib.crc32(str(d).encode()) % 7 == 2
 
@@ -88,12 +163,12 @@ def test_lm_scores_base_and_gain(spark):
     counts = Counter()
     for i, t in rows:
         if not held(i):
-            counts.update([*lm_scoring.words(t), b""])
+            counts.update(tokens_of(t))
     n, v = sum(counts.values()), len(counts)
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
-        tokens = [*lm_scoring.words(texts[r.doc_id]), b""]
+        tokens = tokens_of(texts[r.doc_id])
         assert r.held_out == held(r.doc_id) and r.n_tokens == len(tokens) and r.train_tokens == n
         assert r.n_known == sum(counts[w] > 0 for w in tokens)
         assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)) < 1e-6 * len(tokens)
@@ -102,6 +177,14 @@ def test_lm_scores_base_and_gain(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_beats_the_unigram_in_each_language(spark):
+    """On held-out documents of the driver's table, all of them and those of each language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("score", F.lit("clash"))
+    got = lm_scoring.lm_scores(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+    by = got.filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+    assert len(by) == 4 and all(r.s > r.b for r in by)
+
+
 def test_lm_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm_scoring.lm_scores(df, F.lit(True)).first()
