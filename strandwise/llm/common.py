@@ -68,7 +68,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/strandwise-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: list[str] = []
         fs, path = self._at(self.base)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -78,8 +78,8 @@ class Scratch:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.count += 1
-        path = f"{self.base}/{self.count}"
+        path = f"{self.base}/{len(self.paths) + 1}"
+        self.paths.append(path)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 

@@ -290,7 +290,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     scratch = Scratch(docs.sparkSession)
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    kept, _ = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    kept, kept_path = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
     kind = docs.select(ident).dtypes[0][1]
     source = kept.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), F.xxhash64("doc").alias("h"), "row")
 
@@ -310,7 +310,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = components(links, scratch).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.select("node", "least", "row").join(gone, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winner = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "row")).alias("w")
-    stay = named.groupBy("root").agg(winner).select(F.col("w.row").alias("row"))
+    stay, stay_path = scratch.keep(named.groupBy("root").agg(winner).select(F.col("w.row").alias("row")))
+    # all else has done its work
+    scratch.drop(*(x for x in scratch.paths if x not in (kept_path, stay_path)))
     return kept.join(stay, "row", "left_semi").select("doc.*")
 
 

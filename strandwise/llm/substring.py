@@ -158,13 +158,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Units are hashed and their digests grouped globally; the earliest by id, then by place, keeps each unit. Units are lines and
     paragraphs of at least MIN_UNIT words and, with pieces, content-defined pieces, as passages also repeat inside longer lines.
     Rows that repeat an id count as one document. A row with a null id is a document of its own, after all that have one and in
-    the order of the rows. Null text counts as empty. Columns of docs named removed or n_removed are replaced; others pass
+    the order of the rows, which must be the same whenever docs is read, as it is for a table. Null text counts as empty. Columns of docs named removed or n_removed are replaced; others pass
     through. Units are made once for the digests, and again only for texts that lose some.
     """
     own = {text_col.lower(), "removed", "n_removed"}
     scratch = Scratch(docs.sparkSession)
-    kept, _ = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")))
-    body, ident = F.col("row")[text_col].alias("body"), F.col("row")[id_col].alias("id")
+    ident, body = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # rows of one id may differ in text: what goes belongs to the pair of id and text, or to the row where there is no id
+    at = F.when(ident.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(body)).alias("at")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), body.alias("body"), at)
 
     def emit(batches):
         for b in batches:
@@ -177,15 +179,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *first])), pa.array(again, pa.bool_())], names=["id", "at", "digests", "again"])
 
-    kind = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
-    found, _ = scratch.keep(kept.select(ident, "at", body).mapInArrow(emit, f"id {kind}, at long, digests array<long>, again boolean"))
+    kind = dict(rows.dtypes)["id"]
+    found, path = scratch.keep(rows.select("id", "at", "body").mapInArrow(emit, f"id {kind}, at long, digests array<long>, again boolean"))
     known = found.select("id", "at", F.explode("digests").alias("digest"))
     shared = known.groupBy("digest").agg(F.min("id").alias("keeper"), F.min(F.when(F.col("id").isNull(), F.col("at"))).alias("keeper_at"), F.count(F.lit(1)).alias("n"))
     shared = shared.filter("n > 1").select("digest", "keeper", "keeper_at", "n")
     mine = F.when(F.col("keeper").isNull(), F.col("at") == F.col("keeper_at")).otherwise(F.coalesce(F.col("id") == F.col("keeper"), F.lit(False)))
-    late = salted_join(known, shared, "digest", "n", F.col("at")).filter(~mine).select("at", "digest")
-    late = late.unionByName(found.filter("again").select("at", F.lit(None).cast("long").alias("digest")))
-    marks = late.groupBy("at").agg(F.collect_set("digest").alias("late"))
+    late = salted_join(known, shared, "digest", "n", F.col("at")).filter(~mine).select("id", "at", "digest")
+    late = late.unionByName(found.filter("again").select("id", "at", F.lit(None).cast("long").alias("digest")))
+    marks, _ = scratch.keep(late.groupBy("id", "at").agg(F.collect_set("digest").alias("late")).select(F.col("id").alias("id_"), F.col("at").alias("at_"), "late"))
+    scratch.drop(path)
 
     @F.pandas_udf("struct<kept:string,starts:array<int>,stops:array<int>>")
     def trim(texts, late):
@@ -194,7 +197,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         got = [cut(t, np.asarray(d, np.int64).view(np.uint64), pieces) if d is not None else (t or "", [], []) for t, d in zip(texts, late, strict=True)]
         return pd.DataFrame(got, columns=["kept", "starts", "stops"])
 
-    joined = kept.select("row", "at", body).join(marks, "at", "left")
+    joined = rows.join(marks, F.col("id").eqNullSafe(F.col("id_")) & (F.col("at") == F.col("at_")), "left")
     # texts that stay whole don't go through Python
     done = joined.filter("late is not null").withColumn("t", trim("body", "late"))
     spans = F.arrays_zip(F.col("t.starts").alias("start"), F.col("t.stops").alias("stop"))
