@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +67,41 @@ def sequence_hash(seq: Column) -> Column:
     return F.sha2(F.upper(F.trim(seq)), 256)
 
 
+@lru_cache(maxsize=8)
+def _codon_table(table: int) -> np.ndarray:
+    """Amino acids by 25 a + 5 b + c, where bases count 0 to 3 in the order ACGT and anything else 4."""
+    out = np.full(125, ord("X"), np.uint8)
+    for codon, amino in codons(table).items():
+        a, b, c = ("ACGT".index(x) for x in codon)
+        out[25 * a + 5 * b + c] = ord(amino)
+    return out
+
+
 def translate_codons(seq: Column, table: int = 1) -> Column:
-    """Protein of a sequence from its first base; a codon that isn't all ACGT gives X, a rest of one or two bases nothing."""
-    code = F.create_map(*[F.lit(x) for kv in codons(table).items() for x in kv])
-    return F.array_join(F.transform(F.regexp_extract_all(seq, F.lit("(...)"), 1), lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), "")
+    """Protein of a sequence from its first base; a codon that isn't all ACGT gives X, a rest of one or two bases nothing.
+
+    One look-up a codon, in Arrow batches: a per-codon expression on the JVM is interpreted and took many times longer.
+    """
+
+    @F.pandas_udf("string")
+    def protein(seqs):
+        import pandas as pd
+
+        base = np.full(256, 4, np.uint8)
+        base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+        amino = _codon_table(table)
+
+        def one(x):
+            if x is None:
+                return None
+            # a character that isn't ASCII is one base like any other letter
+            b = base[np.frombuffer(x.encode("ascii", "replace"), np.uint8)]
+            n = len(b) // 3
+            return amino[25 * b[0 : 3 * n : 3] + 5 * b[1 : 3 * n : 3] + b[2 : 3 * n : 3]].tobytes().decode()
+
+        return pd.Series([one(x) for x in seqs], dtype=object)
+
+    return protein(seq)
 
 
 def site_class(pattern: str, contained: bool = False) -> str:

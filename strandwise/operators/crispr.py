@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +53,42 @@ def top_targets(found: DataFrame, most: int = 50, least_score: int = 0) -> DataF
     return found.filter(F.col("score") >= least_score).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= most)
 
 
+def _microhomologies(width: int, most: int):
+    """A pass over batches (doc_id, rank, cut0, region, rel): pairs (len, l, r) of equal stretches of 2 to 6 bases on either side
+    of rel, the best one of each distance r - l and of these the best `most`; by score, then len, l and r."""
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1_000):
+                b = whole.slice(first, 1_000)
+                texts = [(x or "").encode("ascii", "replace") for x in b.column(3).to_pylist()]
+                n = np.array([len(x) for x in texts])[:, None]
+                rel = b.column(4).to_numpy(zero_copy_only=False)[:, None]
+                bases = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in texts), np.uint8).reshape(-1, width).astype(np.uint64)
+                found = []
+                for k in range(2, 7):
+                    at = np.arange(width - k + 1)
+                    code = sum(bases[:, i : i + len(at)] << np.uint64(8 * i) for i in range(k))
+                    same = code[:, :, None] == code[:, None, :]
+                    same &= (at + k <= rel)[:, :, None]
+                    same &= ((at >= rel) & (at + k <= n))[:, None, :]
+                    g, l, r = np.nonzero(same)
+                    found.append((g, np.full(len(g), k), l, r))
+                g, k, l, r = (np.concatenate(x) for x in zip(*found, strict=True))
+                score = np.floor(np.array([2.2**x for x in range(7)])[k] / np.sqrt(r - l) * 10 + 0.5)
+                order = np.lexsort((r, l, k, -score, r - l, g))
+                size, owner = (r - l)[order], g[order]
+                order = order[(np.diff(size, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)]
+                order = order[np.lexsort((r[order], l[order], k[order], -score[order], g[order]))]
+                owner = g[order]
+                begin = np.flatnonzero(np.diff(owner, prepend=-1))
+                order = order[np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) < most]
+                rows = pa.array(g[order])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(4)), *(pa.array(x[order].astype(np.int32)) for x in (k, l, r))], names=["doc_id", "rank", "cut0", "region", "len", "l", "r"])
+
+    return run
+
+
 def mmej_deletions(docs: DataFrame, cuts: DataFrame, radius: int = 30, most: int = 5) -> DataFrame:
     """(doc_id, rank, cut0, deletion_no, microhomology, length, size, frameshift, score, frameshift_probability) of guides (doc_id, rank, cut0).
 
@@ -58,20 +96,19 @@ def mmej_deletions(docs: DataFrame, cuts: DataFrame, radius: int = 30, most: int
     `most` sizes. Every guide gives a bounded number of pairs.
     """
     j = cuts.select("doc_id", "rank", "cut0").join(docs.select("doc_id", "topology", "seq", "n"), "doc_id")
-    circular = F.col("topology") == "circular"
-    left = F.when(circular, F.pmod(F.col("cut0") - radius, F.col("n"))).otherwise(F.greatest(F.lit(0), F.col("cut0") - radius))
-    round_ = F.substr(F.repeat(rotate(F.col("seq"), left.cast("int")), F.ceil(F.lit(2.0 * radius) / F.col("n")).cast("int")), F.lit(1), F.lit(2 * radius))
-    j = j.withColumn("region", F.when(circular, round_).otherwise(F.substr("seq", (left + 1).cast("int"), (F.least("n", F.col("cut0") + radius) - left).cast("int"))))
-    j = j.select("doc_id", "rank", "cut0", "region", F.when(circular, F.lit(radius)).otherwise((F.col("cut0") - left).cast("int")).alias("rel"))
-    span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    j = j.withColumn("len", F.explode(F.sequence(F.lit(2), F.lit(6))))
-    j = j.withColumn("l", F.explode(span(F.lit(0), F.col("rel") - F.col("len")))).withColumn("motif", F.substr("region", F.col("l") + 1, F.col("len")))
-    j = j.withColumn("r", F.explode(span(F.col("rel"), F.length("region") - F.col("len")))).filter(F.substr("region", F.col("r") + 1, F.col("len")) == F.col("motif"))
+    circular, n = F.col("topology") == "circular", F.col("n")
+    left = F.when(circular, F.pmod(F.col("cut0") - radius, n)).otherwise(F.greatest(F.lit(0), F.col("cut0") - radius)).cast("int")
+    # a window over the origin takes its rest from the begin; only a molecule shorter than the window is read round more than once
+    round_ = F.when(n >= 2 * radius, F.concat(F.substr("seq", left + 1, F.lit(2 * radius)), F.substr("seq", F.lit(1), F.greatest(F.lit(0), left + 2 * radius - n).cast("int"))))
+    round_ = round_.otherwise(F.substr(F.repeat(rotate(F.col("seq"), left), F.ceil(F.lit(2.0 * radius) / n).cast("int")), F.lit(1), F.lit(2 * radius)))
+    region = F.when(circular, round_).otherwise(F.substr("seq", left + 1, (F.least("n", F.col("cut0") + radius) - left).cast("int")))
+    j = j.select("doc_id", "rank", "cut0", region.alias("region"), F.when(circular, F.lit(radius)).otherwise(F.col("cut0") - left).cast("int").alias("rel"))
+    kinds = dict(j.dtypes)
+    j = j.mapInArrow(_microhomologies(2 * radius, most), ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "rank", "cut0", "region")) + ", len int, l int, r int")
+    j = j.withColumn("motif", F.substr("region", F.col("l") + 1, F.col("len")))
     size = (F.col("r") - F.col("l")).cast("long")
     j = j.withColumn("size", size).withColumn("score", F.floor(F.pow(F.lit(2.2), "len") / F.sqrt("size") * 10 + 0.5) / 10)
     guide = ["doc_id", "rank"]
-    one = W.partitionBy(*guide, "size").orderBy(F.desc("score"), "len", "l", "r")
-    j = j.withColumn("k", F.row_number().over(one)).filter("k = 1")
     no = W.partitionBy(*guide).orderBy(F.desc("score"), "len", "l", "r")
     j = j.withColumn("deletion_no", F.row_number().over(no).cast("long")).filter(F.col("deletion_no") <= most).withColumn("frameshift", F.col("size") % 3 != 0)
     every = W.partitionBy(*guide)
