@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Texts, and shingles of texts, that one task compares (at most, but for a single text).
-CELL, CELL_SHINGLES = 2_000, 4_000_000
+CELL, CELL_SHINGLES = 500, 4_000_000
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles (A-Z lower-cased, words without ASCII white space); a shorter text is one."""
