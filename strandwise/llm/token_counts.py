@@ -56,12 +56,13 @@ class Trie:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
+        self.terminal: dict[bytes, tuple[int, float]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
-        self.terminal: dict[bytes, tuple[int, float]] = {}
+        self.terminal.clear()
 
     def _extend(self, text: str, to: int, best: list[float], count: list[int]) -> tuple[float, int]:
         """Score and count of text[:to], given those of its prefixes: best[-k] is that of text[:to-k]."""
@@ -128,10 +129,15 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         trie = Trie(vocabulary(model_file))
         for b in batches:
             out = []
+            known = trie.terminal.get
             for text in b.column(1).to_pylist():
                 words = Counter((text or "").encode().split())
-                got = [(n, *trie.scored(w)) for w, n in words.items()]
-                out.append((sum(words.values()), len(words), sum(n * t for n, t, _ in got), math.fsum(n * s for n, _, s in got)))
+                tokens, score = 0, 0.0
+                for w, n in words.items():
+                    t, s = known(w) or trie.scored(w)
+                    tokens += n * t
+                    score += n * s
+                out.append((words.total(), len(words), tokens, score))
             cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_pretokens", "n_distinct", "n_tokens", "log_prob"])
 
