@@ -98,4 +98,5 @@ def domesticate(docs: DataFrame, enzyme: str = "BsaI") -> DataFrame:
             got = [domesticate_one(s or "", site) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "domesticated", "positions"])
 
-    return docs.select("doc_id", "seq").mapInArrow(run, "doc_id long, domesticated string, positions array<int>")
+    kind = docs.select("doc_id").dtypes[0][1]
+    return docs.select("doc_id", "seq").mapInArrow(run, f"doc_id {kind}, domesticated string, positions array<int>")

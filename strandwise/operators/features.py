@@ -7,23 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import find_exact
+from .scan import find_motifs
 
 
-def known_features(docs: DataFrame, library: DataFrame, width: int) -> DataFrame:
-    """(doc_id, item_id, strand, start0, end0, wraps): exact occurrences of the library's motifs, all of one width, on both strands."""
-    hits = find_exact(docs, library.select("item_id", "motif"), width).join(docs.select("doc_id", "n"), "doc_id")
-    end = F.col("start0") + width
+def known_features(docs: DataFrame, library: DataFrame, seed: int = 16) -> DataFrame:
+    """(doc_id, item_id, strand, start0, end0, wraps): exact occurrences of the library's motifs, of any widths, on both strands."""
+    hits = find_motifs(docs, library, seed)
+    end = F.col("start0") + F.col("width")
     return hits.select("doc_id", "item_id", "strand", "start0", F.when(end <= F.col("n"), end).otherwise(end % F.col("n")).alias("end0"), (end > F.col("n")).alias("wraps"))
 
 
-def screen(docs: DataFrame, signatures: DataFrame, width: int, least: int = 18) -> DataFrame:
+def screen(docs: DataFrame, signatures: DataFrame, seed: int = 16, least: int = 18) -> DataFrame:
     """(doc_id, n_hits, n_agents, tier, compliant) of every document by a panel (item_id, category, motif) given as input.
 
-    Category 0 ranks before 1 before 2. Sequences shorter than `least` are compliant without a search.
+    Signatures may have any widths. Category 0 ranks before 1 before 2. Sequences shorter than `least` are compliant without a search.
     """
-    hits = find_exact(docs.filter(F.col("n") >= least), signatures.select("item_id", "motif"), width)
-    best = hits.join(F.broadcast(signatures.select("item_id", "category")), "item_id")
+    hits = find_motifs(docs.filter(F.col("n") >= least), signatures, seed)
+    best = hits.join(signatures.select("item_id", "category"), "item_id")
     best = best.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("item_id").alias("n_agents"), F.min("category").alias("best"))
     out = docs.select("doc_id").join(best, "doc_id", "left")
     tier = F.when(F.col("best") == 0, "tier1").when(F.col("best") == 1, "toxin").when(F.col("best") == 2, "other").otherwise("none")

@@ -62,14 +62,14 @@ def with_patterns(docs: DataFrame, patterns: list[dict], kinds: dict[str, str])
     return docs.withColumn("__p", F.explode(rows)).select(*docs.columns, *[F.col(f"__p.{c}").alias(c) for c in kinds])
 
 
-def find_exact(docs: DataFrame, motifs: DataFrame, width: int) -> DataFrame:
+def find_exact(docs: DataFrame, motifs: DataFrame, width: int, strands: tuple[int, ...] = (1, -1)) -> DataFrame:
     """(doc_id, item_id, strand, start0): exact occurrences of many motifs of one width, as an equi-join on k-mers.
 
     motifs (item_id, motif). Every position's k-mer is joined, so the cost doesn't depend on the number of motifs; a motif that
     is its own reverse complement is found on strand 1 only.
     """
     back = F.reverse(F.translate("motif", "ACGT", "TGCA"))
-    both = motifs.select("item_id", F.lit(1).alias("strand"), F.col("motif").alias("kmer")).unionByName(motifs.filter(back != F.col("motif")).select("item_id", F.lit(-1).alias("strand"), back.alias("kmer")))
+    both = motifs.select("item_id", F.lit(1).alias("strand"), F.col("motif").alias("kmer")).unionByName(motifs.filter(back != F.col("motif")).select("item_id", F.lit(-1).alias("strand"), back.alias("kmer"))).filter(F.col("strand").isin(*strands))
     hay = docs.select("doc_id", haystack(F.col("seq"), F.col("topology"), F.lit(width)).alias("hay"))
     at = F.sequence(F.lit(0), F.greatest(F.length("hay") - 1, F.lit(0)), F.lit(BLOCK))
     blocks = hay.withColumn("at", F.explode(at)).select("doc_id", "at", F.substr("hay", F.col("at") + 1, F.lit(BLOCK + width - 1)).alias("part"))
@@ -78,3 +78,27 @@ def find_exact(docs: DataFrame, motifs: DataFrame, width: int) -> DataFrame:
     kmers = shift.select("doc_id", (F.col("at") + F.col("shift")).alias("base"), F.posexplode(F.regexp_extract_all(F.substr("part", F.col("shift") + 1), F.lit(f"(.{{{width}}})"), 1)).alias("k", "kmer"))
     kmers = kmers.select("doc_id", (F.col("base") + F.col("k") * width).cast("long").alias("start0"), "kmer")
     return kmers.join(both, "kmer").select("doc_id", "item_id", F.col("strand").cast("long").alias("strand"), "start0")
+
+
+def find_motifs(docs: DataFrame, motifs: DataFrame, seed: int = 16) -> DataFrame:
+    """(doc_id, n, item_id, strand, start0, width): exact occurrences of motifs (item_id, motif) of any widths on both strands.
+
+    The first `seed` bases of a motif find candidates in one equi-join on k-mers; the rest is then compared with the sequence.
+    Shorter motifs are found whole, one join for each of their widths (fewer than `seed`). A circular sequence is read on through
+    its origin, by motifs no longer than itself; empty motifs are found nowhere.
+    """
+    back = F.reverse(F.translate("motif", "ACGT", "TGCA"))
+    motifs = motifs.select("item_id", "motif")
+    short = [r.w for r in motifs.select(F.length("motif").alias("w")).filter((F.col("w") > 0) & (F.col("w") < seed)).distinct().collect()]
+    ahead = motifs.filter(F.length("motif") >= seed)
+    both = ahead.withColumn("s", F.lit(1)).unionByName(ahead.filter(back != F.col("motif")).select("item_id", back.alias("motif"), F.lit(-1).alias("s")))
+    # one strand at a time is a motif of its own here
+    named = both.select(F.struct("item_id", "s", "motif").alias("item_id"), F.left("motif", F.lit(seed)).alias("motif"))
+    at = find_exact(docs, named, seed, strands=(1,)).select("doc_id", "start0", "item_id.*")
+    seqs = docs.select("doc_id", "topology", "n", "seq")
+    width = F.length("motif")
+    fits = (width <= F.col("n")) & (F.substr(F.when(F.col("topology") == "circular", F.concat("seq", "seq")).otherwise(F.col("seq")), F.col("start0").cast("int") + 1, width) == F.col("motif"))
+    out = at.join(seqs, "doc_id").filter(fits).select("doc_id", "n", "item_id", F.col("s").cast("long").alias("strand"), "start0", width.alias("width"))
+    for w in sorted(short):
+        out = out.unionByName(find_exact(docs, motifs.filter(F.length("motif") == w), w).join(docs.select("doc_id", "n"), "doc_id").withColumn("width", F.lit(w)))
+    return out

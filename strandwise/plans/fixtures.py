@@ -24,11 +24,11 @@ def sequences(spark: SparkSession, sf_dir: str, least: int = 20) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, category, motif: the first 16 bases of each benchmark item, reverse complemented for odd items."""
-    m = F.substr(bases(F.col("text")), F.lit(1), F.lit(16))
+    """item_id, category, motif: the bases of each benchmark item, reverse complemented for odd items."""
+    m = bases(F.col("text"))
     odd = F.reverse(F.translate(m, "ACGT", "TGCA"))
     p = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("category"), F.when(F.col("item_id") % 2 == 1, odd).otherwise(m).alias("motif"))
-    return p.filter(F.length("motif") == 16)
+    return p.filter(F.length("motif") > 0)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,9 @@ all_seq AS (
 
 PANEL = f"""
 panel0 AS (
-  SELECT item_id, item_id % 3 AS category, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}'), 1, 16) AS m FROM benchmark
+  SELECT item_id, item_id % 3 AS category, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS m FROM benchmark
 ), panel AS (
-  SELECT item_id, category, CASE WHEN item_id % 2 = 1 THEN reverse(translate(m, 'ACGT', 'TGCA')) ELSE m END AS motif FROM panel0 WHERE length(m) = 16
+  SELECT item_id, category, CASE WHEN item_id % 2 = 1 THEN reverse(translate(m, 'ACGT', 'TGCA')) ELSE m END AS motif FROM panel0 WHERE length(m) > 0
 )"""
 
 FEATURES = """

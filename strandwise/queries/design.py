@@ -73,10 +73,10 @@ def mmej_topk(spark, d):
 
 
 def _parts(spark, d):
-    """Four parts a molecule of 160 bases or more; every tenth molecule has one overhang that doesn't fit."""
-    s = sequences(spark, d, 160)
-    rows = s.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("ord"), "seq")
-    body = F.replace(F.replace(F.substr("seq", F.col("ord") * 40 + 1, F.lit(40)), F.lit("GGTCTC"), F.lit("")), F.lit("GAGACC"), F.lit(""))
+    """Each molecule in four parts, the last with what is left over; every tenth molecule has one overhang that doesn't fit."""
+    s = sequences(spark, d)
+    rows = s.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("ord"), "seq", F.floor(F.col("n") / 4).cast("int").alias("q"))
+    body = F.replace(F.replace(F.substr("seq", F.col("ord") * F.col("q") + 1, F.when(F.col("ord") < 3, F.col("q")).otherwise(F.col("q") + 3)), F.lit("GGTCTC"), F.lit("")), F.lit("GAGACC"), F.lit(""))
     over = F.array(*[F.lit(o) for o in OVERHANGS])
     right = F.when((F.col("doc_id") % 10 == 3) & (F.col("ord") == 1), "GGGG").otherwise(F.get(over, (F.col("ord") + 1) % 4))
     return rows.select(F.col("doc_id").alias("assembly_id"), F.col("ord").cast("long").alias("ord"), F.concat(F.lit("GGTCTCA"), F.get(over, F.col("ord")), body, right, F.lit("AGAGACC")).alias("seq"))
@@ -96,21 +96,22 @@ def golden_gate_construct(spark, d):
 
 
 def domesticate_invariants(spark, d):
-    """Coding stretches with a planted site: none is left, and the protein stays."""
+    """Molecules as coding sequences with a site planted in the middle: none is left, and the protein stays; null where the rounds don't suffice."""
     from ..functions.nt import translate_codons
 
-    cds = sequences(spark, d, 320).select("doc_id", F.concat(F.lit("ATG"), F.substr("seq", F.lit(1), F.lit(117)), F.lit("GGTCTC"), F.substr("seq", F.lit(118), F.lit(180))).alias("seq"))
+    half = (F.floor(F.col("n") / 6) * 3).cast("int")
+    cds = sequences(spark, d).select("doc_id", F.concat(F.lit("ATG"), F.left("seq", half), F.lit("GGTCTC"), F.substr("seq", half + 1)).alias("seq"))
     j = cds.join(assembly.domesticate(cds), "doc_id")
     count = lambda c: F.regexp_count(c, F.lit("GGTCTC|GAGACC")).cast("long")
     return j.select("doc_id", count(F.col("seq")).alias("sites_before"), count(F.col("domesticated")).alias("sites_after"), F.size("positions").cast("long").alias("n_mutations"), (translate_codons(F.col("seq")) == translate_codons(F.col("domesticated"))).alias("same_protein"))
 
 
 def known_features(spark, d):
-    return features.known_features(sequences(spark, d), panel(spark, d), 16)
+    return features.known_features(sequences(spark, d), panel(spark, d))
 
 
 def signature_screen(spark, d):
-    return features.screen(sequences(spark, d, 0), panel(spark, d), 16)
+    return features.screen(sequences(spark, d, 0), panel(spark, d))
 
 
 def orf_scan(spark, d):
@@ -190,8 +191,8 @@ tg AS (SELECT *, CAST(greatest(0, least(100, floor(100 - (greatest({c['gc_low']}
 _TARGET_COLUMNS = "doc_id, strand, pam_start0, spacer, pam, cut0, bottom_cut0, gc_percent, score"
 _LIST = "[" + ", ".join(f"'{o}'" for o in OVERHANGS) + "]"
 _PARTS = f"""
-gp AS (SELECT doc_id AS assembly_id, ord, 'GGTCTCA' || {_LIST}[ord + 1] || replace(replace(substr(seq, ord * 40 + 1, 40), 'GGTCTC', ''), 'GAGACC', '') ||
-       CASE WHEN doc_id % 10 = 3 AND ord = 1 THEN 'GGGG' ELSE {_LIST}[(ord + 1) % 4 + 1] END || 'AGAGACC' AS seq FROM (SELECT *, unnest(range(0, 4)) AS ord FROM s WHERE n >= 160)),
+gp AS (SELECT doc_id AS assembly_id, ord, 'GGTCTCA' || {_LIST}[ord + 1] || replace(replace(substr(seq, ord * (n // 4) + 1, CASE WHEN ord < 3 THEN n // 4 ELSE n END), 'GGTCTC', ''), 'GAGACC', '') ||
+       CASE WHEN doc_id % 10 = 3 AND ord = 1 THEN 'GGGG' ELSE {_LIST}[(ord + 1) % 4 + 1] END || 'AGAGACC' AS seq FROM (SELECT *, unnest(range(0, 4)) AS ord FROM s)),
 g2 AS (SELECT *, instr(seq, 'GGTCTC') AS f, length(seq) - instr(reverse(seq), reverse('GAGACC')) - 4 AS r FROM gp),
 g3 AS (SELECT *, CASE WHEN f = 0 THEN 'MISSING_FORWARD' WHEN NOT contains(seq, 'GAGACC') THEN 'MISSING_REVERSE' WHEN r - 1 - (f + 7) < 8 THEN 'WRONG_ORDER' WHEN instr(substr(seq, f + 1), 'GGTCTC') > 0 THEN 'INTERNAL_FORWARD' WHEN instr(seq, 'GAGACC') < r THEN 'INTERNAL_REVERSE' END AS error FROM g2),
 dp AS (SELECT assembly_id, ord, CASE WHEN error IS NULL THEN substr(seq, f + 7, r - 1 - (f + 7)) END AS body, error FROM g3),
@@ -199,9 +200,9 @@ dg AS (SELECT *, substr(body, 1, 4) AS left_overhang, right(body, 4) AS right_ov
 jn AS (SELECT assembly_id, ord, right_overhang, CASE WHEN ord < 3 THEN lead(left_overhang) OVER (PARTITION BY assembly_id ORDER BY ord) ELSE first_value(left_overhang) OVER (PARTITION BY assembly_id ORDER BY ord) END AS next_overhang FROM dg),
 jc AS (SELECT *, coalesce(right_overhang = next_overhang, false) AS compatible FROM jn)"""
 _HITS = """
-mot AS (SELECT item_id, category, 1 AS strand, motif AS m FROM panel UNION ALL SELECT item_id, category, -1, reverse(translate(motif, 'ACGT', 'TGCA')) FROM panel WHERE motif <> reverse(translate(motif, 'ACGT', 'TGCA'))),
-hw AS (SELECT doc_id, n, i, substr(hay, i + 1, 16) AS m FROM (SELECT doc_id, n, CASE WHEN topology = 'circular' AND n >= 16 THEN seq || substr(seq, 1, 15) ELSE seq END AS hay, unnest(range(0, n)) AS i FROM {})),
-kh AS (SELECT doc_id, n, i AS start0, item_id, category, CAST(strand AS BIGINT) AS strand FROM hw JOIN mot USING (m))"""
+mot AS (SELECT item_id, category, 1 AS strand, motif AS mm, motif[1:16] AS m FROM panel UNION ALL SELECT item_id, category, -1, reverse(translate(motif, 'ACGT', 'TGCA')), reverse(translate(motif, 'ACGT', 'TGCA'))[1:16] FROM panel WHERE motif <> reverse(translate(motif, 'ACGT', 'TGCA'))),
+hw AS (SELECT doc_id, n, i, substr(hay, i + 1, 16) AS m FROM (SELECT doc_id, n, CASE WHEN topology = 'circular' AND n >= 16 THEN seq || substr(seq, 1, 15) ELSE seq END AS hay, unnest(range(0, n)) AS i FROM {0})),
+kh AS (SELECT hw.doc_id, hw.n, i AS start0, item_id, category, CAST(strand AS BIGINT) AS strand, length(mm) AS w FROM hw JOIN mot USING (m) JOIN {0} q ON q.doc_id = hw.doc_id WHERE length(mm) <= hw.n AND substr(CASE WHEN topology = 'circular' THEN seq || seq ELSE seq END, i + 1, length(mm)) = mm)"""
 _CODE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in codons().items()) + "}"
 
 QUERIES = {
@@ -237,7 +238,7 @@ ORACLE_SQL = {
     "golden_gate_construct": _w(SEQUENCES, _PARTS) + """, k AS (SELECT *, sum(CASE WHEN compatible THEN 0 ELSE 1 END) OVER (PARTITION BY assembly_id ORDER BY ord) AS bad FROM jc),
         a AS (SELECT dg.assembly_id, count(*) AS n_parts, count(*) FILTER (WHERE bad = 0) AS n_compatible, string_agg(substr(body, 1, length(body) - 4), '' ORDER BY dg.ord) AS x FROM dg JOIN k USING (assembly_id, ord) GROUP BY 1)
         SELECT assembly_id, n_parts, n_compatible, CASE WHEN n_compatible = n_parts THEN length(x) END AS length, CASE WHEN n_compatible = n_parts THEN sha256(x) END AS sha256 FROM a""",
-    "known_features": _w(SEQUENCES, PANEL, _HITS.format("s")) + " SELECT doc_id, item_id, strand, start0, CASE WHEN start0 + 16 <= n THEN start0 + 16 ELSE (start0 + 16) % n END AS end0, start0 + 16 > n AS wraps FROM kh",
+    "known_features": _w(SEQUENCES, PANEL, _HITS.format("s")) + " SELECT doc_id, item_id, strand, start0, CASE WHEN start0 + w <= n THEN start0 + w ELSE (start0 + w) % n END AS end0, start0 + w > n AS wraps FROM kh",
     "signature_screen": _w(SEQUENCES, PANEL, _HITS.format("all_seq2").replace("mot AS", "all_seq2 AS (SELECT *, CAST(length(seq) AS BIGINT) AS n FROM all_seq), mot AS", 1)) + """, q AS (SELECT doc_id, count(*) AS n_hits, count(DISTINCT item_id) AS n_agents, min(category) AS best FROM kh WHERE n >= 18 GROUP BY 1)
         SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(n_agents, 0) AS n_agents, CASE best WHEN 0 THEN 'tier1' WHEN 1 THEN 'toxin' WHEN 2 THEN 'other' ELSE 'none' END AS tier, n_hits IS NULL AS compliant FROM all_seq LEFT JOIN q USING (doc_id)""",
     "orf_scan": _w(SEQUENCES) + f""", st AS (SELECT doc_id, n, topology, 1 AS strand, seq AS x FROM s UNION ALL SELECT doc_id, n, topology, -1, {_RC.format('seq')} FROM s),

@@ -67,11 +67,16 @@ def affected_features(spark, d):
 
 
 def _planted(spark, d):
-    """The first 300 bases of each molecule, and the same with three bases complemented at a place that follows from its id."""
-    s = sequences(spark, d, 300).select("doc_id", F.substr("seq", F.lit(1), F.lit(300)).alias("reference"), (F.col("doc_id") * 29 % 280 + 3).cast("int").alias("p"))
+    """Each molecule, and the same with three bases complemented at a place that follows from its id."""
+    s = sequences(spark, d).select("doc_id", F.col("seq").alias("reference"), _place(F.col("n") - 3, 29).cast("int").alias("p"))
     return s.withColumn("query", edit.replace_range(F.col("reference"), F.col("p"), F.col("p") + 3, F.translate(F.substr("reference", F.col("p") + 1, F.lit(3)), "ACGT", "TGCA")))
 
 
+def _one_changed(spark, d):
+    s = sequences(spark, d).select("doc_id", F.col("seq").alias("reference"), _place(F.col("n"), 31).cast("int").alias("p"))
+    return s.withColumn("query", edit.replace_range(F.col("reference"), F.col("p"), F.col("p") + 1, F.translate(F.substr("reference", F.col("p") + 1, F.lit(1)), "ACGT", "TGCA")))
+
+
 def invariant_report(spark, d):
     """What a staged replacement changes: bases, length, protein and the sites of one enzyme."""
     p = _planted(spark, d)
@@ -83,23 +88,22 @@ def invariant_report(spark, d):
 
 
 def diff_planted_edits(spark, d):
-    """One base of 200 complemented: the shortest script is that substitution."""
-    s = sequences(spark, d, 220).select("doc_id", F.substr("seq", F.lit(1), F.lit(200)).alias("reference"), (F.col("doc_id") * 31 % 199).cast("int").alias("p"))
-    s = s.withColumn("query", edit.replace_range(F.col("reference"), F.col("p"), F.col("p") + 1, F.translate(F.substr("reference", F.col("p") + 1, F.lit(1)), "ACGT", "TGCA")))
-    return diff.differences(s)
+    """One base complemented: the shortest script is that substitution."""
+    return diff.differences(_one_changed(spark, d))
 
 
 def diff_runs(spark, d):
     return diff.difference_runs(_planted(spark, d).select("doc_id", "reference", "query"))
 
 
-def canonical_rotation_short(spark, d):
-    return diff.canonical_forms(sequences(spark, d, 32).select("doc_id", F.substr("seq", F.lit(1), F.lit(32)).alias("seq"))).select("doc_id", "canonical")
+def canonical_rotation(spark, d):
+    """Least rotations of whole circular molecules; SQL would compare every rotation with every other, so there is none."""
+    return diff.canonical_forms(sequences(spark, d).filter("topology = 'circular'").select("doc_id", "seq")).select("doc_id", "canonical")
 
 
-def nw_score_small(spark, d):
-    s = sequences(spark, d, 40)
-    return diff.alignment_scores(s.select("doc_id", F.substr("seq", F.lit(1), F.lit(20)).alias("reference"), F.substr("seq", F.lit(8), F.lit(24)).alias("query")))
+def nw_score(spark, d):
+    """Each molecule against itself with one base changed; above the operator's limit of cells the score is null."""
+    return diff.alignment_scores(_one_changed(spark, d))
 
 
 def protein_consequence(spark, d):
@@ -168,8 +172,8 @@ def genbank_locations(spark, d):
 
 
 def genbank_roundtrip(spark, d):
-    """Molecules with up to three features, written and parsed back."""
-    f = feature_table(spark, d).filter("feature_id <= 3").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "type", "strand", "segments"))).alias("fs"))
+    """Molecules with all their features, written and parsed back."""
+    f = feature_table(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "type", "strand", "segments"))).alias("fs"))
     docs = sequences(spark, d).join(f, "doc_id", "left").withColumn("name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
     kind = "array<struct<type:string,strand:bigint,segments:array<struct<start0:bigint,end0:bigint>>,label:string>>"
     docs = docs.withColumn("features", F.coalesce(F.transform("fs", lambda x: F.struct(x["type"].alias("type"), x["strand"].alias("strand"), x["segments"].alias("segments"), F.concat(F.lit("f"), x["feature_id"].cast("string")).alias("label"))), F.array()).cast(kind))
@@ -181,8 +185,8 @@ def genbank_roundtrip(spark, d):
 
 
 def raw_import(spark, d):
-    t = F.concat(F.lit(" 1 "), F.substr("seq", F.lit(1), F.lit(30)), F.lit("\n 31 -."), F.lower(F.substr("seq", F.lit(31), F.lit(30))))
-    s = sequences(spark, d, 60).select("doc_id", formats.read_raw(t).alias("seq"))
+    t = F.concat(formats.origin_block(F.col("seq")), F.lit("\n -."))
+    s = sequences(spark, d).select("doc_id", formats.read_raw(t).alias("seq"))
     return s.withColumn("alphabet", nt.alphabet(F.col("seq")))
 
 
@@ -215,7 +219,7 @@ def _w(*ctes: str) -> str:
 
 _EDIT = ", e AS (SELECT fs.*, s.topology, doc_id * 13 % (fs.n - 12) AS p FROM fs JOIN s USING (doc_id))"
 _SAME = "SELECT doc_id, feature_id, a AS start0, b AS end0 FROM x WHERE a < b"
-_PLANT = """, pl AS (SELECT doc_id, substr(seq, 1, 300) AS r, doc_id * 29 % 280 + 3 AS p FROM s WHERE n >= 300),
+_PLANT = """, pl AS (SELECT doc_id, n, seq AS r, doc_id * 29 % (n - 3) AS p FROM s),
 pq AS (SELECT *, substr(r, 1, p) || translate(substr(r, p + 1, 3), 'ACGT', 'TGCA') || substr(r, p + 4) AS q FROM pl)"""
 
 
@@ -228,7 +232,7 @@ _FASTA_LINE = "array_to_string(regexp_extract_all(seq, '.{1,80}'), chr(10))"
 QUERIES = {
     f.__name__: f
     for f in (
-        edit_sequences, edit_insert, edit_delete, edit_delete_wrapped, edit_replace, edit_rc_region, edit_rotate, affected_features, invariant_report, diff_planted_edits, diff_runs, canonical_rotation_short, nw_score_small,
+        edit_sequences, edit_insert, edit_delete, edit_delete_wrapped, edit_replace, edit_rc_region, edit_rotate, affected_features, invariant_report, diff_planted_edits, diff_runs, canonical_rotation, nw_score,
         protein_consequence, feature_list_filter, feature_dedupe, feature_overlap_join, feature_line_tiles, feature_lanes, feature_diff, site_clusters, fasta_roundtrip, fasta_parse_records, genbank_origin_block,
         genbank_locations, genbank_roundtrip, raw_import, format_sniff, json_roundtrip, genbank_header, protocol_recipe,
     )
@@ -254,14 +258,13 @@ ORACLE_SQL = {
         SELECT doc_id, feature_id, min(a) AS start0, max(b) AS end0 FROM g GROUP BY doc_id, feature_id, k""",
     "affected_features": _w(SEQUENCES, FEATURES) + """, ed AS (SELECT doc_id, 'span' AS edit_id, doc_id * 13 % (n - 12) AS l, doc_id * 13 % (n - 12) + 10 AS r FROM s UNION ALL SELECT doc_id, 'point', doc_id * 17 % n, doc_id * 17 % n FROM s)
         SELECT DISTINCT doc_id, edit_id, feature_id FROM fs JOIN ed USING (doc_id) WHERE CASE WHEN l = r THEN a <= l AND l <= b ELSE a < r AND l < b END""",
-    "invariant_report": _w(SEQUENCES) + _PLANT + f""", c AS (SELECT *, list_filter(range(0, 300), lambda i: r[i + 1] <> q[i + 1]) AS w FROM pq)
-        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_changed, CAST(w[1] AS BIGINT) AS first_changed, CAST(length(q) - length(r) AS BIGINT) AS length_delta, CAST(len(string_split(r, 'GAATTC')) - 1 AS BIGINT) AS sites_before, CAST(len(string_split(q, 'GAATTC')) - 1 AS BIGINT) AS sites_after,
-        {_prot('r')} = {_prot('q')} AS synonymous FROM c""",
-    "diff_planted_edits": _w(SEQUENCES) + """, x AS (SELECT doc_id, seq, doc_id * 31 % 199 AS p FROM s WHERE n >= 220)
+    "invariant_report": _w(SEQUENCES) + _PLANT + f"""
+        SELECT doc_id, CAST(3 AS BIGINT) AS n_changed, p AS first_changed, CAST(length(q) - length(r) AS BIGINT) AS length_delta, CAST(len(string_split(r, 'GAATTC')) - 1 AS BIGINT) AS sites_before, CAST(len(string_split(q, 'GAATTC')) - 1 AS BIGINT) AS sites_after,
+        {_prot('r')} = {_prot('q')} AS synonymous FROM pq""",
+    "diff_planted_edits": _w(SEQUENCES) + """, x AS (SELECT doc_id, seq, doc_id * 31 % n AS p FROM s)
         SELECT doc_id, 'substitution' AS kind, p AS ref_start0, p AS qry_start0, substr(seq, p + 1, 1) AS ref_bases, translate(substr(seq, p + 1, 1), 'ACGT', 'TGCA') AS qry_bases FROM x""",
     "diff_runs": _w(SEQUENCES) + _PLANT + " SELECT doc_id, p AS start0, p + 3 AS end0, CAST(3 AS BIGINT) AS n, substr(r, p + 1, 3) AS ref_bases, substr(q, p + 1, 3) AS qry_bases FROM pq",
-    "canonical_rotation_short": _w(SEQUENCES) + f""", x AS (SELECT doc_id, substr(seq, 1, 32) AS t FROM s WHERE n >= 32), y AS (SELECT doc_id, t FROM x UNION ALL SELECT doc_id, {_RC.format('t')} FROM x)
-        SELECT doc_id, min(list_min(list_transform(range(0, 32), lambda i: substr(t, i + 1) || substr(t, 1, i)))) AS canonical FROM y GROUP BY doc_id""",
+    "nw_score": _w(SEQUENCES) + " SELECT doc_id, CASE WHEN n * n <= 12000000 THEN 2 * n - 3 END AS score FROM s",
     "protein_consequence": _w(SEQUENCES) + _PLANT + f""", t AS (SELECT doc_id, r, q, {_prot("'ATG' || r")} AS a, {_prot("'ATG' || q")} AS b FROM pq)
         SELECT doc_id, CASE WHEN r = q THEN 'none' WHEN a[1] = 'M' AND b[1] <> 'M' THEN 'start_lost' WHEN instr(b, '*') > 0 AND (instr(a, '*') = 0 OR instr(b, '*') < instr(a, '*')) THEN 'nonsense'
         WHEN instr(a, '*') > 0 AND (instr(b, '*') = 0 OR instr(b, '*') > instr(a, '*')) THEN 'stop_lost' WHEN a = b THEN 'synonymous' ELSE 'missense' END AS consequence FROM t""",
@@ -280,8 +283,8 @@ ORACLE_SQL = {
         SELECT doc_id, sha256(string_agg(t, chr(10) ORDER BY i)) AS sha256 FROM l GROUP BY 1""",
     "genbank_locations": _w(SEQUENCES, FEATURES) + """, t AS (SELECT doc_id, feature_id, any_value(strand) AS strand, count(*) AS k, string_agg((a + 1) || '..' || b, ',' ORDER BY fs.k) AS x FROM fs GROUP BY 1, 2), u AS (SELECT *, CASE WHEN k > 1 THEN 'join(' || x || ')' ELSE x END AS y FROM t)
         SELECT doc_id, feature_id, CASE WHEN strand = -1 THEN 'complement(' || y || ')' ELSE y END AS location FROM u""",
-    "genbank_roundtrip": _w(SEQUENCES, FEATURES) + " SELECT s.doc_id, count(f.feature_id) AS n_features, true AS same FROM s LEFT JOIN f ON s.doc_id = f.doc_id AND f.feature_id <= 3 GROUP BY 1",
-    "raw_import": _w(SEQUENCES) + " SELECT doc_id, substr(seq, 1, 60) AS seq, 'DNA' AS alphabet FROM s WHERE n >= 60",
+    "genbank_roundtrip": _w(SEQUENCES, FEATURES) + " SELECT s.doc_id, count(f.feature_id) AS n_features, true AS same FROM s LEFT JOIN f ON s.doc_id = f.doc_id GROUP BY 1",
+    "raw_import": _w(SEQUENCES) + " SELECT doc_id, seq, 'DNA' AS alphabet FROM s",
     "format_sniff": _w(SEQUENCES) + " SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'genbank' WHEN 2 THEN 'fasta' ELSE 'raw' END AS format FROM s",
     "json_roundtrip": _w(SEQUENCES) + " SELECT doc_id, topology, n, sha256(seq) AS sha256 FROM s",
     "genbank_header": _w(SEQUENCES) + " SELECT doc_id, n AS length, topology, 'A vector with two lines.' AS definition, 'Escherichia coli' AS organism, CAST(2 AS BIGINT) AS n_features FROM s",

@@ -9,7 +9,7 @@ from ..functions.tables import enzyme_table, enzymes
 from ..operators import crispr, diff, edit, features, restriction, workspace as ws
 from ..plans.fixtures import FEATURES, SEQUENCES, features as feature_table, sequences, table
 from .design import _crispr_sql
-from .editing import _PLANT, _planted
+from .editing import _PLANT, _one_changed, _planted
 
 PLACES = (":12", "12-30", " 7 .. 9", "abc", "0-5", "30-12", "15", "1..")
 
@@ -36,7 +36,7 @@ def feature_midpoints(spark, d):
 
 
 def sequence_fnv(spark, d):
-    return sequences(spark, d, 64).select("doc_id", diff.fnv1a(F.substr("seq", F.lit(1), F.lit(64))).alias("fnv"))
+    return sequences(spark, d).select("doc_id", diff.fnv1a(F.col("seq")).alias("fnv"))
 
 
 def diff_manifest(spark, d):
@@ -47,16 +47,16 @@ def diff_manifest(spark, d):
 
 
 def diff_summary(spark, d):
-    p = _planted(spark, d).select("doc_id", "reference", "query")
+    p = _one_changed(spark, d).select("doc_id", "reference", "query")
     return diff.summary(p, diff.differences(p))
 
 
 def rotation_votes(spark, d):
-    """Circular stretches of 240 bases, turned by a known amount and in every second one a base changed, find their place again."""
-    s = sequences(spark, d, 240).select("doc_id", F.substr("seq", F.lit(1), F.lit(240)).alias("reference"))
-    p = s.withColumn("query", nt.rotate(F.col("reference"), (F.col("doc_id") * 37 % 240).cast("int")))
-    changed = edit.replace_range(F.col("query"), F.lit(100), F.lit(101), F.translate(F.substr("query", F.lit(101), F.lit(1)), "ACGT", "TGCA"))
-    p = p.withColumn("query", F.when(F.col("doc_id") % 2 == 0, changed).otherwise(F.col("query")))
+    """Molecules read as circles, turned by a known amount and in every second one a base changed, find their place again."""
+    s = sequences(spark, d).select("doc_id", "n", F.col("seq").alias("reference"))
+    p = s.withColumn("query", nt.rotate(F.col("reference"), F.pmod(F.col("doc_id") * 37, F.col("n")).cast("int"))).withColumn("p", F.floor(F.col("n") / 2).cast("int"))
+    changed = edit.replace_range(F.col("query"), F.col("p"), F.col("p") + 1, F.translate(F.substr("query", F.col("p") + 1, F.lit(1)), "ACGT", "TGCA"))
+    p = p.withColumn("query", F.when(F.col("doc_id") % 2 == 0, changed).otherwise(F.col("query"))).select("doc_id", "reference", "query")
     placed = diff.rotations(p).join(p, "doc_id").withColumn("turned", nt.rotate(F.col("reference"), F.col("rotation").cast("int")))
     return placed.select("doc_id", F.size(edit.changed_positions(F.col("turned"), F.col("query"))).cast("long").alias("n_changed"))
 
@@ -115,10 +115,11 @@ ORACLE_SQL = {
         SELECT query, CASE WHEN a >= 1 AND coalesce(b, a) >= a THEN a END AS start1, CASE WHEN a >= 1 AND coalesce(b, a) >= a THEN coalesce(b, a) END AS end1 FROM p""",
     "selection_overlap": _w(SEQUENCES, FEATURES) + ", h AS (SELECT doc_id, feature_id, a, b, row_number() OVER (PARTITION BY doc_id, feature_id ORDER BY k) AS r FROM fs WHERE a < n * 2 // 3 AND n // 3 < b) SELECT doc_id, feature_id, a + 1 AS start1, b AS end1 FROM h WHERE r = 1",
     "feature_midpoints": _w(SEQUENCES, FEATURES) + ", z AS (SELECT *, CASE WHEN wraps THEN n - start0 + end0 ELSE end0 - start0 END AS size FROM f), m AS (SELECT *, (start0 + size // 2) % n AS mid0 FROM z) SELECT doc_id, feature_id, size, mid0, mid0 * 1000 // n AS angle_permille FROM m",
-    "sequence_fnv": _w(SEQUENCES) + f" SELECT doc_id, {_FNV.format('substr(seq, 1, 64)')} AS fnv FROM s WHERE n >= 64",
+    "sequence_fnv": _w(SEQUENCES) + f" SELECT doc_id, {_FNV.format('seq')} AS fnv FROM s",
     "diff_manifest": _w(SEQUENCES) + _PLANT + f""", j AS (SELECT doc_id, CAST(to_json({{'doc_id': doc_id, 'end0': p + 3, 'n': 3, 'qry_bases': substr(q, p + 1, 3), 'ref_bases': substr(r, p + 1, 3), 'start0': p}}) AS VARCHAR) AS manifest FROM pq)
         SELECT doc_id, manifest, lpad(lower(printf('%x', {_FNV.format('manifest')})), 8, '0') AS checksum FROM j""",
-    "rotation_votes": _w(SEQUENCES) + " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_changed FROM s WHERE n >= 240",
+    "diff_summary": _w(SEQUENCES) + " SELECT doc_id, CAST(1 AS BIGINT) AS n_differences, CAST(1 AS BIGINT) AS edit_distance, (n - 1) * 100.0::DOUBLE / n AS identity_percent FROM s",
+    "rotation_votes": _w(SEQUENCES) + " SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_changed FROM s",
     "crispr_region": _w(SEQUENCES, _crispr_sql("SpCas9")) + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, strand DESC, pam_start0) AS rank, strand, pam_start0, score FROM tg WHERE topology = 'linear' AND score >= 60 AND pam_start0 >= n // 4 AND pam_start0 + 3 <= n // 2 QUALIFY rank <= 20",
     "copy_region": _w(SEQUENCES) + """, x AS (SELECT doc_id, 'copy' AS kind, substr(seq, 1, n // 2) AS t FROM s UNION ALL SELECT doc_id, 'inverted', reverse(translate(substr(seq, n // 2 + 1), 'ACGT', 'TGCA')) FROM s)
         SELECT doc_id, kind, CAST(length(t) AS BIGINT) AS n, sha256(t) AS sha256 FROM x""",

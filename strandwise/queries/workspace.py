@@ -72,7 +72,7 @@ def upsert_documents(spark, d):
 
 def workspace_search(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), "source").alias("label"))
-    f = features(spark, d).filter("doc_id < 10").select(F.concat_ws(":", "doc_id", "feature_id").alias("id"), F.col("type").alias("label"))
+    f = features(spark, d).select(F.concat_ws(":", "doc_id", "feature_id").alias("id"), F.col("type").alias("label"))
     e = enzyme_table(spark).select(F.col("enzyme_id").alias("id"), F.col("name").alias("label"))
     return ws.search({"document": docs, "feature": f, "enzyme": e}, QUERY)
 
@@ -160,7 +160,7 @@ ORACLE_SQL = {
     "upsert_documents": _w(SEQUENCES) + """, ch AS (SELECT event_id * 7 % (SELECT count(*) FROM documents) AS doc_id, 'linear' AS topology, event_id % 1000 AS n, event_id % 17 = 0 AS deleted, event_id AS pos FROM events),
         u AS (SELECT doc_id, topology, n, false AS deleted, -1 AS pos FROM s UNION ALL SELECT * FROM ch) SELECT doc_id, topology, n FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1 AND NOT deleted""",
     "workspace_search": _w(SEQUENCES, FEATURES) + f""", en(id, label) AS (VALUES {_ENZ}), u AS (SELECT 0 AS k, 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, 'doc ' || source AS label FROM documents
-        UNION ALL SELECT 1, 'feature', doc_id || ':' || feature_id, type FROM f WHERE doc_id < 10 UNION ALL SELECT 2, 'enzyme', id, label FROM en)
+        UNION ALL SELECT 1, 'feature', doc_id || ':' || feature_id, type FROM f UNION ALL SELECT 2, 'enzyme', id, label FROM en)
         SELECT kind, id, label FROM u WHERE contains(lower(label), '{QUERY}') ORDER BY k, label, id LIMIT 40""",
     "document_list": _w(SEQUENCES) + """ SELECT doc_id, topology, CAST(length(seq) AS BIGINT) AS n, CASE WHEN length(seq) > 0 THEN floor((length(seq) * 2 - length(replace(seq, 'G', '')) - length(replace(seq, 'C', ''))) * 1000.0 / length(seq) + 0.5) / 10 ELSE 0 END AS gc_percent, substr(seq, 1, 10) || '...' || right(seq, 10) AS preview FROM all_seq""",
     "coordinate_check": _w(SEQUENCES, FEATURES) + " SELECT doc_id, feature_id, start0 + 1 AS start1, end0 AS end1, wraps, CASE WHEN topology = 'linear' AND end0 < start0 THEN 'INVERTED_RANGE' WHEN end0 > n THEN 'OUT_OF_BOUNDS' END AS error_code FROM f",

@@ -190,3 +190,68 @@ def test_commit_once(spark):
     tx = spark.createDataFrame([(1, 1, 0, "h", "approved"), (2, 1, 0, "h", "approved"), (3, 1, 1, "h", "approved"), (4, 2, 0, "x", "pending"), (5, 9, 0, "h", "approved"), (6, 1, 0, "h", "rejected")], "tx_id long, doc_id long, base_version long, base_hash string, decision string")
     cur = spark.createDataFrame([(1, 0, "h"), (2, 0, "h")], "doc_id long, version long, hash string")
     assert [r.status for r in workspace.commit(tx, cur).orderBy("tx_id").collect()] == ["applied", "stale", "stale", "pending", "stale", "rejected"]
+
+
+def test_scripts_beyond_the_limit_and_of_long_pairs(spark):
+    rng = random.Random(5)
+    a = "".join(rng.choice("ACGT") for _ in range(50_007))
+    b = a[:30_000] + nt.rc(a[30_000]) + a[30_001:]
+    assert diff.edit_script(a, b) == [("substitution", 30_000, 30_000, a[30_000], b[30_000])]
+    assert diff.positional_script("AACCGGTT", "AAGCTTT") == [("substitution", 2, 2, "C", "G"), ("substitution", 4, 4, "G", "T"), ("deletion", 5, 5, "G", "")]
+    d = spark.createDataFrame([("x", "A" * 50, "C" * 50), ("y", "ACGT", "ACGT"), ("z", None, "AC"), ("e", "", "")], "doc_id string, reference string, query string")
+    got = rows(diff.differences(d, limit=3))
+    assert got == [("x", "substitution", 0, 0, "A" * 50, "C" * 50), ("z", "insertion", 0, 0, "", "AC")]
+    for _ in range(40):
+        a, b = ("".join(rng.choice("AC") for _ in range(rng.randrange(14))) for _ in range(2))
+        for script in (diff.edit_script(a, b), diff.positional_script(a, b)):
+            out, at = "", 0
+            for _, i, j, x, y in script:
+                out += a[at:i]
+                assert a[i : i + len(x)] == x and len(out) == j
+                out, at = out + y, i + len(x)
+            assert out + a[at:] == b
+
+
+def test_runs_of_differences_across_blocks(spark):
+    d = spark.createDataFrame([(1, "AAAAAAAAAA", "AAACCCAAAC"), (2, "ACGT", "ACGT"), (3, "", ""), (4, None, "A")], "doc_id long, reference string, query string")
+    for block in (2, 4, 4096):
+        assert rows(diff.difference_runs(d, block)) == [(1, 3, 6, 3, "AAA", "CCC"), (1, 9, 10, 1, "A", "C")]
+
+
+def test_rotation_of_short_and_repeating_pairs(spark):
+    d = spark.createDataFrame([(1, "AACCGTACG", "CGTACGAAG"), (2, "ACACACAC", "CACACACA"), (3, "ACG", "ACGT"), (4, "ACGTT" * 20, "T" + "ACGTT" * 19 + "ACGA")], "doc_id long, reference string, query string")
+    got = {r.doc_id: r.rotation for r in diff.rotations(d).collect()}
+
+    def plain(a, b):
+        return max(range(len(a)), key=lambda r: (sum(x == y for x, y in zip(a[r:] + a[:r], b)), -r))
+
+    assert got == {1: plain("AACCGTACG", "CGTACGAAG"), 2: 1, 3: None, 4: plain("ACGTT" * 20, "T" + "ACGTT" * 19 + "ACGA")}
+
+
+def test_motifs_of_mixed_widths(spark):
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (300, 41, 12, 0)]
+    mols = molecules(spark, *[(t, s) for s in seqs for t in ("linear", "circular")])
+    motifs = {1: seqs[0][10:60], 2: nt.rc(seqs[0][100:120]), 3: "GAATTC", 4: (seqs[1] + seqs[1])[30:55], 5: seqs[2], 6: "", 7: seqs[0][10:30] + "A" * 9}
+    lib = spark.createDataFrame(list(motifs.items()), "item_id long, motif string")
+    want = set()
+    for i, s in enumerate(x for s in seqs for x in (s, s)):
+        for k, m in motifs.items():
+            for strand, t in ((1, m), (-1, nt.rc(m))):
+                if t and len(t) <= len(s) and (strand == 1 or t != m):
+                    hay = s + s[: len(t) - 1] if i % 2 else s
+                    want |= {(i, k, strand, p, len(t)) for p in range(len(hay) - len(t) + 1) if hay[p : p + len(t)] == t}
+    got = scan.find_motifs(mols, lib).select("doc_id", "item_id", "strand", "start0", "width").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_alignment_above_the_limit_is_null(spark):
+    d = spark.createDataFrame([("a", "ACGT", "ACGA"), ("b", "ACGTA", "ACGTA"), ("c", None, "A")], "doc_id string, reference string, query string")
+    assert rows(diff.alignment_scores(d, most=16)) == [("a", 5), ("b", None), ("c", -2)]
+
+
+def test_canonical_rotation_is_the_least_of_both_strands(spark):
+    rng = random.Random(2)
+    for _ in range(30):
+        t = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 40)))
+        assert diff.canonical(t)[0] == min(x[i:] + x[:i] for x in (t, nt.rc(t)) for i in range(len(t)))
