@@ -55,6 +55,11 @@ def sanitize(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, r"[\s\d\-.]", ""))
 
 
+def normalize(text: Column) -> Column:
+    """Upper case without white space, and U as T: the form in which molecules are compared."""
+    return F.translate(F.upper(F.regexp_replace(text, r"\s", "")), "U", "T")
+
+
 def alphabet(seq: Column) -> Column:
     """DNA, RNA, MIXED (T and U) or UNKNOWN (anything beyond the nucleotide codes, or nothing)."""
     u = F.upper(seq)

@@ -50,6 +50,14 @@ def canonical_forms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "seq").mapInArrow(run, f"doc_id {kind}, canonical string, strand long, rotation long")
 
 
+def to_original(start0: Column, end0: Column, strand: Column, rotation: Column, n: Column) -> Column:
+    """Segments on the original molecule of [start0, end0) on its canonical form; two where they run through the origin."""
+    a = F.pmod(F.when(strand == 1, start0 + rotation).otherwise(n - rotation - end0), n)
+    b = a + end0 - start0
+    seg = lambda x, y: F.struct(x.cast("long").alias("start0"), y.cast("long").alias("end0"))
+    return F.when(b <= n, F.array(seg(a, b))).otherwise(F.array(seg(a, n), seg(F.lit(0), b - n)))
+
+
 def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 

@@ -62,6 +62,28 @@ def overlap_pairs(feats: DataFrame, bin_size: int = 256) -> DataFrame:
     return j.groupBy("doc_id", F.col("feature_id").alias("left_id"), F.col("r_feature_id").alias("right_id")).agg(F.sum(hi - lo).alias("overlap"))
 
 
+def on_fragments(feats: DataFrame, frags: DataFrame, bin_size: int = 1024) -> DataFrame:
+    """(doc_id, fragment_no, feature_id, strand, first0, last0, n_bases, clipped): features on the fragments (doc_id, fragment_no, start0,
+    length) of a digest, in the fragment's own coordinates.
+
+    A range join by bins, in which a pair of pieces counts in the first bin that both cover. A feature that a cut divides is on both
+    fragments and clipped on each; fragments through the origin are taken in two pieces.
+    """
+    seg = feats.select("doc_id", "feature_id", "strand", "n", F.aggregate("segments", F.lit(0).cast("long"), lambda x, s: x + s["end0"] - s["start0"]).alias("size"), F.explode("segments").alias("s"))
+    seg = seg.select("doc_id", "feature_id", "strand", "n", "size", F.col("s.start0").alias("a"), F.col("s.end0").alias("b")).filter("b > a")
+    over = F.greatest(F.col("start0") + F.col("length") - F.col("n"), F.lit(0))
+    piece = lambda a, b: F.struct(a.cast("long").alias("c"), b.cast("long").alias("d"))
+    sizes = feats.groupBy("doc_id").agg(F.max("n").alias("n"))
+    cut = frags.select("doc_id", "fragment_no", "start0", "length").join(sizes, "doc_id").withColumn("x", F.explode(F.array(piece(F.col("start0"), F.col("start0") + F.col("length") - over), piece(F.lit(0), over))))
+    cut = cut.select("doc_id", "fragment_no", F.col("start0").alias("origin"), "x.c", "x.d").filter("d > c")
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size)))
+    lo, hi = F.greatest("a", "c"), F.least("b", "d")
+    j = seg.withColumn("bin", bins("a", "b")).join(cut.withColumn("bin", bins("c", "d")), ["doc_id", "bin"]).filter((lo < hi) & (F.floor(lo / bin_size) == F.col("bin")))
+    at = F.pmod(lo - F.col("origin"), F.col("n"))
+    g = j.groupBy("doc_id", "fragment_no", "feature_id", "strand", "size").agg(F.min(at).alias("first0"), F.max(at + hi - lo).alias("last0"), F.sum(hi - lo).alias("n_bases"))
+    return g.select("doc_id", "fragment_no", "feature_id", "strand", "first0", "last0", "n_bases", (F.col("n_bases") < F.col("size")).alias("clipped"))
+
+
 def line_tiles(feats: DataFrame, line: int = 60, label: int = 5) -> DataFrame:
     """(doc_id, feature_id, line_no, start0, end0, labelled): features cut into the lines of a sequence view."""
     seg = feats.select("doc_id", "feature_id", F.explode("segments").alias("s")).filter("s.end0 > s.start0")

@@ -66,3 +66,11 @@ def suggest(terms: DataFrame, enzymes: DataFrame, most: int = 5) -> DataFrame:
     )
     ranked = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy("tier", F.levenshtein("t", F.lower("name")), "enzyme_id")))
     return ranked.filter(F.col("rank") <= most).select("term", F.col("rank").cast("long").alias("rank"), "enzyme_id", F.col("tier").cast("long").alias("tier"))
+
+
+def enzyme_filter(table: DataFrame, text: str = "", categories: tuple[str, ...] = ()) -> DataFrame:
+    """Enzymes of a table (enzyme_id, name, aliases, category) whose name or another name holds the text in any case, of these categories
+    (none: of all)."""
+    want = text.strip().lower()
+    named = F.contains(F.lower("name"), F.lit(want)) | F.coalesce(F.exists("aliases", lambda a: F.contains(F.lower(a), F.lit(want))), F.lit(False))
+    return table.filter(named & F.col("category").isin(*categories) if categories else named)

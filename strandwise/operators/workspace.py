@@ -79,3 +79,15 @@ def restore(history: DataFrame, requests: DataFrame) -> DataFrame:
     last = history.groupBy("doc_id").agg(F.max("version").alias("last"))
     j = requests.join(history.withColumnRenamed("version", "to_version"), ["doc_id", "to_version"]).join(last, "doc_id")
     return j.select("doc_id", (F.col("last") + 1).alias("version"), "hash")
+
+
+def upsert_projects(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """(user_id, project_id, created, updated) after changes (user_id, project_id, at, deleted).
+
+    The latest change of a project counts, one that deletes it first if several have one time. A project that is there keeps its time
+    of creation; a new one is created at its latest change. Users change only projects of their own, as the key holds the user.
+    """
+    key = ["user_id", "project_id"]
+    last = changes.groupBy(*key).agg(F.max(F.struct("at", "deleted")).alias("c"))
+    j = stored.select(*key, "created", "updated").join(last, key, "full").filter("not coalesce(c.deleted, false)")
+    return j.select(*key, F.coalesce("created", "c.at").alias("created"), F.coalesce("c.at", "updated").alias("updated"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import nt
 from ..functions.tables import enzyme_table, enzymes
-from ..operators import crispr, diff, edit, features, restriction, workspace as ws
+from ..operators import crispr, diff, digest, edit, features, restriction, workspace as ws
 from ..plans.fixtures import FEATURES, SEQUENCES, features as feature_table, sequences, table
 from .design import _crispr_sql
 from .editing import _PLANT, _one_changed, _planted
+from .sites import PAIR, _CUTS, _scan_sql
 
 PLACES = (":12", "12-30", " 7 .. 9", "abc", "0-5", "30-12", "15", "1..")
 
@@ -94,6 +95,43 @@ def restore_revision(spark, d):
     return ws.restore(h, want)
 
 
+def fragment_features(spark, d):
+    """Features carried onto the fragments of a double digest."""
+    cut = digest.cuts(restriction.restriction_sites(sequences(spark, d), enzymes(*PAIR)))
+    return features.on_fragments(feature_table(spark, d), digest.fragments(sequences(spark, d).select("doc_id", "topology", "n"), cut))
+
+
+def interval_map(spark, d):
+    """The first third of each circular molecule's canonical form, and the same bases on the molecule itself."""
+    s = sequences(spark, d).filter("topology = 'circular'").select("doc_id", "seq", "n")
+    c = diff.canonical_forms(s).join(s, "doc_id").withColumn("k", F.floor(F.col("n") / 3))
+    c = c.withColumn("segments", diff.to_original(F.lit(0), F.col("k"), F.col("strand"), F.col("rotation"), F.col("n")))
+    part = F.aggregate("segments", F.lit(""), lambda x, s: F.concat(x, F.substr("seq", s["start0"].cast("int") + 1, (s["end0"] - s["start0"]).cast("int"))))
+    back = F.when(F.col("strand") == 1, part).otherwise(nt.reverse_complement(part))
+    return c.select("doc_id", F.col("k").alias("n_bases"), (back == F.left("canonical", F.col("k").cast("int"))).alias("same"))
+
+
+def normalized(spark, d):
+    """Molecules as RNA in lower case with line ends, normalized."""
+    return sequences(spark, d).select("doc_id", F.sha2(nt.normalize(F.regexp_replace(F.lower(F.translate("seq", "T", "U")), "(.{60})", "$1\r\n ")), 256).alias("sha256"))
+
+
+def enzyme_search(spark, d):
+    """Enzymes with "bs" in one of their names."""
+    return restriction.enzyme_filter(enzyme_table(spark), "Bs").select("enzyme_id", "name", "category")
+
+
+def project_upsert(spark, d):
+    """Orders as stored projects, events as changes to them, every seventh a deletion."""
+    stored = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("project_id"), F.col("o_orderkey").alias("created"), F.col("o_orderkey").alias("updated"))
+    e = table(spark, d, "events")
+    ch = e.select(F.col("event_id").alias("project_id"), (F.col("event_id") % 7 == 0).alias("deleted"), (F.col("event_id") + 1_000_000_000).alias("at"), "user_id")
+    own = stored.select("project_id", F.col("user_id").alias("owner"))
+    # a change of a stored project is its owner's
+    ch = ch.join(own, "project_id", "left").select(F.coalesce("owner", "user_id").alias("user_id"), "project_id", "at", "deleted")
+    return ws.upsert_projects(stored, ch)
+
+
 def hydrate_unseen(spark, d):
     """Stored documents that the workspace doesn't hold yet."""
     stored, held = sequences(spark, d, 0).select("doc_id", "n"), sequences(spark, d, 100).filter("doc_id % 3 = 0").select("doc_id")
@@ -108,7 +146,7 @@ _V = ", ".join(f"('{x}')" for x in PLACES)
 _CAT = ", ".join(f"('{e['enzyme_id']}', '{e['recognition']}', '{e['category']}', {e['fwd_cut']}, {e['rev_cut']}, {len(e['aliases'])})" for e in enzymes())
 _FNV = "list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296, CAST(2166136261 AS BIGINT))"
 
-QUERIES = {f.__name__: f for f in (coordinate_parse, selection_overlap, feature_midpoints, sequence_fnv, diff_manifest, diff_summary, rotation_votes, crispr_region, copy_region, enzyme_catalog, project_list, restore_revision, hydrate_unseen)}
+QUERIES = {f.__name__: f for f in (coordinate_parse, selection_overlap, feature_midpoints, sequence_fnv, diff_manifest, diff_summary, rotation_votes, crispr_region, copy_region, enzyme_catalog, project_list, restore_revision, hydrate_unseen, fragment_features, interval_map, normalized, enzyme_search, project_upsert)}
 
 ORACLE_SQL = {
     "coordinate_parse": f"""WITH t(query) AS (VALUES {_V}), p AS (SELECT query, TRY_CAST(regexp_extract(trim(query), '^:?(\\d+)(?:\\s*(?:-|\\.\\.)\\s*(\\d+))?$', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(trim(query), '^:?(\\d+)(?:\\s*(?:-|\\.\\.)\\s*(\\d+))?$', 2) AS BIGINT) AS b FROM t)
@@ -127,4 +165,16 @@ ORACLE_SQL = {
     "project_list": "SELECT o_custkey AS user_id, o_orderkey AS project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 5",
     "restore_revision": "SELECT user_id AS doc_id, max(event_id) + 1 AS version, sha256(CAST(min(event_id) AS VARCHAR)) AS hash FROM events GROUP BY 1",
     "hydrate_unseen": _w(SEQUENCES) + " SELECT doc_id, CAST(length(seq) AS BIGINT) AS n FROM all_seq WHERE NOT (doc_id % 3 = 0 AND length(seq) >= 100)",
+    "fragment_features": _w(SEQUENCES, FEATURES, _scan_sql(PAIR), _CUTS) + """, fr AS (SELECT frag.doc_id, fragment_no, frag.start0, frag.length, s.n FROM frag JOIN s USING (doc_id)),
+        pc AS (SELECT doc_id, fragment_no, n, start0 AS origin, start0 AS c, least(start0 + length, n) AS d FROM fr UNION ALL SELECT doc_id, fragment_no, n, start0, 0, start0 + length - n FROM fr WHERE start0 + length > n),
+        sz AS (SELECT doc_id, feature_id, sum(b - a) AS size FROM fs GROUP BY ALL),
+        j AS (SELECT fs.doc_id, pc.fragment_no, fs.feature_id, fs.strand, ((greatest(a, c) - origin) % pc.n + pc.n) % pc.n AS x, least(b, d) - greatest(a, c) AS k FROM fs JOIN pc ON fs.doc_id = pc.doc_id AND greatest(a, c) < least(b, d))
+        SELECT doc_id, fragment_no, feature_id, strand, min(x) AS first0, max(x + k) AS last0, CAST(sum(k) AS BIGINT) AS n_bases, sum(k) < any_value(size) AS clipped FROM j JOIN sz USING (doc_id, feature_id) GROUP BY ALL""",
+    "interval_map": _w(SEQUENCES) + " SELECT doc_id, n // 3 AS n_bases, true AS same FROM s WHERE topology = 'circular'",
+    "normalized": _w(SEQUENCES) + " SELECT doc_id, sha256(seq) AS sha256 FROM s",
+    "enzyme_search": "WITH e(enzyme_id, name, aliases, category) AS (VALUES " + ", ".join(f"('{e['enzyme_id']}', '{e['name']}', '{' '.join(e['aliases'])}', '{e['category']}')" for e in enzymes()) + ") SELECT enzyme_id, name, category FROM e WHERE contains(lower(name), 'bs') OR contains(lower(aliases), 'bs')",
+    "project_upsert": """WITH ch AS (SELECT coalesce(o_custkey, user_id) AS user_id, event_id AS project_id, event_id % 7 = 0 AS deleted, event_id + 1000000000 AS pos FROM events LEFT JOIN orders ON o_orderkey = event_id),
+        la AS (SELECT user_id, project_id, max(pos) AS pos, arg_max(deleted, pos) AS deleted FROM ch GROUP BY ALL)
+        SELECT coalesce(la.user_id, o_custkey) AS user_id, coalesce(la.project_id, o_orderkey) AS project_id, coalesce(o_orderkey, pos) AS created, coalesce(pos, o_orderkey) AS updated
+        FROM orders FULL JOIN la ON o_orderkey = la.project_id AND o_custkey = la.user_id WHERE NOT coalesce(deleted, false)""",
 }

@@ -255,3 +255,23 @@ def test_canonical_rotation_is_the_least_of_both_strands(spark):
     for _ in range(30):
         t = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 40)))
         assert diff.canonical(t)[0] == min(x[i:] + x[:i] for x in (t, nt.rc(t)) for i in range(len(t)))
+
+
+def test_features_on_fragments(spark):
+    frags = spark.createDataFrame([(1, 1, 4, 4, 10), (2, 1, 0, 3, 3), (2, 2, 3, 10, 7), (3, 1, 8, 2, 4), (3, 2, 2, 8, 6)], "doc_id long, fragment_no long, start0 long, end0 long, length long")
+    kind = "doc_id long, feature_id long, strand long, n long, segments array<struct<start0:long,end0:long>>"
+    feats = spark.createDataFrame([(1, 1, 1, 10, [(2, 6)]), (2, 1, -1, 10, [(1, 5)]), (2, 2, 1, 10, [(4, 4)]), (3, 1, 1, 10, [(9, 10), (0, 1)]), (3, 2, 1, 10, [(1, 3)])], kind)
+    want = [(1, 1, 1, 1, 0, 10, 4, False), (2, 1, 1, -1, 1, 3, 2, True), (2, 2, 1, -1, 0, 2, 2, True), (3, 1, 1, 1, 1, 3, 2, False), (3, 1, 2, 1, 3, 4, 1, True), (3, 2, 2, 1, 0, 1, 1, True)]
+    for size in (2, 1024):
+        assert rows(features.on_fragments(feats, frags, size)) == want
+    assert features.on_fragments(feats.limit(0), frags).count() == 0
+
+
+def test_projects_keep_their_creation(spark):
+    stored = spark.createDataFrame([(1, 1, 10, 11), (1, 2, 20, 21), (2, 1, 30, 31)], "user_id long, project_id long, created long, updated long")
+    changes = spark.createDataFrame([(1, 1, 50, False), (1, 1, 40, True), (1, 2, 60, False), (1, 2, 60, True), (2, 9, 70, False)], "user_id long, project_id long, at long, deleted boolean")
+    assert rows(workspace.upsert_projects(stored, changes)) == [(1, 1, 10, 50), (2, 1, 30, 31), (2, 9, 70, 70)]
+
+
+def test_normalize_takes_rna(spark):
+    assert spark.range(1).select(nt.normalize(F.lit(" acgu\n\tAc "))).first()[0] == "ACGTAC"
