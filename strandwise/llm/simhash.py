@@ -310,10 +310,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = components(links, scratch).select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = nodes.select("node", "least", "row").join(gone, "node", "left").withColumn("root", F.coalesce("root", "node"))
     winner = F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node", "row")).alias("w")
-    stay, stay_path = scratch.keep(named.groupBy("root").agg(winner).select(F.col("w.row").alias("row")))
+    stay = named.groupBy("root").agg(winner).select(F.col("w.row").alias("row"))
+    # fewer rows go than stay: only their numbers meet the texts, which then often need no shuffle
+    copies, copies_path = scratch.keep(signed.select("row").join(stay, "row", "left_anti"))
     # all else has done its work
-    scratch.drop(*(x for x in scratch.paths if x not in (kept_path, stay_path)))
-    return kept.join(stay, "row", "left_semi").select("doc.*")
+    scratch.drop(*(x for x in scratch.paths if x not in (kept_path, copies_path)))
+    return kept.join(copies, "row", "left_anti").select("doc.*")
 
 
 def op8_simhash(spark, sf_dir):
