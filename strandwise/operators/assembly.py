@@ -12,7 +12,7 @@ from ..functions.tables import codons, enzymes
 
 
 def digest_parts(parts: DataFrame, enzyme: str = "BsaI") -> DataFrame:
-    """parts (assembly_id, ord, seq) with left_overhang, right_overhang, body (both overhangs included) and error.
+    """parts (assembly_id, ord, seq) with left_overhang, right_overhang, body (both overhangs included), error, and body_start0.
 
     The first forward site and the last reverse site release the body; a further site between them, a missing one, or the wrong
     order is an error.
@@ -29,7 +29,7 @@ def digest_parts(parts: DataFrame, enzyme: str = "BsaI") -> DataFrame:
         .when(F.instr(F.substr("seq", F.col("f") + 1), site) > 0, "INTERNAL_FORWARD").when(F.instr("seq", back) < F.col("r"), "INTERNAL_REVERSE")
     )
     p = p.withColumn("error", error).withColumn("body", F.when(F.col("error").isNull(), F.substr("seq", a, b - a)))
-    return p.select(*parts.columns, F.substr("body", F.lit(1), F.lit(size)).alias("left_overhang"), F.right("body", F.lit(size)).alias("right_overhang"), "body", "error")
+    return p.select(*parts.columns, F.substr("body", F.lit(1), F.lit(size)).alias("left_overhang"), F.right("body", F.lit(size)).alias("right_overhang"), "body", "error", F.when(F.col("error").isNull(), a - 1).cast("long").alias("body_start0"))
 
 
 def junctions(digested: DataFrame, circular: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nt import rc, translate_codons
+from .align import score
 
 
 def least_rotation(text: str) -> int:
@@ -180,26 +181,13 @@ def differences(pairs: DataFrame, limit: int = 4096) -> DataFrame:
     return pairs.filter("not (reference <=> query)").select("doc_id", "reference", "query").mapInArrow(run, f"doc_id {kind}, kind string, ref_start0 long, qry_start0 long, ref_bases string, qry_bases string")
 
 
-def global_score(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> int:
-    """Best score of a global alignment. A row at a time: gaps along the row become a running maximum."""
-    row = np.arange(len(b) + 1) * gap
-    letters = np.frombuffer(b.encode(), np.uint8)
-    slope = np.arange(len(b) + 1) * gap
-    for i, c in enumerate(a.encode(), 1):
-        new = np.empty_like(row)
-        new[0] = i * gap
-        new[1:] = np.maximum(row[:-1] + np.where(letters == c, match, mismatch), row[1:] + gap)
-        row = np.maximum.accumulate(new - slope) + slope
-    return int(row[-1])
-
-
-def alignment_scores(pairs: DataFrame, most: int = 12_000_000) -> DataFrame:
-    """(doc_id, score) of pairs (doc_id, reference, query); pairs of more than `most` cells, length times length, have a null score."""
+def alignment_scores(pairs: DataFrame) -> DataFrame:
+    """(doc_id, score) of pairs (doc_id, reference, query) of any lengths; null counts as empty."""
     kind = pairs.select("doc_id").dtypes[0][1]
 
     def run(batches):
         for b in batches:
-            got = [global_score(r or "", q or "") if len(r or "") * len(q or "") <= most else None for r, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = [score(r or "", q or "") for r, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["doc_id", "score"])
 
     return pairs.select("doc_id", "reference", "query").mapInArrow(run, f"doc_id {kind}, score long")

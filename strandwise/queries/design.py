@@ -83,7 +83,7 @@ def _parts(spark, d):
 
 
 def type_iis_parts(spark, d):
-    return assembly.digest_parts(_parts(spark, d)).drop("seq")
+    return assembly.digest_parts(_parts(spark, d)).drop("seq", "body_start0")
 
 
 def golden_gate_junctions(spark, d):

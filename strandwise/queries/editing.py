@@ -102,7 +102,7 @@ def canonical_rotation(spark, d):
 
 
 def nw_score(spark, d):
-    """Each molecule against itself with one base changed; above the operator's limit of cells the score is null."""
+    """Each molecule against itself with one base changed."""
     return diff.alignment_scores(_one_changed(spark, d))
 
 
@@ -264,7 +264,7 @@ ORACLE_SQL = {
     "diff_planted_edits": _w(SEQUENCES) + """, x AS (SELECT doc_id, seq, doc_id * 31 % n AS p FROM s)
         SELECT doc_id, 'substitution' AS kind, p AS ref_start0, p AS qry_start0, substr(seq, p + 1, 1) AS ref_bases, translate(substr(seq, p + 1, 1), 'ACGT', 'TGCA') AS qry_bases FROM x""",
     "diff_runs": _w(SEQUENCES) + _PLANT + " SELECT doc_id, p AS start0, p + 3 AS end0, CAST(3 AS BIGINT) AS n, substr(r, p + 1, 3) AS ref_bases, substr(q, p + 1, 3) AS qry_bases FROM pq",
-    "nw_score": _w(SEQUENCES) + " SELECT doc_id, CASE WHEN n * n <= 12000000 THEN 2 * n - 3 END AS score FROM s",
+    "nw_score": _w(SEQUENCES) + " SELECT doc_id, 2 * n - 3 AS score FROM s",
     "protein_consequence": _w(SEQUENCES) + _PLANT + f""", t AS (SELECT doc_id, r, q, {_prot("'ATG' || r")} AS a, {_prot("'ATG' || q")} AS b FROM pq)
         SELECT doc_id, CASE WHEN r = q THEN 'none' WHEN a[1] = 'M' AND b[1] <> 'M' THEN 'start_lost' WHEN instr(b, '*') > 0 AND (instr(a, '*') = 0 OR instr(b, '*') < instr(a, '*')) THEN 'nonsense'
         WHEN instr(a, '*') > 0 AND (instr(b, '*') = 0 OR instr(b, '*') > instr(a, '*')) THEN 'stop_lost' WHEN a = b THEN 'synonymous' ELSE 'missense' END AS consequence FROM t""",

@@ -159,20 +159,6 @@ def test_edit_scripts():
     assert diff.edit_script("A" * 50, "C" * 50, limit=3) is None
 
 
-def test_global_scores():
-    def plain(a, b):
-        s = [[-2 * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                s[i][j] = max(s[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), s[i - 1][j] - 2, s[i][j - 1] - 2)
-        return s[-1][-1]
-
-    rng = random.Random(7)
-    for _ in range(200):
-        a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(15))) for _ in range(2))
-        assert diff.global_score(a, b) == plain(a, b)
-
-
 def test_consequences(spark):
     d = spark.createDataFrame([("ATGGAATTTTAA", "ATGGACTTTTAA"), ("ATGGAATTTTAA", "ATGGAGTTTTAA"), ("ATGGAATTTTAA", "ATGTAATTTTAA"), ("ATGGAA", "ATGGAAC"), ("ATGGAA", "CTGGAA"), ("ATGTAA", "ATGTCA")], "a string, b string")
     assert [r[0] for r in d.select(diff.consequence(F.col("a"), F.col("b"))).collect()] == ["missense", "synonymous", "nonsense", "frameshift", "start_lost", "stop_lost"]
