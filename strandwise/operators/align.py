@@ -87,9 +87,20 @@ def _band(a: np.ndarray, b: np.ndarray) -> tuple[_Band, int]:
         w *= 4
 
 
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many bases both begin with."""
+    n = min(len(x), len(y))
+    differ = x[:n] != y[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
 def score(a: str, b: str) -> int:
-    """The best score of a global alignment, of texts of any length."""
-    return _band(_codes(a), _codes(b))[1]
+    """The best score of a global alignment, of texts of any length. Equal bases at either end are matched in some best one."""
+    x, y = _codes(a), _codes(b)
+    head = _same(x, y)
+    x, y = x[head:], y[head:]
+    tail = _same(x[::-1], y[::-1])
+    return MATCH * (head + tail) + _band(x[: len(x) - tail], y[: len(y) - tail])[1]
 
 
 def _divided(a: np.ndarray, b: np.ndarray, lo: int, hi: int, cells: int) -> list[np.ndarray]:
@@ -105,10 +116,15 @@ def _divided(a: np.ndarray, b: np.ndarray, lo: int, hi: int, cells: int) -> list
 
 
 def steps(a: str, b: str, cells: int = CELLS) -> tuple[np.ndarray, int]:
-    """The steps of a best global alignment, and its score."""
+    """The steps of a best global alignment, and its score.
+
+    Seen from the end, both bases are taken before a gap: thus all that both end with.
+    """
     x, y = _codes(a), _codes(b)
+    tail = _same(x[::-1], y[::-1])
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
     band, best = _band(x, y)
-    return np.concatenate(_divided(x, y, band.lo, band.hi, cells)), best
+    return np.concatenate([*_divided(x, y, band.lo, band.hi, cells), np.full(tail, BOTH, np.uint8)]), best + MATCH * tail
 
 
 def aligned(a: str, b: str, way: np.ndarray) -> tuple[str, str, int]:

@@ -78,10 +78,10 @@ rf AS (
   SELECT doc_id, i, CASE WHEN qid IS NULL THEN used ELSE list_append(used, qid) END, rid, qid
   FROM (SELECT sq.doc_id, sq.i, used, sq.rid, list_filter(cs, lambda c: NOT list_contains(used, c))[1] AS qid FROM m JOIN sq ON sq.doc_id = m.doc_id AND sq.i = m.i + 1)
 ), j AS (
-  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.feature_id AS rid, b.feature_id AS qid, a.name AS an, b.name AS bn, a.type AS at, b.type AS bt, a.strand AS asd, b.strand AS bsd, a.start0 AS sa, b.start0 AS sb, a.wraps AS wa, b.wraps AS wb, a.end0 AS ea, b.end0 AS eb, a.size AS za, b.size AS zb
+  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.feature_id AS rid, b.feature_id AS qid, a.name AS an, b.name AS bn, a.type AS ta, b.type AS tb, a.strand AS asd, b.strand AS bsd, a.start0 AS sa, b.start0 AS sb, a.wraps AS wa, b.wraps AS wb, a.end0 AS ea, b.end0 AS eb, a.size AS za, b.size AS zb
   FROM (SELECT rf.*, m.qid FROM rf LEFT JOIN m ON rf.doc_id = m.doc_id AND rf.feature_id = m.rid) a FULL JOIN qf b ON a.doc_id = b.doc_id AND a.qid = b.feature_id
 ), ch AS (
-  SELECT j.*, s.n, s.topology, CASE WHEN rid IS NULL OR qid IS NULL THEN '' ELSE concat_ws(',', CASE WHEN an <> bn THEN 'name' END, CASE WHEN at <> bt THEN 'type' END, CASE WHEN sa <> sb OR ea <> eb OR wa <> wb THEN 'coordinates' END, CASE WHEN asd <> bsd THEN 'strand' END) END AS changes FROM j JOIN s USING (doc_id)
+  SELECT j.*, s.n, s.topology, CASE WHEN rid IS NULL OR qid IS NULL THEN '' ELSE concat_ws(',', CASE WHEN an <> bn THEN 'name' END, CASE WHEN ta <> tb THEN 'type' END, CASE WHEN sa <> sb OR ea <> eb OR wa <> wb THEN 'coordinates' END, CASE WHEN asd <> bsd THEN 'strand' END) END AS changes FROM j JOIN s USING (doc_id)
 )"""
 
 

@@ -8,7 +8,10 @@ from ..functions.tables import enzymes
 from ..operators import assembly, products
 from ..plans.fixtures import FEATURES, SEQUENCES, features as feature_table, sequences
 from .design import _PARTS, _parts
-from .sites import _CUTS, _ENDS, PAIR, _RC, _scan_sql
+from .sites import _CUTS, _ENDS, _RC, _scan_sql
+
+#: Frequent cutters, one with overhangs and one blunt, so that many molecules have fragments of all kinds of ends.
+CUTTERS = ("TaqI", "AluI")
 
 
 def _clones(spark, d):
@@ -19,7 +22,7 @@ def _clones(spark, d):
     first = F.when(i % 4 == 0, F.lit(1))
     pairs = s.filter("topology = 'circular'").select(i.alias("vector_id"), (i + 1).alias("insert_id"), F.when(i % 9 == 0, 1_000_000).otherwise(first).cast("long").alias("vector_fragment"), first.cast("long").alias("insert_fragment"))
     pairs = pairs.join(s.select(i.alias("insert_id")), "insert_id", "left_semi")
-    return products.clone(pairs, s, enzymes(*PAIR))
+    return products.clone(pairs, s, enzymes(*CUTTERS))
 
 
 def clone_products(spark, d):
@@ -85,19 +88,19 @@ pc AS (
   SELECT vector_id, insert_id, orientation, 0 AS piece, vector_id AS doc_id, vs AS start0, vl AS length, false AS inv, 0 AS off, vn AS pn FROM po WHERE error_code IS NULL
   UNION ALL SELECT vector_id, insert_id, orientation, 1, insert_id, st, il, orientation = 'reverse', vl, inn FROM po WHERE error_code IS NULL
 ), rn AS (
-  SELECT *, start0 AS ra, least(start0 + length, pn) AS rb, 0 AS at FROM pc UNION ALL SELECT *, 0, start0 + length - pn, pn - start0 FROM pc WHERE start0 + length > pn
+  SELECT *, start0 AS ra, least(start0 + length, pn) AS rb, 0 AS pos FROM pc UNION ALL SELECT *, 0, start0 + length - pn, pn - start0 FROM pc WHERE start0 + length > pn
 ), cs AS (
-  SELECT vector_id, insert_id, orientation, piece, feature_id, CASE WHEN inv THEN -strand ELSE strand END AS strand, inv, off, length, at + greatest(a, ra) - ra AS x, at + least(b, rb) - ra AS y
+  SELECT vector_id, insert_id, orientation, piece, feature_id, CASE WHEN inv THEN -strand ELSE strand END AS strand, inv, off, length, pos + greatest(a, ra) - ra AS x, pos + least(b, rb) - ra AS y
   FROM rn JOIN fs ON fs.doc_id = rn.doc_id AND greatest(a, ra) < least(b, rb)
 ), cp AS (SELECT *, off + CASE WHEN inv THEN length - y ELSE x END AS start0, off + CASE WHEN inv THEN length - x ELSE y END AS end0 FROM cs)"""
-_MADE = (SEQUENCES, FEATURES, _scan_sql(PAIR), _CUTS, _ENDS, _CLONES, _CARRIED)
+_MADE = (SEQUENCES, FEATURES, _scan_sql(CUTTERS), _CUTS, _ENDS, _CLONES, _CARRIED)
 
 QUERIES = {f.__name__: f for f in (clone_products, clone_product_features, clone_feature_places, assembly_feature_places)}
 
 ORACLE_SQL = {
-    "clone_products": _w(SEQUENCES, _scan_sql(PAIR), _CUTS, _ENDS, _CLONES) + f"""
+    "clone_products": _w(SEQUENCES, _scan_sql(CUTTERS), _CUTS, _ENDS, _CLONES) + f"""
 SELECT vector_id, insert_id, vf AS vector_fragment, fi AS insert_fragment, orientation, CASE WHEN error_code IS NULL THEN vl + il END AS product_length, error_code,
-       sha256(substr(vseq || vseq, vs + 1, vl) || CASE WHEN orientation = 'forward' THEN substr(iseq || iseq, st + 1, il) WHEN ilrev < irrev THEN {_RC.format('substr(iseq, ilrev + 1, irrev - ilrev)')} WHEN orientation = 'reverse' THEN {_RC.format('substr(iseq, ilrev + 1) || substr(iseq, 1, irrev)')} END) AS sha256
+       CASE WHEN error_code IS NULL THEN sha256(substr(vseq || vseq, vs + 1, vl) || CASE WHEN orientation = 'forward' THEN substr(iseq || iseq, st + 1, il) WHEN ilrev < irrev THEN {_RC.format('substr(iseq, ilrev + 1, irrev - ilrev)')} WHEN orientation = 'reverse' THEN {_RC.format('substr(iseq, ilrev + 1) || substr(iseq, 1, irrev)')} END) END AS sha256
 FROM po""",
     "clone_product_features": _w(*_MADE) + """, ft AS (SELECT vector_id, insert_id, orientation, piece, feature_id, any_value(strand) AS strand, min(start0) AS a, max(end0) AS b FROM cp GROUP BY ALL),
 al AS (SELECT pc.vector_id, pc.insert_id, pc.orientation, pc.piece, f.feature_id, ft.strand, a, b FROM pc JOIN f ON f.doc_id = pc.doc_id LEFT JOIN ft ON ft.vector_id = pc.vector_id AND ft.insert_id = pc.insert_id AND ft.orientation = pc.orientation AND ft.piece = pc.piece AND ft.feature_id = f.feature_id)
