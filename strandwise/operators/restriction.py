@@ -43,12 +43,12 @@ def end_type(fwd: Column, rev: Column) -> Column:
 
 
 def lookup(terms: DataFrame, enzymes: DataFrame) -> DataFrame:
-    """terms (term) with enzyme_id: by id or name, else by another name (the last enzyme of that name), in any case; else null."""
+    """terms (term, and any other columns) with enzyme_id: by id or name, else by another name (the last enzyme of that name), in any case; else null."""
     own = enzymes.select(F.lower("name").alias("key"), "enzyme_id", F.lit(0).alias("tier"), F.lit(0).alias("ord"))
     other = enzymes.select(F.explode("aliases").alias("key"), "enzyme_id", F.lit(1).alias("tier"), "ord").withColumn("key", F.lower("key"))
     first = W.partitionBy("key").orderBy("tier", F.desc("ord"))
     keys = own.unionByName(other).withColumn("r", F.row_number().over(first)).filter("r = 1").select("key", "enzyme_id")
-    return terms.join(F.broadcast(keys), F.lower(F.trim("term")) == F.col("key"), "left").select("term", "enzyme_id")
+    return terms.join(F.broadcast(keys), F.lower(F.trim("term")) == F.col("key"), "left").select(*[terms[c] for c in terms.columns], keys["enzyme_id"])
 
 
 def suggest(terms: DataFrame, enzymes: DataFrame, most: int = 5) -> DataFrame:

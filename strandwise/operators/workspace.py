@@ -58,13 +58,21 @@ def search(kinds: dict[str, DataFrame], query: str, most: int = 40) -> DataFrame
     return found.orderBy("__k", "label", "id").limit(most).drop("__k")
 
 
-def parse_coordinates(text: Column) -> dict[str, Column]:
-    """start1 and end1 of ":12", "12", "12-30" or "12..30"; null for other texts, for place 0, and for ends before their start."""
-    rx = r"^:?(\d{1,9})(?:\s*(?:-|\.\.)\s*(\d{1,9}))?$"
-    t = F.trim(text)
-    a = F.nullif(F.regexp_extract(t, rx, 1), F.lit("")).cast("long")
-    b = F.coalesce(F.nullif(F.regexp_extract(t, rx, 2), F.lit("")).cast("long"), a)
+def parse_coordinates(text: Column, n: Column | None = None) -> dict[str, Column]:
+    """start1 and end1 of ":12", "12", "12-30" or "12..30"; null for other texts, for place 0, for ends before their start, and for
+    places behind the last of n, if it is given."""
+    blank = F.lit(" \t\r\n\f\v")
+    t = F.trim(text, blank)
+    t = F.when(F.startswith(t, F.lit(":")), F.substr(t, F.lit(2))).otherwise(t)
+    dots, dash = F.instr(t, ".."), F.instr(t, "-")
+    at, wide = F.when(dots > 0, dots).otherwise(dash), F.when(dots > 0, 2).otherwise(1)
+    one = at == 0
+    number = lambda x: F.when((F.length(x) > 0) & (F.translate(x, "0123456789", "") == ""), x.try_cast("long"))
+    a = number(F.when(one, t).otherwise(F.rtrim(F.substr(t, F.lit(1), at - 1), blank)))
+    b = F.when(one, a).otherwise(number(F.ltrim(F.substr(t, at + wide), blank)))
     ok = (a >= 1) & (b >= a)
+    if n is not None:
+        ok = ok & (b <= n)
     return {"start1": F.when(ok, a), "end1": F.when(ok, b)}
 
 

@@ -12,12 +12,14 @@ from .design import _crispr_sql
 from .editing import _PLANT, _one_changed, _planted
 from .sites import PAIR, _CUTS, _scan_sql
 
-PLACES = (":12", "12-30", " 7 .. 9", "abc", "0-5", "30-12", "15", "1..")
-
 
 def coordinate_parse(spark, d):
-    t = spark.createDataFrame([(x,) for x in PLACES], "query string")
-    return t.select("query", *[c.alias(k) for k, c in ws.parse_coordinates(F.col("query")).items()])
+    """Places of features as users type them, some of them behind the molecule's end, before its begin, or turned round."""
+    f, k = feature_table(spark, d), F.col("feature_id") % 7
+    a, b = (F.col("start0") + 1).cast("string"), F.col("end0").cast("string")
+    forms = (F.concat(F.lit(":"), a), F.concat(a, F.lit("-"), b), F.concat(F.lit(" "), a, F.lit(" .. "), b, F.lit(" ")), F.concat(a, F.lit(".."), (F.col("end0") + F.col("n")).cast("string")), F.concat("type", F.lit(" "), a), F.concat("start0", F.lit("-"), b), F.concat(a, F.lit("..")))
+    t = f.select("doc_id", "feature_id", "n", F.coalesce(*[F.when(k == i, x) for i, x in enumerate(forms)]).alias("query"))
+    return t.select("doc_id", "feature_id", "query", *[c.alias(x) for x, c in ws.parse_coordinates(F.col("query"), F.col("n")).items()])
 
 
 def selection_overlap(spark, d):
@@ -142,15 +144,16 @@ def _w(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
 
-_V = ", ".join(f"('{x}')" for x in PLACES)
 _CAT = ", ".join(f"('{e['enzyme_id']}', '{e['recognition']}', '{e['category']}', {e['fwd_cut']}, {e['rev_cut']}, {len(e['aliases'])})" for e in enzymes())
 _FNV = "list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296, CAST(2166136261 AS BIGINT))"
 
 QUERIES = {f.__name__: f for f in (coordinate_parse, selection_overlap, feature_midpoints, sequence_fnv, diff_manifest, diff_summary, rotation_votes, crispr_region, copy_region, enzyme_catalog, project_list, restore_revision, hydrate_unseen, fragment_features, interval_map, normalized, enzyme_search, project_upsert)}
 
 ORACLE_SQL = {
-    "coordinate_parse": f"""WITH t(query) AS (VALUES {_V}), p AS (SELECT query, TRY_CAST(regexp_extract(trim(query), '^:?(\\d+)(?:\\s*(?:-|\\.\\.)\\s*(\\d+))?$', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(trim(query), '^:?(\\d+)(?:\\s*(?:-|\\.\\.)\\s*(\\d+))?$', 2) AS BIGINT) AS b FROM t)
-        SELECT query, CASE WHEN a >= 1 AND coalesce(b, a) >= a THEN a END AS start1, CASE WHEN a >= 1 AND coalesce(b, a) >= a THEN coalesce(b, a) END AS end1 FROM p""",
+    "coordinate_parse": _w(SEQUENCES, FEATURES) + """, x AS (
+        SELECT doc_id, feature_id, n, CASE feature_id % 7 WHEN 0 THEN ':' || (start0 + 1) WHEN 1 THEN (start0 + 1) || '-' || end0 WHEN 2 THEN ' ' || (start0 + 1) || ' .. ' || end0 || ' ' WHEN 3 THEN (start0 + 1) || '..' || (end0 + n) WHEN 4 THEN type || ' ' || (start0 + 1) WHEN 5 THEN start0 || '-' || end0 ELSE (start0 + 1) || '..' END AS query FROM f
+    ), y AS (SELECT *, string_split(replace(ltrim(trim(query), ':'), '..', '-'), '-') AS ps FROM x), z AS (SELECT *, TRY_CAST(trim(ps[1]) AS BIGINT) AS a, TRY_CAST(trim(ps[len(ps)]) AS BIGINT) AS b FROM y)
+        SELECT doc_id, feature_id, query, CASE WHEN a >= 1 AND b >= a AND b <= n THEN a END AS start1, CASE WHEN a >= 1 AND b >= a AND b <= n THEN b END AS end1 FROM z""",
     "selection_overlap": _w(SEQUENCES, FEATURES) + ", h AS (SELECT doc_id, feature_id, a, b, row_number() OVER (PARTITION BY doc_id, feature_id ORDER BY k) AS r FROM fs WHERE a < n * 2 // 3 AND n // 3 < b) SELECT doc_id, feature_id, a + 1 AS start1, b AS end1 FROM h WHERE r = 1",
     "feature_midpoints": _w(SEQUENCES, FEATURES) + ", z AS (SELECT *, CASE WHEN wraps THEN n - start0 + end0 ELSE end0 - start0 END AS size FROM f), m AS (SELECT *, (start0 + size // 2) % n AS mid0 FROM z) SELECT doc_id, feature_id, size, mid0, mid0 * 1000 // n AS angle_permille FROM m",
     "sequence_fnv": _w(SEQUENCES) + f" SELECT doc_id, {_FNV.format('seq')} AS fnv FROM s",

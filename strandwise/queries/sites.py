@@ -8,13 +8,13 @@ from ..functions import nt
 from ..functions.tables import codons, enzyme_table, enzymes
 from ..operators import digest, restriction
 from ..operators.scan import strand_patterns
-from ..plans.fixtures import SEQUENCES, sequences
+from ..plans.fixtures import SEQUENCES, sequences, table
 
 #: Enzymes of the queries: overhangs of either polarity, blunt ends, an ambiguous site, and one that cuts outside its site.
 PANEL = ("EcoRI", "HindIII", "BamHI", "PstI", "SmaI", "Bsu36I", "BsaI", "SfiI")
 PAIR = ("EcoRI", "HindIII")
-TERMS = ("ecori", "Eco31I", "BpiI", "bbsi", "NoSuch", " PstI ", "Esp3I", "Cfr9I")
-MISSPELT = ("hind3", "bsa", "ecorl", "pst1", "xyzzy", "smi", "bam")
+#: All names of the catalogue's enzymes, other names behind the own ones.
+NAMES = tuple(dict.fromkeys([e["name"] for e in enzymes()] + [a for e in enzymes() for a in e["aliases"]]))
 
 
 def _scan_sql(names: tuple[str, ...]) -> str:
@@ -131,12 +131,21 @@ def _enzyme_order(spark):
     return spark.createDataFrame(rows, "enzyme_id string, name string, aliases array<string>, ord int")
 
 
+def _terms(spark, d):
+    """A search term for each part: an enzyme's name in other case, padded, cut short, with a letter or a number too many, or no name."""
+    k = F.col("p_partkey")
+    name = F.get(F.array(*[F.lit(x) for x in NAMES]), (k % len(NAMES)).cast("int"))
+    forms = (F.lower(name), F.concat(F.lit(" "), F.upper(name), F.lit(" ")), F.left(name, F.length(name) - 1), F.concat(name, F.lit("x")), F.regexp_replace(name, "I$", "1"), F.col("p_brand"), name)
+    term = F.coalesce(*[F.when(k % len(forms) == i, f) for i, f in enumerate(forms)])
+    return table(spark, d, "part").select("p_partkey", term.alias("term"))
+
+
 def enzyme_lookup(spark, d):
-    return restriction.lookup(spark.createDataFrame([(t,) for t in TERMS], "term string"), _enzyme_order(spark))
+    return restriction.lookup(_terms(spark, d), _enzyme_order(spark))
 
 
 def enzyme_suggest(spark, d):
-    return restriction.suggest(spark.createDataFrame([(t,) for t in MISSPELT], "term string"), _enzyme_order(spark))
+    return restriction.suggest(_terms(spark, d).select("term").distinct(), _enzyme_order(spark))
 
 
 def _fragments(spark, d, names=PAIR):
@@ -200,6 +209,9 @@ cls AS (SELECT *, CASE n_sites WHEN 0 THEN 'non' WHEN 1 THEN 'unique' WHEN 2 THE
 _RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 _CODE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in codons().items()) + "}"
 
+_TERMS = f"""named AS (SELECT p_partkey, p_brand, [{', '.join(f"'{x}'" for x in NAMES)}][p_partkey % {len(NAMES)} + 1] AS name FROM part), terms AS (
+  SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN lower(name) WHEN 1 THEN ' ' || upper(name) || ' ' WHEN 2 THEN name[:-2] WHEN 3 THEN name || 'x' WHEN 4 THEN regexp_replace(name, 'I$', '1') WHEN 5 THEN p_brand ELSE name END AS term FROM named)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -223,9 +235,9 @@ ORACLE_SQL = {
     "unique_double_cutters": _w(SEQUENCES, _scan_sql(PANEL), _COUNTS) + " SELECT doc_id, enzyme_id, n_sites, cutter FROM cls WHERE n_sites IN (1, 2)",
     "non_cutters": _w(SEQUENCES, _scan_sql(PANEL), _COUNTS) + " SELECT doc_id, enzyme_id FROM cls WHERE n_sites = 0",
     "cutter_filter_by_class": _w(SEQUENCES, _scan_sql(PANEL), _COUNTS) + " SELECT category, cutter, count(*) AS n_pairs, CAST(sum(n_sites) AS BIGINT) AS n_sites FROM cls GROUP BY ROLLUP (category, cutter)",
-    "enzyme_lookup": f"""WITH {_ENZ}, t(term) AS (VALUES {_values([(t,) for t in TERMS])}), k AS (SELECT lower(name) AS key, enzyme_id, 0 AS tier, 0 AS ord FROM enz UNION ALL SELECT lower(alias), enzyme_id, 1, ord FROM al JOIN enz USING (enzyme_id))
-        SELECT term, (SELECT first(enzyme_id ORDER BY tier, ord DESC) FROM k WHERE key = lower(trim(term))) AS enzyme_id FROM t""",
-    "enzyme_suggest": f"""WITH {_ENZ}, t0(term) AS (VALUES {_values([(t,) for t in MISSPELT])}), t AS (SELECT term, regexp_replace(regexp_replace(regexp_replace(lower(trim(term)), '1$', 'i'), '2$', 'ii'), '3$', 'iii') AS t FROM t0),
+    "enzyme_lookup": f"""WITH {_ENZ}, {_TERMS}, k AS (SELECT lower(name) AS key, enzyme_id, 0 AS tier, 0 AS ord FROM enz UNION ALL SELECT lower(alias), enzyme_id, 1, ord FROM al JOIN enz USING (enzyme_id))
+        SELECT p_partkey, term, (SELECT first(enzyme_id ORDER BY tier, ord DESC) FROM k WHERE key = lower(trim(term))) AS enzyme_id FROM terms""",
+    "enzyme_suggest": f"""WITH {_ENZ}, {_TERMS}, t0 AS (SELECT DISTINCT term FROM terms), t AS (SELECT term, regexp_replace(regexp_replace(regexp_replace(lower(trim(term)), '1$', 'i'), '2$', 'ii'), '3$', 'iii') AS t FROM t0),
         nm AS (SELECT enzyme_id, lower(name) AS x FROM enz UNION ALL SELECT enzyme_id, lower(alias) FROM al),
         p AS (SELECT term, enz.enzyme_id, levenshtein(t, lower(enz.name)) AS d, CASE WHEN bool_or(starts_with(x, t)) THEN 0 WHEN bool_or(contains(x, t)) THEN 1 WHEN levenshtein(t, lower(enz.name)) <= 2 THEN 2 END AS tier
               FROM t CROSS JOIN enz JOIN nm USING (enzyme_id) GROUP BY term, t, enz.enzyme_id, enz.name),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandwise.functions.tables import enzymes
-from strandwise.operators import align, diff, matching, products
+from strandwise.operators import align, diff, matching, products, workspace
 
 SEGMENTS = "array<struct<start0:bigint,end0:bigint>>"
 
@@ -194,3 +194,13 @@ def test_clones_in_both_orientations_and_errors(spark):
 def test_runs_of_one_kind():
     x, y = (np.frombuffer(t, np.uint8) for t in (b"ACGT", b"AGGTT"))
     assert align.runs(x, y, np.array([0, 0, 0, 0, 2], np.uint8)) == [("substitution", 1, 2, 1, 2), ("insertion", 4, 4, 4, 5)]
+
+
+def test_coordinates_as_typed(spark):
+    typed = {":12": (12, 12), "12": (12, 12), " 12-30\t": (12, 30), "12 .. 30": (12, 30), "12..101": (None, None), "30-12": (None, None), "0-5": (None, None), "1..": (None, None),
+             ": 12": (None, None), "12--30": (None, None), "12...30": (None, None), "1-2-3": (None, None), "": (None, None), "-": (None, None), "9" * 40: (None, None), None: (None, None)}
+    d = spark.createDataFrame([(t,) for t in typed], "t string")
+    got = d.select("t", *[c.alias(k) for k, c in workspace.parse_coordinates(F.col("t"), F.lit(100)).items()]).collect()
+    assert {r.t: (r.start1, r.end1) for r in got} == typed
+    wide = d.filter("t = '12..101'").select(workspace.parse_coordinates(F.col("t"))["end1"]).collect()
+    assert wide[0][0] == 101
