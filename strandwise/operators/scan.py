@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.nt import let, rc, site_class
 
-#: Bases of a block. A long sequence is scanned block by block, so that its cost is linear and its blocks are rows of their own.
-BLOCK = 16_384
+#: Bases of a block. A long sequence is scanned block by block, so that its cost is linear and its blocks are rows of their own; a block
+#: is small, as its starts are summed up in an array that is copied at every match.
+BLOCK = 4_096
 
 
 def match_starts(text: Column, regex: Column) -> Column:
@@ -22,6 +23,12 @@ def match_starts(text: Column, regex: Column) -> Column:
     return F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")), step, lambda acc: acc["all"])
 
 
+def matches(text: Column, regex: Column) -> Column:
+    """(start, hit) of all matches, as match_starts, with their text: whoever reads a hit doesn't have to walk to it in the text again."""
+    hits = F.regexp_extract_all(text, F.concat(F.lit("(?=("), regex, F.lit("))")), F.lit(1))
+    return F.zip_with(match_starts(text, regex), hits, lambda at, hit: F.struct(at.alias("start"), hit.alias("hit")))
+
+
 def haystack(seq: Column, topology: Column, width: Column) -> Column:
     """The sequence to search for a pattern of `width`: circular ones go on with their first width - 1 bases."""
     n = F.length(seq)
@@ -41,9 +48,8 @@ def scan(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     starts = F.sequence(F.lit(0), F.greatest(F.length("hay") - 1, F.lit(0)), F.lit(block))
     cut = docs.withColumn("__at", F.explode(starts)).withColumn("__part", F.substr("hay", F.col("__at") + 1, block + F.col("width") - 1))
-    found = cut.drop("hay").withColumn("__start", F.explode(match_starts(F.col("__part"), F.col("regex"))))
-    found = found.withColumn("hit", F.substr("__part", (F.col("__start") + 1).cast("int"), F.col("width")))
-    return found.withColumn("start0", F.col("__at") + F.col("__start")).drop("__at", "__start", "__part")
+    found = cut.drop("hay").withColumn("__m", F.explode(matches(F.col("__part"), F.col("regex"))))
+    return found.withColumn("hit", F.col("__m.hit")).withColumn("start0", F.col("__at") + F.col("__m.start")).drop("__at", "__m", "__part")
 
 
 def strand_patterns(motifs: list[dict], contained: bool = False) -> list[dict]:

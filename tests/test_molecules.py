@@ -231,9 +231,9 @@ def test_motifs_of_mixed_widths(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_alignment_above_the_limit_is_null(spark):
+def test_alignment_scores_have_no_limit(spark):
     d = spark.createDataFrame([("a", "ACGT", "ACGA"), ("b", "ACGTA", "ACGTA"), ("c", None, "A")], "doc_id string, reference string, query string")
-    assert rows(diff.alignment_scores(d, most=16)) == [("a", 5), ("b", None), ("c", -2)]
+    assert rows(diff.alignment_scores(d)) == [("a", 5), ("b", 10), ("c", -2)]
 
 
 def test_canonical_rotation_is_the_least_of_both_strands(spark):
