@@ -23,11 +23,10 @@ EVIDENCE, PRECISION, STEPS = 5_000.0, 1.0, 1_500
 #: Log odds against content from which an element speaks for all it holds, whatever stands inside it.
 FIRM = -2.0
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|(?P<text>[^<]+|<)""",
-    re.S,
-)
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A tag; a quote opens a value only behind an equals sign. PLAIN ends at the next ">", for pages whose quotes don't pair.
+TAG = re.compile(r"""<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>""")
+PLAIN = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>")
+MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "xmp", "noframes", "math", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -45,6 +44,12 @@ FURNITURE_WORDS = (
     "sharing", "social", "related", "recommended", "widget", "toolbar", "contentinfo", "complementary", "copyright", "pagination", "pager", "skip",
 )
 PRIOR = {x: -4.0 for x in FURNITURE} | {f".{x}": -4.0 for x in FURNITURE_WORDS} | {"header": -1.5, ".header": -1.5, ".masthead": -1.5, ".topbar": -1.5} | {x: 2.0 for x in CONTENT}
+#: Elements that hold no content, however much of a page they hold; words of what readers wrote; words of a site's own heading.
+NEVER = {"nav", "footer", "aside", "head", "menu", "dialog", "button", "select"}
+REMARKS = {".comment", ".comments", ".disqus", ".replies", ".respond"}
+SITE = {"header", ".site", ".masthead", ".topbar", ".logo", ".brand"}
+#: Share of the words outside of NEVER elements from which an element is the frame of the content, not a part beside it.
+FRAME = 0.8
 #: Words and tags inside and outside of content that are counted before any page is seen.
 DENSITY = {("word", True): 9, ("tag", True): 1, ("word", False): 5, ("tag", False): 5}
 
@@ -62,9 +67,10 @@ def scan(page: str):
     """The page in order: ("open", name, features), ("shut", depth, name), ("lone", name, ()) and ("text", text, ()).
 
     depth is the number of open elements that stay; a lone tag opens nothing, be it void, raw or an end without a begin. Contents
-    of RAW elements are left out. Work is linear in the page, whatever its nesting: positions of open elements are kept by name.
+    of RAW elements are left out. Work is linear in the page, whatever its nesting: positions of open elements are kept by name,
+    what no ">" ends is text, and after the first tag whose quotes don't pair tags end at the next ">".
     """
-    at, n = 0, len(page)
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
     stack: list[str] = []
     places: dict[str, list[int]] = {}
 
@@ -73,16 +79,33 @@ def scan(page: str):
             places[stack.pop()].pop()
 
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        text = m["text"]
-        if text is not None:
-            yield "text", text, ()
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = n if stop < 0 else stop
+            yield "text", page[at:stop], ()
+            at = stop
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = n if stop < 0 else stop + 3
             continue
-        name = m["name"] or m["name2"]
-        if name is None:
+        if at > last:
+            # nothing ends a tag from here on
+            yield "text", page[at:], ()
+            return
+        if page[at + 1] in "!?":
+            at = page.find(">", at) + 1
             continue
-        name, is_end, rest = name.lower(), bool(m["end"] or m["end2"]), m["rest"] or m["rest2"] or ""
+        m = TAG.match(page, at) if quotes else None
+        if m is None:
+            m = PLAIN.match(page, at)
+            if m is None:
+                yield "text", "<", ()
+                at += 1
+                continue
+            quotes = False
+        at = m.end()
+        name, is_end, rest = m["name"].lower(), bool(m["end"]), m["rest"]
         if is_end:
             if places.get(name):
                 depth = places[name][-1]
@@ -93,8 +116,9 @@ def scan(page: str):
             continue
         if name in RAW:
             yield "lone", name, ()
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            close = re.compile(rf"</{name}\b", re.I).search(page, at)
+            at = page.find(">", close.end()) + 1 if close else n
+            at = at or n
             continue
         if name in VOID or rest.endswith("/"):
             yield "lone", name, ()
@@ -196,19 +220,76 @@ def fit(words: Counter, kinds: Counter) -> Weights:
     return Weights(PRIOR | dict(zip(seen, w.tolist(), strict=True)), density["word"], density["tag"])
 
 
-def scored(page: str, weights: Weights) -> list[tuple[str, str, float]]:
-    """The page's tokens with their scores: ("text", text, score), ("tag", name, score), and None for the score of what is left out.
+def frames(tokens: list[tuple]) -> set[int]:
+    """Places of the open tags whose elements hold the content, so that nothing they are called makes them furniture.
 
-    A word's and a tag's score are the log odds of their kind plus those that the open elements add. A block, or another element
-    by its class, id or role, that turns them from above zero to zero or below is furniture inside content: it is left out and
-    doesn't end the run around it. One that lowers them by FIRM or more bounds those of all it holds: a paragraph in a list of
-    comments is a comment.
+    These are the article or main element with the most words, all elements around it, and inside it the articles with half of
+    its words. Without such an element, those that have paragraphs and FRAME or more of the words that stand outside of NEVER
+    elements; inside the content element, those that have as much of its words and a first-level heading. Comments are never such
+    frames.
+    """
+    words = paragraphs = titles = 0
+    outer: int | None = None  # depth of the outermost NEVER element that is open
+    stack: list[int] = []
+    held: dict[int, list[int]] = {}
+    parent: dict[int, int] = {}
+
+    def shut(depth):
+        while len(stack) > depth:
+            k = stack.pop()
+            held[k] = [now - before for now, before in zip((words, paragraphs, titles), held[k], strict=True)]
+
+    for k, (kind, what, _) in enumerate(tokens):
+        if kind == "text":
+            words += len(what.split()) if outer is None else 0
+        elif kind == "open":
+            parent[k] = stack[-1] if stack else -1
+            held[k] = [words, paragraphs, titles]
+            paragraphs += what == "p"
+            titles += what == "h1"
+            outer = len(stack) if outer is None and what in NEVER else outer
+            stack.append(k)
+        elif kind == "shut":
+            shut(what)
+            outer = outer if outer is not None and outer < what else None
+    shut(0)
+    marks = {k: tokens[k][1] for k in held if tokens[k][1] in CONTENT}
+    core = max(marks, key=lambda k: (held[k][0], -k), default=None)
+    if core is not None and not held[core][0]:
+        core = None
+    total = words if core is None else held[core][0]
+    out = set()
+    for k, (n, ps, hs) in held.items():
+        name, features = tokens[k][1], tokens[k][2]
+        if core is not None and k < core:
+            continue
+        if k == core or name in CONTENT and core is not None and 2 * n >= total:
+            out.add(k)
+        elif total and (ps if core is None else hs) and n >= FRAME * total and name not in NEVER and not REMARKS.intersection(features):
+            out.add(k)
+    while core is not None and core >= 0:
+        out.add(core)
+        core = parent[core]
+    return out
+
+
+def scored(page: str, weights: Weights) -> tuple[list[tuple[str, str, float]], list[tuple[int, int]]]:
+    """The page's tokens with their scores: ("text", text, score), ("tag", name, score), and None for the score of what is left
+    out; with the places of first-level headings that are no site's own.
+
+    A word's and a tag's score are the log odds of their kind plus those that the open elements add; a frame of the content only
+    adds what speaks for it. A block, or another element by its class, id or role, that turns them from above zero to zero or
+    below, or lowers them by FIRM or more by what it is called, is furniture wherever it stands: it is left out with all it
+    holds and doesn't end the run around it.
     """
     out: list[tuple] = []
+    heads: list[tuple[int, int]] = []
     elements = _Open()
-    odds, tops, turned = [0.0], [math.inf], None  # the log odds and their bound at each depth; the depth from which all is left out
+    odds, tops, turned, title = [0.0], [math.inf], None, None  # log odds and their bound at each depth; depths from which all is left out, and of an open heading
     get = weights.feature.get
-    for kind, what, features in scan(page):
+    tokens = list(scan(page))
+    kept = frames(tokens)
+    for k, (kind, what, features) in enumerate(tokens):
         if kind == "text":
             out.append(("text", what, None if turned is not None else len(what.split()) * (weights.word + odds[-1])))
             continue
@@ -218,18 +299,24 @@ def scored(page: str, weights: Weights) -> list[tuple[str, str, float]]:
             if turned is not None and what < turned:
                 turned = None
             out.append(("tag", features, None if turned is not None else weights.tag + odds[-1]))
+            if title is not None and what <= title[0]:
+                heads.append((title[1], k + 1))
+                title = None
             continue
         if kind == "open":
-            new = elements.open(features)
+            new = elements.open(tuple(f for f in features if get(f, 0.0) > 0) if k in kept else features)
             own = sum(get(f, 0.0) for f in new)
             now = min(odds[-1] + own, tops[-1])
             speaks = what in BLOCK or sum(get(f, 0.0) for f in new if f != what) < 0
-            if turned is None and speaks and now <= 0 < odds[-1]:
+            firm = sum(get(f, 0.0) for f in new if f in PRIOR or f[0] == ".") <= FIRM
+            if turned is None and speaks and (firm or now <= 0 < odds[-1]):
                 turned = len(odds)
+            if what == "h1" and turned is None and title is None and not SITE.intersection(elements.active):
+                title = len(odds) - 1, k
             tops.append(min(tops[-1], now) if speaks and own <= FIRM else tops[-1])
             odds.append(now)
         out.append(("tag", what, None if turned is not None else weights.tag + odds[-1]))
-    return out
+    return out, heads
 
 
 def best_run(scores: list[float | None]) -> tuple[int, int]:
@@ -246,9 +333,11 @@ def best_run(scores: list[float | None]) -> tuple[int, int]:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """Text of the best run of a page, less the furniture inside it: one blank line between blocks."""
-    tokens = scored(page or "", weights)
+    """Text of the best run of a page, less the furniture inside it: one blank line between blocks. A run without a first-level
+    heading is led by the last one before it."""
+    tokens, heads = scored(page or "", weights)
     begin, end = best_run([x[2] for x in tokens])
+    ahead = [h for h in heads if h[1] <= begin] if end and not any(begin < stop and start < end for start, stop in heads) else []
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -258,7 +347,7 @@ def extract(page: str | None, weights: Weights) -> str:
             blocks.append(text)
         parts.clear()
 
-    for kind, what, score in tokens[begin:end]:
+    for kind, what, score in [x for start, stop in ahead[-1:] for x in tokens[start:stop]] + tokens[begin:end]:
         if kind == "tag":
             if what in BLOCK:
                 flush()

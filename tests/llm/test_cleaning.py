@@ -334,3 +334,43 @@ def test_html_furniture_inside_an_article_does_not_end_it(links):
         page = f"<html><body>{part}<article><h1>A short title</h1>{part}<p>{'middle words stand here ' * 30}</p>{part}<p>The last paragraph.</p></article>{part}</body></html>"
         for w in (table, learned):
             assert html_text.extract(page, w).split("\n\n") == ["A short title", ("middle words stand here " * 30).strip(), "The last paragraph."], part[:20]
+
+
+STORY = [f"Sentence {k} of the story goes on with plain words, one after another." for k in range(20)]
+BODY = "<h1>The story</h1>" + "".join(f"<p>{x}</p>" for x in STORY)
+NAV = "<nav><ul>" + "".join(f'<li><a href="/{k}">Menu {k}</a></li>' for k in range(8)) + "</ul></nav>"
+REPLIES = '<section class="comments">' + "<p>Nice words of a reader, thanks a lot for them.</p>" * 5 + "</section>"
+TEMPLATES = {
+    "form": f"<html><body>{NAV}<form action='/post'><article>{BODY}</article></form></body></html>",
+    "search": f'<div id="search-page"><main>{BODY}</main></div>',
+    "sidebar": f'<div class="layout-sidebar-right">{NAV}<article>{BODY}</article><aside><p>Beside the text.</p></aside></div>',
+    "navbar": f'<div class="navbar-layout"><div><article>{BODY}</article></div></div>',
+    "frame without labels": f'<body>{NAV}<form id="search-form"><div class="layout-sidebar-left">{BODY}</div></form><footer>c me</footer></body>',
+    "advert outside": f'<body><div class="post-body">{BODY.replace("<p>Sentence 9", NAV + chr(60) + "div class=ad>BUYNOW</div><p>Sentence 9")}</div></body>',
+    "adverts in body": f'<body>{BODY.replace("<p>Sentence 4", "<div class=advert><p>Buy this</p></div><p>Sentence 4")}{REPLIES}</body>',
+    "social policy": f'<body><article class="post social-policy">{BODY}</article>{REPLIES}</body>',
+    "comments open": f'<body>{NAV}<article class="post has-comments comments-open">{BODY}{REPLIES}</article></body>',
+    "page header": f'<body>{NAV}<div class="page-header"><h1>The story</h1></div>{BODY.replace("<h1>The story</h1>", "")}</body>',
+    "main with parts": f'<main class="content">{NAV}<div class="notice">We set cookies.</div><article class="comment-on-law">{BODY}</article>{REPLIES}<aside>Related</aside></main>',
+    "quotes": f"<body><a href=x\">{NAV}</a><article title='it\"s'>{BODY}</article><p class=\"y>",
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_html_templates(name):
+    """Whole article, nothing else, on pages of other templates than the learned ones."""
+    for w in (html_text.fit(Counter(), Counter()), fitted(labelled())):
+        assert html_text.extract(TEMPLATES[name], w).split("\n\n") == ["The story", *STORY]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a '\">", '<a =">" ', "<!x ", "<script></script ", "</a", "<!--", '<a "> "', "<p class='", "<"])
+def test_html_unclosed_tags_are_linear(unit):
+    import time
+
+    w = html_text.fit(Counter(), Counter())
+    start = time.perf_counter()
+    for end in ("", ">", '">'):
+        html_text.extract(unit * (1_000_000 // len(unit)) + end, w)
+    assert time.perf_counter() - start < 15
+    # what no bracket ends is text
+    assert html_text.extract("<p>plain words and <a two three", w) == "plain words and <a two three"
