@@ -10,9 +10,22 @@ from .common import SPACES, let
 SYMBOLS = "#*$%&|<>"
 #: A document that loses more than this share of its words (in percent) with the failing lines is rejected.
 MAX_LOST = 30
-#: Phrases of page furniture; a line of up to BOILERPLATE_CHARS characters that holds one fails.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "sign up for", "log in to", "enable javascript", "share this", "skip to content")
+#: Phrases of page furniture by language; a line of up to BOILERPLATE_CHARS characters that holds one fails.
+PHRASES = {
+    "en": ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "sign up for", "log in to", "enable javascript", "share this", "skip to content"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "gestion des cookies", "cliquez ici", "inscrivez-vous", "connectez-vous", "activez javascript", "partager cet article", "aller au contenu"),
+    "de": ("alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "javascript aktivieren", "artikel teilen", "zum inhalt springen"),
+    "es": ("todos los derechos reservados", "política de cookies", "política de privacidad", "términos de uso", "condiciones de uso", "aviso legal", "haga clic aquí", "suscríbete", "iniciar sesión", "activar javascript", "saltar al contenido"),
+}
+BOILERPLATE = tuple(x for language in PHRASES.values() for x in language)
 BOILERPLATE_CHARS = 200
+#: Signs between the items of a menu; signs that end a sentence, with what may close behind them.
+BARS = "|»›•·"
+ENDS = r"""[.!?:;…。！？]["'”’»)\]]*$"""
+#: A short line has at most ITEM_WORDS words and no sentence end; LIST_LINES of them in a row are a list of items. A teaser is a line
+#: of at most TEASER_WORDS words that breaks off. Lines of digits and of capitals have at least SHARE_CHARS such signs, and more than half.
+ITEM_WORDS, LIST_LINES, TEASER_WORDS, SHARE_CHARS = 6, 3, 12, 12
+UPPER, LETTER, LINK, CUT = "[A-ZÀ-ÖØ-Þ]", "[A-Za-zÀ-ÖØ-öø-ÿ]", r"https?://|www\.", r"(…|\.\.\.)$"
 
 
 def n_words(text: Column) -> Column:
@@ -26,15 +39,46 @@ def n_of(text: Column, chars: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that breaks a rule: punctuation (decorative symbols or exclamation marks), navigation (bars between
-    short items) or boilerplate (a known phrase in a short line)."""
+    """True for a line that breaks a rule by itself: punctuation (decorative symbols, exclamation marks, a short line that breaks
+    off), navigation (bars between short items, a link for every three words), signs (more digits than all else, more capitals than
+    small letters) or boilerplate (a known phrase in a short line). The end of a line is what stands before trailing white space."""
+
+    def judged(x):
+        line, words, chars, end = x["line"], x["words"], x["chars"], x["end"]
+        decorated = (n_of(line, SYMBOLS) >= 3) & (n_of(line, SYMBOLS) * 5 > words)
+        shouting = (n_of(line, "!") >= 3) & (n_of(line, "!") * 2 > words)
+        navigation = (n_of(line, BARS) >= 3) & (n_of(line, BARS) * 4 > words)
+        # one pass over the line decides most cases
+        signs = (n_of(line, SYMBOLS + "!" + BARS) >= 3) & (decorated | shouting | navigation)
+        links = line.contains("://") | line.contains("www.")
+        links = links & (F.regexp_count(line, F.lit(LINK)) * 3 >= words)
+        digits, upper = n_of(line, "0-9"), F.regexp_count(line, F.lit(UPPER))
+        numbers = (digits >= SHARE_CHARS) & (digits * 2 > chars)
+        capitals = (upper >= SHARE_CHARS) & (upper * 2 > F.regexp_count(line, F.lit(LETTER)))
+        teaser = (words <= TEASER_WORDS) & end.rlike(CUT)
+        furniture = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
+        return signs | links | numbers | capitals | teaser | furniture
+
+    body = F.btrim(line, F.lit(SPACES))
+    parts = F.struct(line.alias("line"), n_words(line).alias("words"), F.length(F.translate(line, SPACES, "")).alias("chars"), F.right(body, F.lit(8)).alias("end"))
+    return let(parts, judged)
+
+
+def is_item(line: Column) -> Column:
+    """True for a short line with words and without a sentence end: a heading, or an item if others stand beside it."""
     words = n_words(line)
-    decorated = (n_of(line, SYMBOLS) >= 3) & (n_of(line, SYMBOLS) * 5 > words)
-    shouting = (n_of(line, "!") >= 3) & (n_of(line, "!") * 2 > words)
-    navigation = (n_of(line, "|") >= 3) & (n_of(line, "|") * 4 > words)
-    furniture = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
-    # one pass over the line decides most cases
-    return ((n_of(line, SYMBOLS + "!") >= 3) & (decorated | shouting | navigation)) | furniture
+    return (words > 0) & (words <= ITEM_WORDS) & ~F.right(F.btrim(line, F.lit(SPACES)), F.lit(8)).rlike(ENDS)
+
+
+def in_list(items: Column, i: Column) -> Column:
+    """Whether line i (from 0) is one of LIST_LINES or more items in a row."""
+    at = lambda k: F.coalesce(F.when(i + k >= 0, F.get(items, i + k)), F.lit(False))
+    runs = [[at(k) for k in range(first, first + LIST_LINES)] for first in range(1 - LIST_LINES, 1)]
+    alike = lambda xs: xs[0] if len(xs) == 1 else xs[0] & alike(xs[1:])
+    out = F.lit(False)
+    for run in runs:
+        out = out | alike(run)
+    return out
 
 
 def repeated_words(words: Column, width: int = 8) -> Column:
@@ -59,7 +103,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: int = MAX_L
     n_dup_lines, n_repeat_words, lost_words (long), base_failed and kept (boolean).
 
     kept is false if base_failed (fewer than 20 words, or over 30 % of them in repeated 8-word windows) or if the failing lines
-    hold more than max_lost percent of the words. Null text counts as empty (kept false; clean_text empty). Added columns
+    hold more than max_lost percent of the words. Lines fail by themselves (line_fails) or as LIST_LINES or more short items in a
+    row; a single heading stays. Null text counts as empty (kept false; clean_text empty). Added columns
     replace columns of docs with the same names; all else passes through. All work is per row: no shuffle, so ties,
     repeated rows and hot sources need nothing special.
     """
@@ -68,7 +113,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost: int = MAX_L
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
     trimmed = F.btrim(body, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
-    judged = F.transform(F.split(body, "\n", -1), lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+    marked = F.transform(F.split(body, "\n", -1), lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"), is_item(x).alias("item")))
+    judged = let(marked, lambda m: let(F.transform(m, lambda x: x["item"]), lambda items: F.transform(m, lambda x, i: F.struct(x["line"].alias("line"), (x["fails"] | (x["item"] & in_list(items, i))).alias("fails")))))
 
     def line_counts(lines):
         full = F.filter(F.transform(lines, lambda x: x["line"]), lambda x: F.btrim(x, F.lit(SPACES)) != "")
@@ -121,14 +167,24 @@ WITH d AS (
 ), cov AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, unnest(string_split(body, chr(10))) AS x FROM d
+  SELECT doc_id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM d
+), lt AS (
+  SELECT *, {_N.format('x')} AS n, right(trim(x, {_WS}), 8) AS e, length(translate(x, {_WS}, '')) AS chars FROM l
 ), lw AS (
-  SELECT *, {_N.format('x')} AS n FROM l
+  SELECT *, n BETWEEN 1 AND {ITEM_WORDS} AND NOT regexp_matches(e, '{ENDS.replace("'", "''")}') AS item FROM lt
+), lr AS (
+  SELECT *, k - sum(item::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM lw
+), li AS (
+  SELECT *, item AND count(*) FILTER (WHERE item) OVER (PARTITION BY doc_id, run) >= {LIST_LINES} AS listed FROM lr
 ), lf AS (
   SELECT *, (
+      listed OR (regexp_matches(x, '{LINK}') AND len(regexp_extract_all(x, '{LINK}')) * 3 >= n)
+      OR ({_of('x', '0123456789')} >= {SHARE_CHARS} AND {_of('x', '0123456789')} * 2 > chars)
+      OR (len(regexp_extract_all(x, '{UPPER}')) >= {SHARE_CHARS} AND len(regexp_extract_all(x, '{UPPER}')) * 2 > len(regexp_extract_all(x, '{LETTER}')))
+      OR (n <= {TEASER_WORDS} AND regexp_matches(e, '{CUT}')) OR
       ({_of('x', SYMBOLS)} >= 3 AND {_of('x', SYMBOLS)} * 5 > n) OR ({_of('x', '!')} >= 3 AND {_of('x', '!')} * 2 > n)
-      OR ({_of('x', '|')} >= 3 AND {_of('x', '|')} * 4 > n)
-      OR (regexp_matches(lower(x), '{'|'.join(BOILERPLATE)}') AND length(x) <= {BOILERPLATE_CHARS})) AS fails FROM lw
+      OR ({_of('x', BARS)} >= 3 AND {_of('x', BARS)} * 4 > n)
+      OR (regexp_matches(lower(x), '{'|'.join(BOILERPLATE).replace("'", "''")}') AND length(x) <= {BOILERPLATE_CHARS})) AS fails FROM li
 ), la AS (
   SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT x) FILTER (WHERE n > 0) AS n_dup_lines,
          coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM lf GROUP BY doc_id

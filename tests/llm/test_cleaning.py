@@ -84,6 +84,40 @@ def test_quality_lines_go_and_documents_with_them(spark):
     assert got[1] == (True, good) and got[2] == (True, good) and not got[3][0] and got[4][0] and got[5] == (True, good)
 
 
+SENTENCE = "This is a plain sentence that has a good number of words in it, and then some more of them."
+FAILING = [
+    "Tous droits réservés 2020.", "Alle Rechte vorbehalten.", "Política de privacidad aquí.", "Skip to content", "home » news » sport » contact", "a · b · c · d",
+    "see http://a.b/c www.d.e", "2020 2021 2022 2023 2024 99", "THIS LINE IS ALL IN CAPITALS.", "ÄÖÜ ÉÈÊ ÑÁÍ ÓÚÀ ÂÎÔ", "And then it went on...", "Weiter lesen…", "*** buy ### now %%%", "buy!! now!!",
+]
+STAYING = ["A single heading", SENTENCE + "..", "One link http://a.b/c in a line of plain words.", "In 2020 and 2021 there were 12345678 of them in all of the town, or so they say.", "NASA and ESA met.", '"Is it?"', "", " \t"]
+
+
+def test_quality_lines_by_shape(spark):
+    rows = [(f"f{i}", f"{SENTENCE}\n{x}\n{SENTENCE} {SENTENCE}") for i, x in enumerate(FAILING)] + [(f"s{i}", f"{SENTENCE}\n{x}\n{SENTENCE} {SENTENCE}") for i, x in enumerate(STAYING)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for i, x in enumerate(FAILING):
+        assert got[f"f{i}"].clean_text == f"{SENTENCE}\n{SENTENCE} {SENTENCE}" and got[f"f{i}"].lost_words == len(x.split()), x
+    for i, x in enumerate(STAYING):
+        assert got[f"s{i}"].clean_text.split("\n")[1] == x and got[f"s{i}"].lost_words == 0, x
+
+
+def test_quality_runs_of_items(spark):
+    """Three short lines or more without a sentence end go, wherever they stand; fewer stay, as do short sentences."""
+    rng = random.Random(3)
+    pool = [SENTENCE, "Home", "About us here", "It rained.", "", "Read: more"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    item = lambda x: x in ("Home", "About us here", "Read: more")
+    for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        lines, out, k = texts[r.doc_id].split("\n"), [], 0
+        while k < len(lines):
+            run = 1
+            while item(lines[k]) and k + run < len(lines) and item(lines[k + run]):
+                run += 1
+            out += lines[k : k + run] if not item(lines[k]) or run < 3 else []
+            k += run
+        assert r.clean_text == "\n".join(out), texts[r.doc_id]
+
+
 def test_quality_extra_columns(spark):
     out = quality.quality_rules(spark.createDataFrame([(1, None, 2, 3)], "doc_id long, text string, kept int, w int"))
     assert out.columns[:3] == ["doc_id", "text", "w"] and out.first().kept is False
