@@ -82,31 +82,31 @@ def _codon_table(table: int) -> np.ndarray:
     return out
 
 
-def translate_codons(seq: Column, table: int = 1) -> Column:
+def translate_codons(seq: Column, table: int | Column = 1) -> Column:
     """Protein of a sequence from its first base; a codon that isn't all ACGT gives X, a rest of one or two bases nothing.
 
-    One look-up a codon, in Arrow batches: a per-codon expression on the JVM is interpreted and took many times longer.
+    table is one genetic code, or a column with one for each row. One look-up a codon, in Arrow batches: a per-codon expression on
+    the JVM is interpreted and took many times longer.
     """
 
     @F.pandas_udf("string")
-    def protein(seqs):
+    def protein(seqs, tables):
         import pandas as pd
 
         base = np.full(256, 4, np.uint8)
         base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-        amino = _codon_table(table)
 
-        def one(x):
+        def one(x, table):
             if x is None:
                 return None
             # a character that isn't ASCII is one base like any other letter
             b = base[np.frombuffer(x.encode("ascii", "replace"), np.uint8)]
             n = len(b) // 3
-            return amino[25 * b[0 : 3 * n : 3] + 5 * b[1 : 3 * n : 3] + b[2 : 3 * n : 3]].tobytes().decode()
+            return _codon_table(int(table))[25 * b[0 : 3 * n : 3] + 5 * b[1 : 3 * n : 3] + b[2 : 3 * n : 3]].tobytes().decode()
 
-        return pd.Series([one(x) for x in seqs], dtype=object)
+        return pd.Series([one(x, t) for x, t in zip(seqs, tables, strict=True)], dtype=object)
 
-    return protein(seq)
+    return protein(seq, F.lit(table) if isinstance(table, int) else F.coalesce(table, F.lit(1)))
 
 
 def site_class(pattern: str, contained: bool = False) -> str:
