@@ -23,8 +23,10 @@ BOILERPLATE_CHARS = 200
 BARS = "|»›•·"
 ENDS = r"""[.!?:;…。！？]["'”’»)\]]*$"""
 #: A short line has at most ITEM_WORDS words and no sentence end; LIST_LINES of them in a row are a list of items. A teaser is a line
-#: of at most TEASER_WORDS words that breaks off. Lines of digits and of capitals have at least SHARE_CHARS such signs, and more than half.
-ITEM_WORDS, LIST_LINES, TEASER_WORDS, SHARE_CHARS = 6, 3, 12, 12
+#: of at most TEASER_WORDS words that breaks off. A line of numbers has at least NUMBERS words that begin with a digit, and more than
+#: half; a line of capitals at least CAPITALS of them, and more than half of its letters.
+ITEM_WORDS, LIST_LINES, TEASER_WORDS, NUMBERS, CAPITALS = 6, 3, 12, 5, 12
+NUMBER = r"(^|[ \t-\r])[0-9]"
 UPPER, LETTER, LINK, CUT = "[A-ZÀ-ÖØ-Þ]", "[A-Za-zÀ-ÖØ-öø-ÿ]", r"https?://|www\.", r"(…|\.\.\.)$"
 
 
@@ -40,11 +42,11 @@ def n_of(text: Column, chars: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that breaks a rule by itself: punctuation (decorative symbols, exclamation marks, a short line that breaks
-    off), navigation (bars between short items, a link for every three words), signs (more digits than all else, more capitals than
+    off), navigation (bars between short items, a link for every three words), signs (more numbers than other words, more capitals than
     small letters) or boilerplate (a known phrase in a short line). The end of a line is what stands before trailing white space."""
 
     def judged(x):
-        line, words, chars, end = x["line"], x["words"], x["chars"], x["end"]
+        line, words, end = x["line"], x["words"], x["end"]
         decorated = (n_of(line, SYMBOLS) >= 3) & (n_of(line, SYMBOLS) * 5 > words)
         shouting = (n_of(line, "!") >= 3) & (n_of(line, "!") * 2 > words)
         navigation = (n_of(line, BARS) >= 3) & (n_of(line, BARS) * 4 > words)
@@ -52,15 +54,15 @@ def line_fails(line: Column) -> Column:
         signs = (n_of(line, SYMBOLS + "!" + BARS) >= 3) & (decorated | shouting | navigation)
         links = line.contains("://") | line.contains("www.")
         links = links & (F.regexp_count(line, F.lit(LINK)) * 3 >= words)
-        digits, upper = n_of(line, "0-9"), F.regexp_count(line, F.lit(UPPER))
-        numbers = (digits >= SHARE_CHARS) & (digits * 2 > chars)
-        capitals = (upper >= SHARE_CHARS) & (upper * 2 > F.regexp_count(line, F.lit(LETTER)))
+        started, upper = F.regexp_count(line, F.lit(NUMBER)), F.regexp_count(line, F.lit(UPPER))
+        numbers = (started >= NUMBERS) & (started * 2 > words)
+        capitals = (upper >= CAPITALS) & (upper * 2 > F.regexp_count(line, F.lit(LETTER)))
         teaser = (words <= TEASER_WORDS) & end.rlike(CUT)
         furniture = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
         return signs | links | numbers | capitals | teaser | furniture
 
     body = F.btrim(line, F.lit(SPACES))
-    parts = F.struct(line.alias("line"), n_words(line).alias("words"), F.length(F.translate(line, SPACES, "")).alias("chars"), F.right(body, F.lit(8)).alias("end"))
+    parts = F.struct(line.alias("line"), n_words(line).alias("words"), F.right(body, F.lit(8)).alias("end"))
     return let(parts, judged)
 
 
@@ -169,7 +171,7 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM d
 ), lt AS (
-  SELECT *, {_N.format('x')} AS n, right(trim(x, {_WS}), 8) AS e, length(translate(x, {_WS}, '')) AS chars FROM l
+  SELECT *, {_N.format('x')} AS n, right(trim(x, {_WS}), 8) AS e FROM l
 ), lw AS (
   SELECT *, n BETWEEN 1 AND {ITEM_WORDS} AND NOT regexp_matches(e, '{ENDS.replace("'", "''")}') AS item FROM lt
 ), lr AS (
@@ -179,8 +181,8 @@ WITH d AS (
 ), lf AS (
   SELECT *, (
       listed OR (regexp_matches(x, '{LINK}') AND len(regexp_extract_all(x, '{LINK}')) * 3 >= n)
-      OR ({_of('x', '0123456789')} >= {SHARE_CHARS} AND {_of('x', '0123456789')} * 2 > chars)
-      OR (len(regexp_extract_all(x, '{UPPER}')) >= {SHARE_CHARS} AND len(regexp_extract_all(x, '{UPPER}')) * 2 > len(regexp_extract_all(x, '{LETTER}')))
+      OR (len(regexp_extract_all(x, '{NUMBER}')) >= {NUMBERS} AND len(regexp_extract_all(x, '{NUMBER}')) * 2 > n)
+      OR (len(regexp_extract_all(x, '{UPPER}')) >= {CAPITALS} AND len(regexp_extract_all(x, '{UPPER}')) * 2 > len(regexp_extract_all(x, '{LETTER}')))
       OR (n <= {TEASER_WORDS} AND regexp_matches(e, '{CUT}')) OR
       ({_of('x', SYMBOLS)} >= 3 AND {_of('x', SYMBOLS)} * 5 > n) OR ({_of('x', '!')} >= 3 AND {_of('x', '!')} * 2 > n)
       OR ({_of('x', BARS)} >= 3 AND {_of('x', BARS)} * 4 > n)
