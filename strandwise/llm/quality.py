@@ -55,7 +55,8 @@ def line_fails(line: Column) -> Column:
         links = line.contains("://") | line.contains("www.")
         links = links & (F.regexp_count(line, F.lit(LINK)) * 3 >= words)
         started, upper = F.regexp_count(line, F.lit(NUMBER)), F.regexp_count(line, F.lit(UPPER))
-        numbers = (started >= NUMBERS) & (started * 2 > words)
+        # few lines have as many digits, and these alone are searched for words
+        numbers = (n_of(line, "0-9") >= NUMBERS) & (started >= NUMBERS) & (started * 2 > words)
         capitals = (upper >= CAPITALS) & (upper * 2 > F.regexp_count(line, F.lit(LETTER)))
         teaser = (words <= TEASER_WORDS) & end.rlike(CUT)
         furniture = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
