@@ -237,40 +237,66 @@ def best_rotation(a: str, b: str) -> int:
     return int(np.argmax(np.rint(agree)))
 
 
-def rotations(pairs: DataFrame, k: int = 21) -> DataFrame:
-    """(doc_id, rotation, votes): where circular query begins on circular reference; null votes where it is the same but for that.
+def _kmers(texts: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """A number for the k-mer at each place of circular texts, the same for the same k-mer in any of them."""
+    letters, codes = np.unique(np.concatenate(texts), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in texts])[:-1]
+    first, kinds = [x.astype(np.int64) for x in np.split(codes, cuts)], len(letters)
+    out, most = first, kinds
+    for step in range(1, k):
+        if most * kinds >= 1 << 62:
+            seen, codes = np.unique(np.concatenate(out), return_inverse=True)
+            out, most = np.split(codes.astype(np.int64), cuts), len(seen)
+        out, most = [x * kinds + np.roll(y, -step) for x, y in zip(out, first, strict=True)], most * kinds
+    return out
+
 
-    pairs (doc_id, reference, query). Else k-mers vote that the reference has once: pairs meet k-mer by k-mer in one equi-join, and
-    the rotation with most votes wins, then the smallest. A pair without such k-mers (short ones, repeats) gets the rotation at which
-    most places agree, if it has one length, else null.
+def voted_rotation(a: str, b: str, k: int = 21) -> tuple[int, int] | None:
+    """(rotation, votes) of circular b on circular a by the k-mers that a has once, the smallest rotation of those with most votes; None
+    if there is no vote."""
+    if len(a) < k or len(b) < k:
+        return None
+    x, y = _kmers([_letters(a), _letters(b)], k)
+    once, at, count = np.unique(x, return_index=True, return_counts=True)
+    once, at = once[count == 1], at[count == 1]
+    if not len(once):
+        return None
+    place = np.minimum(np.searchsorted(once, y), len(once) - 1)
+    hit = np.flatnonzero(once[place] == y)
+    if not len(hit):
+        return None
+    votes = np.bincount((at[place[hit]] - hit) % len(a))
+    best = int(votes.argmax())
+    return best, int(votes[best])
+
+
+def rotations(pairs: DataFrame, k: int = 21, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, rotation, votes) and the columns of pairs that keep names: where circular query begins on circular reference; null votes
+    where it is the same but for that.
+
+    pairs (doc_id, reference, query). Else k-mers vote that the reference has once, and the rotation with most votes wins, then the
+    smallest. A pair without such k-mers (short ones, repeats) gets the rotation at which most places agree, if it has one length, else
+    null. A pair is a row from begin to end: its k-mers are numbers in its task, and nothing is shuffled.
     """
-    every = pairs
+    kinds = dict(pairs.dtypes)
     at = F.when(F.length("reference") == F.length("query"), F.expr("instr(concat(reference, reference), query)")).otherwise(0)
-    exact = pairs.select("doc_id", at.cast("long").alias("at"))
-    pairs = pairs.join(exact.filter("at = 0").select("doc_id"), "doc_id", "left_semi")
-
-    def kmers(c):
-        n = F.length(c)
-        hay = pairs.filter(n >= k).select("doc_id", n.alias("n"), F.concat(c, F.substr(c, F.lit(1), F.lit(k - 1))).alias("hay"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("shift"))
-        # k shifted copies, each cut in steps of k, hold every k-mer once, in time linear in the length
-        cut = hay.select("doc_id", "n", "shift", F.posexplode(F.regexp_extract_all(F.substr("hay", F.col("shift") + 1), F.lit(f"(.{{{k}}})"), 1)).alias("step", "kmer"))
-        return cut.select("doc_id", "n", (F.col("shift") + F.col("step") * k).alias("pos"), "kmer")
-
-    once = W.partitionBy("doc_id", "kmer")
-    ref = kmers(F.col("reference")).withColumn("c", F.count(F.lit(1)).over(once)).filter("c = 1").select("doc_id", "kmer", F.col("pos").alias("r"), "n")
-    votes = ref.join(kmers(F.col("query")).select("doc_id", "kmer", "pos"), ["doc_id", "kmer"]).groupBy("doc_id", F.pmod(F.col("r") - F.col("pos"), F.col("n")).cast("long").alias("rotation")).agg(F.count(F.lit(1)).alias("votes"))
-    best = W.partitionBy("doc_id").orderBy(F.desc("votes"), "rotation")
-    voted = votes.withColumn("x", F.row_number().over(best)).filter("x = 1").drop("x")
-    kind = every.select("doc_id").dtypes[0][1]
-
-    def place(batches):
+
+    def place(r: str | None, q: str | None, at: int | None) -> tuple[int | None, int | None]:
+        if at:
+            return at - 1, None
+        if r is None or q is None:
+            return None, None
+        voted = voted_rotation(r, q, k)
+        return voted or (best_rotation(r, q) if q and len(r) == len(q) else None, None)
+
+    def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([best_rotation(r, q) for r, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.int64())], names=["doc_id", "placed"])
+            got = [place(*(b.column(c)[i].as_py() for c in (1, 2, 3))) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)), *(b.column(c) for c in range(4, b.num_columns))], names=["doc_id", "rotation", "votes", *keep])
 
-    silent = pairs.filter((F.length("reference") == F.length("query")) & (F.length("query") > 0)).join(voted, "doc_id", "left_anti")
-    placed = silent.select("doc_id", "reference", "query").mapInArrow(place, f"doc_id {kind}, placed long")
-    j = every.select("doc_id").join(exact, "doc_id").join(voted, "doc_id", "left").join(placed, "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.coalesce("rotation", "placed")).alias("rotation"), "votes")
+    kept = [F.col(c).alias(f"__{c}") for c in keep]
+    schema = f"doc_id {kinds['doc_id']}, rotation bigint, votes bigint" + "".join(f", {c} {kinds[c]}" for c in keep)
+    return pairs.select("doc_id", "reference", "query", at.cast("long").alias("at"), *kept).mapInArrow(run, schema)
 
 
 def summary(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def rotation_votes(spark, d):
     p = s.withColumn("query", nt.rotate(F.col("reference"), F.pmod(F.col("doc_id") * 37, F.col("n")).cast("int"))).withColumn("p", F.floor(F.col("n") / 2).cast("int"))
     changed = edit.replace_range(F.col("query"), F.col("p"), F.col("p") + 1, F.translate(F.substr("query", F.col("p") + 1, F.lit(1)), "ACGT", "TGCA"))
     p = p.withColumn("query", F.when(F.col("doc_id") % 2 == 0, changed).otherwise(F.col("query"))).select("doc_id", "reference", "query")
-    placed = diff.rotations(p).join(p, "doc_id").withColumn("turned", nt.rotate(F.col("reference"), F.col("rotation").cast("int")))
+    placed = diff.rotations(p, keep=("reference", "query")).withColumn("turned", nt.rotate(F.col("reference"), F.col("rotation").cast("int")))
     return placed.select("doc_id", F.size(edit.changed_positions(F.col("turned"), F.col("query"))).cast("long").alias("n_changed"))
 
 
