@@ -61,16 +61,18 @@ class _Band:
                 old[l - 1] = _NEVER
         return old[: m + 1]
 
-    def walk(self) -> np.ndarray:
-        """The steps of the best way from corner to corner; of equal ones both before up before left, seen from the end."""
-        directions = np.zeros((len(self.a) + 1, self.hi - self.lo + 1), np.uint8)
-        self.last_row(directions)
+    def walk(self) -> tuple[np.ndarray, int, int]:
+        """The steps of the best way from the last corner to the first row or column, and where it meets it; of equal ones both before
+        up before left, seen from the end."""
         i, j, steps = len(self.a), len(self.b), []
-        while i or j:
-            d = UP if j == 0 else LEFT if i == 0 else int(directions[i, j - i - self.lo])
+        if i and j:
+            directions = np.zeros((len(self.a) + 1, self.hi - self.lo + 1), np.uint8)
+            self.last_row(directions)
+        while i and j:
+            d = int(directions[i, j - i - self.lo])
             steps.append(d)
             i, j = i - (d != LEFT), j - (d != UP)
-        return np.array(steps[::-1], np.uint8)
+        return np.array(steps[::-1], np.uint8), i, j
 
 
 def _band(a: np.ndarray, b: np.ndarray) -> tuple[_Band, int]:
@@ -79,6 +81,8 @@ def _band(a: np.ndarray, b: np.ndarray) -> tuple[_Band, int]:
     A way that leaves a band has at least g gaps, thus a score of at most n + m - 3 g; the band grows until its own score is larger.
     """
     n, m, w = len(a), len(b), 64
+    if not (n and m):
+        return _Band(a, b, -n, m), GAP * (n + m)
     while True:
         band = _Band(a, b, min(0, m - n) - w, max(0, m - n) + w)
         score = int(band.last_row()[m])
@@ -107,7 +111,8 @@ def _divided(a: np.ndarray, b: np.ndarray, lo: int, hi: int, cells: int) -> list
     """Steps through a band; one with more cells than are kept is divided where two half passes meet best."""
     band = _Band(a, b, lo, hi)
     if band.cells() <= cells or len(a) < 2:
-        return [band.walk()]
+        way, i, j = band.walk()
+        return [np.full(i, UP, np.uint8), np.full(j, LEFT, np.uint8), way]
     n, m, half = len(a), len(b), len(a) // 2
     head = _Band(a[:half], b, lo, hi).last_row()
     tail = _Band(a[half:][::-1], b[::-1], m - n - hi, m - n - lo).last_row()[::-1]
@@ -115,16 +120,49 @@ def _divided(a: np.ndarray, b: np.ndarray, lo: int, hi: int, cells: int) -> list
     return [*_divided(a[:half], b[:j], lo, hi, cells), *_divided(a[half:], b[j:], lo - (j - half), hi - (j - half), cells)]
 
 
+def _through_head(x: np.ndarray, y: np.ndarray, i: int, j: int) -> list[np.ndarray]:
+    """The steps from a cell whose shorter side lies in what both begin with. There the best way has gaps only for the difference in
+    length, so equal bases are always taken, and before unequal ones the longer side has a gap."""
+    way = []
+    while i != j and i and j:
+        # equal bases, looked at in growing steps
+        run, step = 0, 64
+        while True:
+            w = min(i, j, run + step)
+            unequal = np.flatnonzero(x[i - w : i - run][::-1] != y[j - w : j - run][::-1])
+            if len(unequal):
+                run += int(unequal[0])
+                break
+            run, step = w, 4 * step
+            if w == min(i, j):
+                break
+        way.append(np.full(run, BOTH, np.uint8))
+        i, j = i - run, j - run
+        if i and j:
+            way.append(np.array([UP if i > j else LEFT], np.uint8))
+            i, j = i - (i > j), j - (j > i)
+    rest = [np.full(i, BOTH, np.uint8)] if i == j else [np.full(i, UP, np.uint8), np.full(j, LEFT, np.uint8)]
+    return [*rest, *way[::-1]]
+
+
 def steps(a: str, b: str, cells: int = CELLS) -> tuple[np.ndarray, int]:
     """The steps of a best global alignment, and its score.
 
-    Seen from the end, both bases are taken before a gap: thus all that both end with.
+    Seen from the end, both bases are taken before a gap: thus all that both end with. A table is made only of what lies between the
+    bases that both begin and end with; a way that leaves it goes on through the common head, whose scores are known.
     """
     x, y = _codes(a), _codes(b)
     tail = _same(x[::-1], y[::-1])
     x, y = x[: len(x) - tail], y[: len(y) - tail]
-    band, best = _band(x, y)
-    return np.concatenate([*_divided(x, y, band.lo, band.hi, cells), np.full(tail, BOTH, np.uint8)]), best + MATCH * tail
+    head = _same(x, y)
+    u, v = x[head:], y[head:]
+    band, best = _band(u, v)
+    if band.cells() <= cells or len(u) < 2:
+        way, i, j = band.walk()
+        ways = [*_through_head(x, y, head + i, head + j), way]
+    else:
+        ways = [np.full(head, BOTH, np.uint8), *_divided(u, v, band.lo, band.hi, cells)]
+    return np.concatenate([*ways, np.full(tail, BOTH, np.uint8)]), best + MATCH * (head + tail)
 
 
 def aligned(a: str, b: str, way: np.ndarray) -> tuple[str, str, int]:
@@ -135,25 +173,35 @@ def aligned(a: str, b: str, way: np.ndarray) -> tuple[str, str, int]:
     return text(x), text(y), int(((x == y) & (way == BOTH)).sum())
 
 
-def alignments(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(doc_id, aligned_reference, aligned_query, matches, score, identity_percent) of pairs (doc_id, reference, query).
+def alignments(pairs: DataFrame, cells: int = CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, aligned_reference, aligned_query, matches, score, identity_percent) of pairs (doc_id, reference, query), and what of
+    the pairs' own columns keep names.
 
     A match scores 2, a mismatch -1, a gap -2 a base. Of several best alignments the one that, seen from the end, takes both bases
     before a gap in the query before one in the reference; texts of more than `cells` cells in their band (33 million) are divided
     where two half passes meet, which finds an alignment of the same score. Memory grows with the length alone. Null counts as empty.
     """
-    kind = pairs.select("doc_id").dtypes[0][1]
+    kinds = dict(pairs.dtypes)
+    names = ["doc_id", "aligned_reference", "aligned_query", "matches", "score", "identity_percent"]
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
 
     def run(batches):
         for b in batches:
+            rows, size, first = [], 0, 0
             for k in range(b.num_rows):
                 r, q = (b.column(c)[k].as_py() or "" for c in (1, 2))
                 way, best = steps(r, q, cells)
                 x, y, same = aligned(r, q, way)
-                row = ([x], [y], [same], [best], [100.0 * same / max(len(way), 1)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *(pa.array(v, t) for v, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["doc_id", "aligned_reference", "aligned_query", "matches", "score", "identity_percent"])
-
-    return pairs.select("doc_id", "reference", "query").mapInArrow(run, f"doc_id {kind}, aligned_reference string, aligned_query string, matches bigint, score bigint, identity_percent double")
+                rows.append((x, y, same, best, 100.0 * same / max(len(way), 1)))
+                size += len(x) + len(y)
+                if size > 1 << 22 or k + 1 == b.num_rows:
+                    made = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *made, *(b.column(c).slice(first, len(rows)) for c in range(3, b.num_columns))], names=names + list(keep))
+                    rows, size, first = [], 0, k + 1
+
+    schema = f"doc_id {kinds['doc_id']}, aligned_reference string, aligned_query string, matches bigint, score bigint, identity_percent double"
+    kept = [F.col(c).alias(f"__{c}") for c in keep]
+    return pairs.select("doc_id", "reference", "query", *kept).mapInArrow(run, schema + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def _least_edits(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[np.ndarray]:

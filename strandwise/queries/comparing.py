@@ -52,7 +52,7 @@ def alignment(spark, d):
     t, p, k = F.col("reference"), F.col("p"), F.col("doc_id") % 3
     one = edit.replace_range(t, p, p + 1, F.translate(F.substr(t, p + 1, F.lit(1)), "ACGT", "TGCA"))
     pairs = s.select("doc_id", "reference", F.when(k == 0, one).when(k == 1, edit.delete_range(t, p, p + 5)).otherwise(edit.insert_text(t, p, F.lit("ACGTT"))).alias("query"))
-    a = align.alignments(pairs).join(pairs, "doc_id")
+    a = align.alignments(pairs, keep=("reference", "query"))
     whole = (F.replace("aligned_reference", F.lit("-"), F.lit("")) == F.col("reference")) & (F.replace("aligned_query", F.lit("-"), F.lit("")) == F.col("query"))
     return a.select("doc_id", "matches", "score", F.length("aligned_query").cast("long").alias("n_columns"), "identity_percent", whole.alias("whole"))
 
