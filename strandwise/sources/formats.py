@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 from ..functions.nt import alphabet, sanitize
 
 
@@ -112,7 +113,8 @@ def read_genbank(texts: DataFrame) -> DataFrame:
     kind = pa.struct([("type", pa.string()), ("strand", pa.int32()), ("segments", pa.list_(pa.struct([("start0", pa.int64()), ("end0", pa.int64())]))), ("qualifiers", pa.map_(pa.string(), pa.list_(pa.string())))])
 
     def run(batches):
-        for b in batches:
+        # the dicts of a record's features are many times its text
+        for b in pieces(batches):
             got = [parse_genbank(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[k] for g in got], pa.string()) for k in ("name", "topology", "seq")], pa.array([g["features"] for g in got], pa.list_(kind))], names=["file_id", "name", "topology", "seq", "features"])
 
