@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.nt import count_of, rc, reverse_complement, rotate, site_class
+from ..functions.nt import count_of, rc, rotate, site_sets
 from ..functions.tables import nuclease
-from .scan import scan, with_patterns, wrapped
+from .scan import find
 
 
 def targets(docs: DataFrame, name: str) -> DataFrame:
@@ -21,20 +21,17 @@ def targets(docs: DataFrame, name: str) -> DataFrame:
     """
     c = nuclease(name)
     k, p = c["spacer"], len(c["pam"])
-    spacer = f"[ACGT]{{{k}}}"
+    spacer = ["ACGT"] * k
     first = c["side"] == "5prime"
-    fwd, back = site_class(c["pam"], True), site_class(rc(c["pam"]), True)
-    patterns = [{"strand": 1, "regex": fwd + spacer if first else spacer + fwd, "pam_at": 0 if first else k}, {"strand": -1, "regex": spacer + back if first else back + spacer, "pam_at": k if first else 0}]
-    rows = with_patterns(docs.filter("n >= 23").select("doc_id", "topology", "n", "seq"), [x | {"width": k + p} for x in patterns], {"strand": "long", "regex": "string", "pam_at": "int", "width": "int"})
-    rows = rows.withColumn("hay", wrapped(F.col("seq"), F.col("topology"), F.col("width"))).drop("seq")
-    h = scan(rows).withColumn("i", F.col("start0") + F.col("pam_at"))
+    fwd, back = site_sets(c["pam"], True), site_sets(rc(c["pam"]), True)
+    patterns = [{"strand": 1, "sets": fwd + spacer if first else spacer + fwd, "pam_at": 0 if first else k}, {"strand": -1, "sets": spacer + back if first else back + spacer, "pam_at": k if first else 0}]
+    h = find(docs.filter("n >= 23").select("doc_id", "topology", "n", "seq"), patterns, {"strand": "bigint", "pam_at": "int"}, shorter=True).withColumn("i", F.col("start0") + F.col("pam_at"))
     linear = F.col("topology") == "linear"
     if first:
         h = h.filter(~linear | ((F.col("strand") == 1) & (F.col("i") < F.col("n") - p - k)) | ((F.col("strand") == -1) & (F.col("i") >= k + p)))
     i, n, s = F.pmod("i", "n"), F.col("n"), F.col("strand")
-    text = F.when(s == 1, F.col("hit")).otherwise(reverse_complement(F.col("hit")))
-    guide = F.substr(text, F.lit(p + 1 if first else 1), F.lit(k))
-    pam = F.substr(text, F.lit(1 if first else k + 1), F.lit(p))
+    guide = F.substr("hit", F.lit(p + 1 if first else 1), F.lit(k))
+    pam = F.substr("hit", F.lit(1 if first else k + 1), F.lit(p))
     at = lambda off: F.pmod(F.when(s == 1, i + (p if first else 0) + off).otherwise(i + (0 if first else p) - off), n)
     out = h.select("doc_id", "topology", "n", "strand", i.alias("pam_start0"), guide.alias("spacer"), pam.alias("pam"), at(c["top"]).alias("cut0"), (at(c["bottom"]) if first else F.lit(None).cast("long")).alias("bottom_cut0"))
     gc = F.floor(count_of(F.col("spacer"), "GC") * 100.0 / k + 0.5)
