@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import codons
 from ..operators import coding
 from ..plans.fixtures import FEATURES, SEQUENCES, features as feature_table, sequences
+from ..plans.rounds import cut
 from .editing import _RC
 
 _EACH = 50
@@ -35,7 +36,8 @@ def _edited(spark, d):
 
 def cds_consequences(spark, d):
     """Effects on every CDS feature that an edit touches; every thirteenth is gone from the edited molecule."""
-    mols, f = _edited(spark, d), _coding_features(spark, d)
+    # the features are asked for six times and made once
+    mols, f = _edited(spark, d), cut(_coding_features(spark, d))
     size = F.col("gone") - F.length("new")
     moved = lambda x: F.when(x <= F.col("p"), x).otherwise(F.greatest(x - size, F.col("p")))
     revised = f.filter(F.col("feature_id") % 13 != 0).join(mols.select("doc_id", "p", "gone", "new"), "doc_id")
