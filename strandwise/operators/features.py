@@ -105,24 +105,43 @@ def site_clusters(sites: DataFrame) -> DataFrame:
 
 
 def assign_lanes(feats: DataFrame) -> DataFrame:
-    """(doc_id, feature_id, lane): each feature, by start, in the first lane where it overlaps none; order-dependent, so a small
-    helper runs it for the features of one document."""
-
-    def run(t: pa.Table) -> pa.Table:
-        d = t.to_pydict()
-        order = sorted(range(t.num_rows), key=lambda i: (min(s["start0"] for s in d["segments"][i]), d["feature_id"][i]))
-        lanes: list[list[tuple[int, int]]] = []
-        out = [0] * t.num_rows
-        for i in order:
-            own = [(s["start0"], s["end0"]) for s in d["segments"][i]]
-            k = next((k for k, lane in enumerate(lanes) if not any(a < y and x < b for a, b in own for x, y in lane)), len(lanes))
-            if k == len(lanes):
-                lanes.append([])
-            lanes[k] += own
-            out[i] = k
-        return pa.table({"doc_id": t.column("doc_id"), "feature_id": t.column("feature_id"), "lane": pa.array(out, pa.int64())})
-
-    return feats.select("doc_id", "feature_id", "segments").groupBy("doc_id").applyInArrow(run, "doc_id long, feature_id long, lane long")
+    """(doc_id, feature_id, lane): each feature, by start, in the first lane where it overlaps none.
+
+    Order-dependent, so a small helper goes through the sorted features of whole molecules. As starts ascend, of a lane's features of one
+    segment only the last one counts; segments of others, which may lie ahead, are kept by themselves until they are passed.
+    """
+    kind = feats.select("doc_id").dtypes[0][1]
+
+    def run(batches):
+        doc, last, ahead = None, [], []
+        for b in batches:
+            segments, out = b.column(3), []
+            bounds, (starts, ends) = segments.offsets.to_pylist(), (segments.values.field(k).to_pylist() for k in (0, 1))
+            for k, own in enumerate(b.column(0).to_pylist()):
+                if own != doc:
+                    doc, last, ahead = own, [], []
+                i, j = bounds[k], bounds[k + 1]
+                if j - i == 1 and starts[i] < ends[i]:
+                    x, y = starts[i], ends[i]
+                    lane = next((n for n, z in enumerate(last) if z[1] <= x and not (ahead[n] and any(x < d and c < y for c, d in ahead[n]))), len(last))
+                    more = []
+                else:
+                    more = list(zip(starts[i:j], ends[i:j], strict=True))
+                    lane = next((n for n, z in enumerate(last) if not any(x < d and c < y for x, y in more for c, d in (z, *ahead[n]))), len(last))
+                if lane == len(last):
+                    last.append((-1, -1))
+                    ahead.append([])
+                if more:
+                    ahead[lane] += more
+                else:
+                    last[lane] = (x, y)
+                    ahead[lane] = [s for s in ahead[lane] if s[1] > x]
+                out.append(lane)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], names=["doc_id", "feature_id", "lane"])
+
+    first = F.array_min(F.transform("segments", lambda s: s["start0"]))
+    rows = feats.select("doc_id", "feature_id", first.alias("first"), "segments").repartition("doc_id").sortWithinPartitions("doc_id", "first", "feature_id")
+    return rows.mapInArrow(run, f"doc_id {kind}, feature_id long, lane long")
 
 
 def feature_diff(reference: DataFrame, query: DataFrame) -> DataFrame:
