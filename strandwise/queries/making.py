@@ -35,8 +35,8 @@ def clone_product_features(spark, d):
     c = products.clone_features(_clones(spark, d), sequences(spark, d), feature_table(spark, d).select("doc_id", "feature_id", "strand", "segments"))
     on = ["vector_id", "insert_id", "orientation", "piece"]
     place = lambda f, x: f(F.when(F.size("segments") > 0, x))
-    g = c.groupBy(*on).agg(place(F.sum, F.get("segments", F.lit(0))["start0"] * F.col("feature_id") % 1000 * F.col("strand")).alias("start_sum"), place(F.sum, F.element_at(F.when(F.size("segments") > 0, F.col("segments")), -1)["end0"]).alias("end_sum"))
-    return g.join(products.left_out(c, on), on)
+    # one grouping, as the features on the products are not made twice
+    return products.left_out(c, on, place(F.sum, F.get("segments", F.lit(0))["start0"] * F.col("feature_id") % 1000 * F.col("strand")).alias("start_sum"), place(F.sum, F.element_at(F.when(F.size("segments") > 0, F.col("segments")), -1)["end0"]).alias("end_sum"))
 
 
 def clone_feature_places(spark, d):
