@@ -126,142 +126,231 @@ class Windows:
                 live -= 1
 
 
+#: Rows whose choices are made at once: what they take stays in a core's cache.
+_PIECE = 512
+#: The power of two at or below a float, by its bits.
+_POWER = np.int32(0x7F800000)
+
+
+class _Chooser:
+    """Log probabilities of chosen columns of a layer, and with them the gradients of the loss.
+
+    The layer's weights with the bias below them are kept as _exp takes them, times _SLOPE; rows of states have a one at the end.
+    """
+
+    def __init__(self, weight: np.ndarray, bias: np.ndarray, learn: bool):
+        self.scaled = np.empty((len(weight) + 1, len(bias)), np.float32)
+        self.scaled[:-1], self.scaled[-1] = weight, bias
+        self.scaled *= _SLOPE
+        # states lie between -1 and 1, so most layers can't reach what _exp cuts off
+        self.within = bool(np.abs(self.scaled).sum(0).max() < _MOST)
+        self.ones = np.ones(len(bias), np.float32)
+        self.grad = np.zeros_like(self.scaled) if learn else None
+
+    def choose(self, rows: np.ndarray, chosen: np.ndarray, logp: np.ndarray, dh: np.ndarray | None) -> None:
+        """Fills logp of the chosen columns, and the gradients of the states times ln 2 * _SLOPE."""
+        width = len(self.ones)
+        for s in range(0, len(rows), _PIECE):
+            h = rows[s : s + _PIECE]
+            x = h @ self.scaled
+            if not self.within:
+                np.clip(x, -_MOST, _MOST, out=x)
+            bits = x.astype(np.int32)
+            bits += _ONE
+            e = bits.view(np.float32)
+            total = e @ self.ones
+            at = np.arange(0, len(h) * width, width) + chosen[s : s + _PIECE]
+            picked = e.reshape(-1)[at]
+            np.log(picked / total, out=logp[s : s + _PIECE])
+            if self.grad is not None:
+                # the slope of _exp is 1 / ln 2 times the power of two
+                bits &= _POWER
+                own = e.reshape(-1)[at] / picked
+                e *= (1 / total)[:, None]
+                e.reshape(-1)[at] -= own
+                self.grad += h.T @ e
+                np.matmul(e, self.scaled[:-1].T, out=dh[s : s + _PIECE])
+
+
+#: What _Chooser leaves out of its gradients: that of the layer, and that of the states.
+_LAYER, _STATE = np.float32(1 / np.log(2)), np.float32(1 / 2**23)
+
+
+def _sums(rows: np.ndarray, ids: np.ndarray, into: np.ndarray) -> None:
+    """Adds the rows up by ids: in each round an id's odd row goes to its sum, and its other rows are added in pairs."""
+    place = np.argsort(ids.astype(np.int16) if len(into) < 1 << 15 else ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[place], prepend=-1))
+    names, size = ids[place[first]], np.diff(first, append=len(ids))
+    while len(names):
+        odd = size % 2 == 1
+        into[names[odd]] += rows[place[(first + size - 1)[odd]]]
+        keep = np.ones(len(place), bool)
+        keep[(first + size - 1)[odd]] = False
+        place = place[keep]
+        rows = rows.take(place[::2], 0) + rows.take(place[1::2], 0)
+        size = size // 2
+        names, size = names[size > 0], size[size > 0]
+        first, place = np.cumsum(size) - size, np.arange(len(rows))
+
+
 class Model:
     """out_class, out_slot: class and place in the class of each output id; slot -1 for ids that are their class alone."""
 
     def __init__(self, params: dict[str, np.ndarray], out_class: np.ndarray, out_slot: np.ndarray):
         self.p, self.out_class, self.out_slot = params, out_class, out_slot
         self.hidden = params["U"].shape[0]
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that stays between windows, as new pages take longer than the sums written to them."""
+        size = int(np.prod(shape))
+        if self.rooms.get(name, np.empty(0)).size < size:
+            self.rooms[name] = np.zeros(size, np.float32)
+        return self.rooms[name][:size].reshape(shape)
 
     def forward(self, x: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool):
-        """States (hidden x lanes) after each step, and what the way back needs. Gates stand above each other, so that each is a
-        whole block of memory."""
-        p, n = self.p, self.hidden
-        hs = np.empty((len(x), n, x.shape[1]), np.float32)
+        """States (hidden + 1 x lanes, the last row ones) after each step, and what the way back needs. Gates stand above each other,
+        so that each is a whole block of memory; lanes that are a multiple of 64 have some empty ones beside them, as rows at such
+        distances share places of a cache. What is returned is overwritten by the next window."""
+        p, n, lanes = self.p, self.hidden, x.shape[1]
+        wide = lanes + 16 * (lanes % 64 == 0)
+        stay = len(x) if keep else 1
+        hs, gs, us, qs, befores = (self._room(k, m, r * n + (k in "hb"), wide) for k, m, r in (("h", len(x), 1), ("g", stay, 3), ("u", stay, 3), ("q", stay, 3), ("b", stay, 1)))
+        hs[:, n] = 1
+        befores[:, n] = 1
+        gs[:, :, lanes:] = 0
+        going = np.zeros((len(x), wide), np.float32)
+        going[:, :lanes] = ~begin
         back = []
-        any_begin = begin.any(1)
-        given = p["E"][x]
-        given += p["b"]
-        given = np.ascontiguousarray(given.transpose(0, 2, 1))
-        across, bn = np.ascontiguousarray(p["U"].T), p["bn"][:, None]
+        # below the states' weights the biases, where a state has its one; the candidate's own bias goes with the input
+        across = np.ascontiguousarray(np.vstack([p["U"], np.concatenate([p["b"][: 2 * n], p["bn"]])]).T)
+        bias = np.zeros((3 * n, 1), np.float32)
+        bias[2 * n :, 0] = p["b"][2 * n :]
+        last = np.zeros((n, wide), np.float32)
+        last[:, :lanes] = h
         for t in range(len(x)):
-            if any_begin[t]:
-                h = h * ~begin[t]
-            g = given[t]
-            u = across @ h
-            zr = g[: 2 * n]
+            g, u, q, before = (v[t if keep else 0] for v in (gs, us, qs, befores))
+            h = np.multiply(last, going[t], out=before[:n])
+            np.add(p["E"].take(x[t], 0).T, bias, out=g[:, :lanes])
+            np.matmul(across, before, out=u)
+            # a gate is (1 + v / (1 + |v|)) / 2 = 1 / 2 + v / (2 + 2 |v|), and its slope 2 / (2 + 2 |v|)^2
+            zr, y = g[: 2 * n], q[: 2 * n]
             zr += u[: 2 * n]
-            zr = _soft(zr)
-            zr *= np.float32(0.5)
+            np.abs(zr, out=y)
+            y += 1
+            np.divide(np.float32(0.5), y, out=y)
+            zr *= y
             zr += np.float32(0.5)
-            z, r = zr[:n], zr[n:]
-            m = u[2 * n :]
-            m += bn
-            c = r * m
-            c += g[2 * n :]
-            c = _soft(c)
+            z, r, c, w = zr[:n], zr[n:], g[2 * n :], u[:n]
+            m, y = u[2 * n :], q[2 * n :]
+            np.multiply(r, m, out=w)
+            c += w
+            np.abs(c, out=y)
+            y += 1
+            np.divide(np.float32(1), y, out=y)
+            c *= y
+            # the new state: c + z (h - c)
+            np.subtract(h, c, out=w)
+            last = hs[t, :n]
+            np.multiply(w, z, out=last)
+            last += c
             if keep:
-                back.append((h, z, r, m, c))
-            new = hs[t]
-            np.subtract(h, c, out=new)
-            new *= z
-            new += c
-            h = new
+                back.append((before, z, r, m, w, q, going[t]))
         return hs, back
 
-    def output(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each output (rows) given its state; with grads, also the states' gradients of the loss."""
+    def layers(self, learn: bool) -> list[_Chooser]:
+        """The classes' layer and those of the words of each class, as the parameters are now."""
         p = self.p
+        return [_Chooser(p["C"], p["cb"], learn), *(_Chooser(w, b, learn) for w, b in zip(p["O"], p["ob"], strict=True))]
+
+    def output(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None, layers: list[_Chooser] | None = None):
+        """Natural log probability of each output (rows) given its state; with grads, also the states' gradients of the loss."""
+        n, learn = self.hidden, grads is not None
+        layers = layers or self.layers(learn)
+        if hs.shape[1] == n:
+            hs = np.concatenate([hs, np.ones((len(hs), 1), np.float32)], 1)
         k = self.out_class[y]
-        logp, dh = self._choose(hs, k, p["C"], p["cb"], grads, ("C", "cb"), None)
+        logp, dh = np.empty(len(y), np.float32), np.empty((len(y), n), np.float32) if learn else None
+        layers[0].choose(hs, k, logp, dh)
         slot = self.out_slot[y]
         inner = np.flatnonzero(slot >= 0)
-        inner = inner[np.argsort(k[inner], kind="stable")]
-        edges = np.searchsorted(k[inner], np.arange(len(p["O"]) + 1))
+        inner = inner[np.argsort(k[inner].astype(np.int16), kind="stable")]
+        edges = np.searchsorted(k[inner], np.arange(len(layers)))
         own, place = hs[inner], slot[inner]
+        more, back = np.empty(len(inner), np.float32), np.empty((len(inner), n), np.float32) if learn else None
         for c in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[c], edges[c + 1])
-            more, back = self._choose(own[s], place[s], p["O"][c], p["ob"][c], grads, ("O", "ob"), c)
-            logp[inner[s]] += more
-            if back is not None:
-                dh[inner[s]] += back
+            layers[c + 1].choose(own[s], place[s], more[s], back[s] if learn else None)
+        logp[inner] += more
+        if learn:
+            dh[inner] += back
+            dh *= _STATE
+            grads["C"] += layers[0].grad[:-1] * _LAYER
+            grads["cb"] += layers[0].grad[-1] * _LAYER
+            for c, layer in enumerate(layers[1:]):
+                grads["O"][c] += layer.grad[:-1] * _LAYER
+                grads["ob"][c] += layer.grad[-1] * _LAYER
         return logp, dh
 
-    @staticmethod
-    def _choose(hs, chosen, weight, bias, grads, names, c):
-        """Log probability of the chosen column of each row, and with grads the gradients of the loss."""
-        e = hs @ weight
-        e += bias
-        e = _exp(e)
-        total = e.sum(1)
-        rows = np.arange(len(chosen))
-        picked = e[rows, chosen]
-        logp = np.log(picked / total)
-        if grads is None:
-            return logp, None
-        d = _slope(e)
-        at = d[rows, chosen] / picked
-        d /= total[:, None]
-        d[rows, chosen] -= at
-        into_w, into_b = (grads[names[0]], grads[names[1]]) if c is None else (grads[names[0]][c], grads[names[1]][c])
-        into_w += hs.T @ d
-        into_b += d.sum(0)
-        return logp, d @ weight.T
-
     def gradients(self, x, y, begin, valid, h):
         """Gradients of the mean loss of a window (backpropagation stops at its begin), the loss and the last state."""
-        p, n = self.p, self.hidden
+        grads, loss, count, h = self._sums(x, y, begin, valid, h)
+        for g in grads.values():
+            g /= count
+        return grads, loss, count, h
+
+    def _sums(self, x, y, begin, valid, h):
+        """gradients, but not yet divided by the number of tokens."""
+        p, n, lanes = self.p, self.hidden, x.shape[1]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         hs, back = self.forward(x, begin, h, True)
+        wide = hs.shape[2]
         at = np.flatnonzero(valid.ravel())
-        logp, dout = self.output(self._rows(hs)[at], y.ravel()[at], grads)
+        rows = self._rows(hs, lanes)
+        if len(at) == x.size:
+            logp, dhs = self.output(rows, y.ravel(), grads)
+        else:
+            dhs = np.zeros((x.size, n), np.float32)
+            logp, dhs[at] = self.output(rows[at], y.ravel()[at], grads)
         count = max(1, len(at))
-        dhs = np.zeros((x.size, n), np.float32)
-        dhs[at] = dout
-        dhs = np.ascontiguousarray(dhs.reshape(*x.shape, n).transpose(0, 2, 1))
-        # slopes of the gates' sums, as the input gives them and as the state does
-        dg, du = (np.empty((len(x), 3 * n, x.shape[1]), np.float32) for _ in range(2))
-        dh = np.zeros_like(h)
+        dhs = dhs.reshape(*x.shape, n)
+        # slopes of the gates' sums: of the candidate as the state gives it, of both gates, of the candidate as the input gives it
+        d = np.empty((4 * n, wide), np.float32)
+        du, dz, dr, dc = (d[k * n : (k + 1) * n] for k in range(4))
+        across = np.concatenate([p["U"][:, 2 * n :], p["U"][:, : 2 * n]], 1)
+        given = self._room("given", *x.shape, 3 * n)
+        sums = np.zeros((n + 1, 4 * n), np.float32)
+        dh, w = np.zeros((n, wide), np.float32), np.empty((n, wide), np.float32)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, m, c = back[t]
-            dh += dhs[t]
-            dz, dr, dc = dg[t, :n], dg[t, n : 2 * n], dg[t, 2 * n :]
-            np.abs(c, out=dc)
-            np.subtract(1, dc, out=dc)
-            dc *= dc
+            before, z, r, m, apart, q, going = back[t]
+            dh[:, :lanes] += dhs[t].T
+            q *= q
+            q[: 2 * n] *= 2
+            np.subtract(1, z, out=dc)
             dc *= dh
-            dc *= 1 - z
-            # a gate g is (1 + s) / 2: its slope is (1 - |s|)^2 / 2
-            for gate, slope, inner, outer in ((z, dz, before - c, dh), (r, dr, m, dc)):
-                np.multiply(gate, 2, out=slope)
-                slope -= 1
-                np.abs(slope, out=slope)
-                np.subtract(1, slope, out=slope)
-                slope *= slope
-                slope *= outer
-                slope *= inner
-                slope *= np.float32(0.5)
-            du[t, : 2 * n] = dg[t, : 2 * n]
-            np.multiply(dc, r, out=du[t, 2 * n :])
-            dh = dh * z
-            dh += p["U"] @ du[t]
-            dh *= ~begin[t]
-        befores = np.stack([b[0] for b in back])
-        grads["U"] += np.tensordot(befores, du, ((0, 2), (0, 2)))
-        grads["bn"] += du[:, 2 * n :].sum((0, 2))
+            dc *= q[2 * n :]
+            np.multiply(dc, r, out=du)
+            np.multiply(dh, apart, out=dz)
+            np.multiply(dc, m, out=dr)
+            d[n : 3 * n] *= q[: 2 * n]
+            sums += before @ d.T
+            given[t] = d[n:, :lanes].T
+            dh *= z
+            np.matmul(across, d[: 3 * n], out=w)
+            dh += w
+            dh *= going
+        grads["U"] += np.concatenate([sums[:n, n : 3 * n], sums[:n, :n]], 1)
+        grads["bn"] += sums[n, :n]
+        grads["b"] += sums[n, n:]
         # invalid steps have no gradient: zeros may meet any input
-        flat = dg.transpose(1, 0, 2).reshape(3 * n, -1)
-        order = np.argsort(x.ravel(), kind="stable")
-        ids = x.ravel()[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        grads["E"][ids[first]] = np.add.reduceat(flat[:, order], first, axis=1).T
-        grads["b"] += flat.sum(1)
-        for g in grads.values():
-            g /= count
-        return grads, -float(logp.sum()), count, hs[-1]
+        _sums(given.reshape(-1, 3 * n), x.ravel(), grads["E"])
+        return grads, -float(logp.sum()), count, hs[-1, :n, :lanes].copy()
 
-    def _rows(self, hs: np.ndarray) -> np.ndarray:
-        return hs.transpose(0, 2, 1).reshape(-1, self.hidden)
+    def _rows(self, hs: np.ndarray, lanes: int) -> np.ndarray:
+        """The states as rows, a lane after the other."""
+        rows = self._room("rows", len(hs), lanes, hs.shape[1])
+        np.copyto(rows, hs[:, :, :lanes].transpose(0, 2, 1))
+        return rows.reshape(-1, hs.shape[1])
 
     def train(self, windows: Windows, adam: dict, rate: float, full: int) -> int:
         """One pass over the windows with Adam, gradients clipped by norm; returns the number of tokens.
@@ -270,43 +359,49 @@ class Model:
         """
         seen = 0
         h = np.zeros((self.hidden, 0), np.float32)
+        if not adam:
+            adam |= {"t": 0} | {(k, i): np.zeros(v.size, np.float32) for k, v in self.p.items() for i in range(2)}
+            self.p = {k: v.copy() for k, v in self.p.items()}
         for x, y, begin, doc in windows:
             h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
-            grads, _, count, h = self.gradients(x, y, begin, doc >= 0, h)
+            grads, _, count, h = self._sums(x, y, begin, doc >= 0, h)
             seen += count
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            adam["t"] = adam.get("t", 0) + 1
-            step = np.float32(rate * min(1.0, count / full))
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / count
+            scale = np.float32(1 / (count * max(1.0, norm)))
+            adam["t"] += 1
             fix1, fix2 = 1 - 0.9 ** adam["t"], 1 - 0.99 ** adam["t"]
+            # the means of gradients and of their squares are kept times 10 and 100, so that each takes a pass less
+            step = np.float32(rate * min(1.0, count / full) * np.sqrt(fix2) / fix1)
+            least = np.float32(1e-5 * np.sqrt(fix2))
             for k, g in grads.items():
-                if norm > 1:
-                    g /= np.float32(norm)
-                if (k, 0) not in adam:
-                    adam[k, 0], adam[k, 1] = np.zeros_like(g), np.zeros_like(g)
-                m, v = adam[k, 0], adam[k, 1]
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * g
-                np.multiply(g, g, out=g)
-                g *= np.float32(0.01)
-                v *= np.float32(0.99)
-                v += g
-                np.divide(v, np.float32(fix2), out=g)
-                np.sqrt(g, out=g)
-                g += np.float32(1e-6)
-                np.divide(m, g, out=g)
-                g *= step / np.float32(fix1)
-                self.p[k] = self.p[k] - g
+                flat = g.reshape(-1)
+                p, m, v = self.p[k].reshape(-1), adam[k, 0], adam[k, 1]
+                for s in range(0, len(flat), 1 << 13):
+                    part = slice(s, s + (1 << 13))
+                    a, b, c = flat[part], m[part], v[part]
+                    a *= scale
+                    b *= np.float32(0.9)
+                    b += a
+                    a *= a
+                    c *= np.float32(0.99)
+                    c += a
+                    np.sqrt(c, out=a)
+                    a += least
+                    np.divide(b, a, out=a)
+                    a *= step
+                    p[part] -= a
         return seen
 
     def score(self, texts: list[np.ndarray], width: int, steps: int, first: int) -> np.ndarray:
         """Natural log probability of each whole text, its windows joined by the carried state."""
         out = np.zeros(len(texts))
         h = np.zeros((self.hidden, 0), np.float32)
+        layers = self.layers(False)
         for x, y, begin, doc in Windows(texts, width, steps, first, 8 * steps):
             h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
             hs, _ = self.forward(x, begin, h, False)
-            h = hs[-1]
+            h = hs[-1, : self.hidden, : x.shape[1]].copy()
             at = np.flatnonzero(doc.ravel() >= 0)
-            logp, _ = self.output(self._rows(hs)[at], y.ravel()[at])
+            logp, _ = self.output(self._rows(hs, x.shape[1])[at], y.ravel()[at], layers=layers)
             out += np.bincount(doc.ravel()[at], logp, minlength=len(texts))
         return out
