@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -242,6 +242,42 @@ def runs(x: np.ndarray, y: np.ndarray, way: np.ndarray) -> list[tuple[str, int,
     return [(names[int(kind[a])], int(i[a]), after(i, b, way != LEFT), int(j[a]), after(j, b, way != UP)) for a, b in zip(edges, ends, strict=True) if kind[a]]
 
 
+def regrouped(script: list[tuple[str, int, int, str, str]], gap: int, most: int) -> tuple[list[tuple[str, int, int, str, str]], list[tuple[int, int, int, int]]]:
+    """The differences of an ordered script that stay as they are, and of the groups to be aligned anew begin and end in both texts."""
+    stay, new, at = [], [], 0
+    while at < len(script):
+        till = at + 1
+        while till < len(script) and script[till][1] - script[till - 1][1] - len(script[till - 1][3]) <= gap:
+            till += 1
+        group = script[at:till]
+        ra, rb, qa, qb = group[0][1], max(x[1] + len(x[3]) for x in group), min(x[2] for x in group), max(x[2] + len(x[4]) for x in group)
+        if rb == ra or qb == qa or (rb - ra == 1 and qb - qa == 1) or (rb - ra) * (qb - qa) > most:
+            stay += group
+        else:
+            new.append((ra, rb, qa, qb))
+        at = till
+    return stay, new
+
+
+def aligned_groups(todo: list[tuple[int, int, int, str, str]], cells: int) -> list[tuple[int, str, int, int, str, str]]:
+    """(owner, kind, start in reference, start in query, bases of both) of groups (owner, begin in reference, begin in query, texts)."""
+    # like sizes go together, so that little is padded
+    todo = sorted(todo, key=lambda t: (len(t[3]), len(t[4])))
+    rows, at = [], 0
+    while at < len(todo):
+        till, wide = at, 0
+        while till < len(todo):
+            wide = max(wide, len(todo[till][4]) + 1)
+            if till > at and (till + 1 - at) * (len(todo[till][3]) + 1) * wide > cells:
+                break
+            till += 1
+        xs, ys = ([_codes(t[c]) for t in todo[at:till]] for c in (3, 4))
+        for (k, ra, qa, rt, qt), x, y, way in zip(todo[at:till], xs, ys, _least_edits(xs, ys), strict=True):
+            rows += [(k, name, ra + i, qa + j, rt[i:i1], qt[j:j1]) for name, i, i1, j, j1 in runs(x, y, way)]
+        at = till
+    return rows
+
+
 def realigned(pairs: DataFrame, found: DataFrame, gap: int = 12, most: int = 65_536, cells: int = 1 << 22) -> DataFrame:
     """Differences (doc_id, kind, ref_start0, qry_start0, ref_bases, qry_bases) of pairs (doc_id, reference, query), those with at most
     `gap` equal bases between them aligned anew together, by the fewest edits.
@@ -268,20 +304,7 @@ def realigned(pairs: DataFrame, found: DataFrame, gap: int = 12, most: int = 65_
             todo = []
             for k, (groups, r, q) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 todo += [(k, x["ra"], x["qa"], r[x["ra"] : x["rb"]], q[x["qa"] : x["qb"]]) for x in groups]
-            # like sizes go together, so that little is padded
-            todo.sort(key=lambda t: (len(t[3]), len(t[4])))
-            rows, at = [], 0
-            while at < len(todo):
-                till, wide = at, 0
-                while till < len(todo):
-                    wide = max(wide, len(todo[till][4]) + 1)
-                    if till > at and (till + 1 - at) * (len(todo[till][3]) + 1) * wide > cells:
-                        break
-                    till += 1
-                xs, ys = ([_codes(t[c]) for t in todo[at:till]] for c in (3, 4))
-                for (k, ra, qa, rt, qt), x, y, way in zip(todo[at:till], xs, ys, _least_edits(xs, ys), strict=True):
-                    rows += [(k, name, ra + i, qa + j, rt[i:i1], qt[j:j1]) for name, i, i1, j, j1 in runs(x, y, way)]
-                at = till
+            rows = aligned_groups(todo, cells)
             if rows:
                 owner, *cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=names)
@@ -290,12 +313,21 @@ def realigned(pairs: DataFrame, found: DataFrame, gap: int = 12, most: int = 65_
     return stay.select(names).unionByName(made)
 
 
+def replaced(reference: Column, ds: Column) -> Column:
+    """reference with the bases of an ordered list of differences (ref_start0, n: bases of the reference, qry_bases) in place of its own."""
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(ds, lambda x: x["ref_start0"] + x["n"]))
+    pieces = F.zip_with(ds, F.slice(begins, F.lit(1), F.size(ds)), lambda x, b: F.concat(F.substr(reference, (b + 1).cast("int"), (x["ref_start0"] - b).cast("int")), x["qry_bases"]))
+    return F.concat(F.array_join(pieces, ""), F.substr(reference, (F.element_at(begins, -1) + 1).cast("int")))
+
+
 def rebuilt(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, query) from the references of pairs and the differences found: each one's query bases in place of the reference's."""
     d = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ref_start0", "qry_start0", F.length("ref_bases").cast("long").alias("n"), "qry_bases"))).alias("ds"))
     j = pairs.select("doc_id", "reference").join(d, "doc_id", "left").withColumn("ds", F.coalesce("ds", F.expr("array()").cast(dict(d.dtypes)["ds"])))
-    end = lambda x: x["ref_start0"] + x["n"]
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("ds", end))
-    pieces = F.transform("ds", lambda x, i: F.concat(F.substr("reference", (F.get(begins, i) + 1).cast("int"), (x["ref_start0"] - F.get(begins, i)).cast("int")), x["qry_bases"]))
-    tail = F.substr("reference", (F.element_at(begins, -1) + 1).cast("int"))
-    return j.select("doc_id", F.concat(F.array_join(pieces, ""), tail).alias("query"))
+    return j.select("doc_id", replaced(F.col("reference"), F.col("ds")).alias("query"))
+
+
+def rebuilt_pairs(found: DataFrame) -> DataFrame:
+    """rebuilt of rows (doc_id, reference, differences) that hold their own differences in order."""
+    ds = F.transform("differences", lambda x: F.struct(x["ref_start0"].alias("ref_start0"), F.length(x["ref_bases"]).cast("long").alias("n"), x["qry_bases"].alias("qry_bases")))
+    return found.withColumn("query", replaced(F.col("reference"), ds))

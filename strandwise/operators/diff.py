@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import pieces
 from ..functions.nt import rc, translate_codons
-from .align import score
+from .align import aligned_groups, regrouped, score
 
 
 def least_rotation(text: str) -> int:
@@ -77,10 +77,29 @@ def _run(x: np.ndarray, y: np.ndarray) -> int:
         at, step = w, 4 * step
 
 
+#: Edits up to which the diagonals of a step are gone through one by one; a few take less time so than as arrays.
+FEW = 12
+
+
+def _step(before: list[int], x: np.ndarray, y: np.ndarray, p: str, q: str) -> list[int]:
+    """The furthest places in x (text p) on the diagonals of the step after `before`, or of the first one."""
+    d, out, n, m = len(before), [], len(x), len(y)
+    for t in range(d + 1):
+        above, below, k = before[t] if t < d else -1, before[t - 1] if t else -1, 2 * t - d
+        i = (above if below < above else below + 1) if d else 0
+        till = min(i + 8, n, m + k)
+        while i < till and p[i] == q[i - k]:
+            i += 1
+        if i == till and i < min(n, m + k):
+            i += _run(x[i:], y[i - k :])
+        out.append(i)
+    return out
+
+
 def edit_script(a: str, b: str, limit: int = 4096) -> list[tuple[str, int, int, str, str]] | None:
     """Shortest script of (kind, start in a, start in b, bases of a, bases of b) from a to b, or None above `limit` edits.
 
-    Greedy furthest-reaching paths between the common ends, all diagonals of a step at once; a deletion and an insertion side by
+    Greedy furthest-reaching paths between the common ends, beyond FEW edits all diagonals of a step at once; a deletion and an insertion side by
     side are a substitution. A step keeps four bytes a diagonal: 34 MB at 4,096 edits.
     """
     x, y = _letters(a), _letters(b)
@@ -89,15 +108,18 @@ def edit_script(a: str, b: str, limit: int = 4096) -> list[tuple[str, int, int,
     tail = _run(x[::-1], y[::-1])
     n, m = len(x) - tail, len(y) - tail
     x, y = x[:n], y[:m]
-    trail: list[np.ndarray] = []
+    trail: list = []
+    p, q = a[head : head + n], b[head : head + m]
     for d in range(min(limit, n + m) + 1):
+        if d <= FEW:
+            trail.append(_step(trail[-1] if d else [], x, y, p, q))
+            if any(i >= n and i - k >= m for i, k in zip(trail[-1], range(-d, d + 1, 2), strict=True)):
+                return _runs(_walk(trail, n, m), p, q, head)
+            continue
         k = np.arange(-d, d + 1, 2)
-        if d:
-            # the diagonal above is reached by an insertion, the one below by a deletion
-            above, below = np.append(trail[-1], -1), np.insert(trail[-1], 0, -1)
-            i = np.where(below < above, above, below + 1)
-        else:
-            i = np.zeros(1, np.int32)
+        # the diagonal above is reached by an insertion, the one below by a deletion
+        above, below = np.append(trail[-1], np.int32(-1)), np.insert(trail[-1], 0, -1)
+        i = np.where(below < above, above, below + 1)
         live = np.arange(len(k))
         for _ in range(16):
             live = live[(i[live] < n) & (i[live] - k[live] < m)]
@@ -109,7 +131,7 @@ def edit_script(a: str, b: str, limit: int = 4096) -> list[tuple[str, int, int,
             i[t] += _run(x[i[t] :], y[i[t] - k[t] :])
         trail.append(i)
         if ((i >= n) & (i - k >= m)).any():
-            return _runs(_walk(trail, n, m), a[head : head + n], b[head : head + m], head)
+            return _runs(_walk(trail, n, m), p, q, head)
     return None
 
 
@@ -182,6 +204,34 @@ def differences(pairs: DataFrame, limit: int = 4096) -> DataFrame:
     return pairs.filter("not (reference <=> query)").select("doc_id", "reference", "query").mapInArrow(run, f"doc_id {kind}, kind string, ref_start0 long, qry_start0 long, ref_bases string, qry_bases string")
 
 
+def realigned_pairs(pairs: DataFrame, limit: int = 4096, gap: int = 12, most: int = 65_536, cells: int = 1 << 22, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, differences) and the columns of pairs that keep names: what differences() and align.realigned() find, as a list in the
+    row of each pair (doc_id, reference, query), in order. Nothing is shuffled, and the texts are read once."""
+    kinds = dict(pairs.dtypes)
+    names = ["kind", "ref_start0", "qry_start0", "ref_bases", "qry_bases"]
+
+    def run(batches):
+        for b in pieces(batches):
+            rows, todo = [[] for _ in range(b.num_rows)], []
+            for i, (r, q) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2)), strict=True)):
+                r, q = r or "", q or ""
+                script = edit_script(r, q, limit) if r != q else []
+                rows[i], groups = regrouped(positional_script(r, q) if script is None else script, gap, most)
+                todo += [(i, ra, qa, r[ra:rb], q[qa:qb]) for ra, rb, qa, qb in groups]
+            for i, *x in aligned_groups(todo, cells):
+                rows[i].append(tuple(x))
+            flat = [x for row in rows for x in sorted(row, key=lambda x: (x[1], x[2]))]
+            cols = list(zip(*flat, strict=True)) if flat else [[]] * 5
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            found = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            ends = np.cumsum([0] + [len(row) for row in rows]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, found), *(b.column(c) for c in range(3, b.num_columns))], names=["doc_id", "differences", *keep])
+
+    kept = [F.col(c).alias(f"__{c}") for c in keep]
+    schema = f"doc_id {kinds['doc_id']}, differences array<struct<kind: string, ref_start0: bigint, qry_start0: bigint, ref_bases: string, qry_bases: string>>"
+    return pairs.select("doc_id", "reference", "query", *kept).mapInArrow(run, schema + "".join(f", {c} {kinds[c]}" for c in keep))
+
+
 def alignment_scores(pairs: DataFrame) -> DataFrame:
     """(doc_id, score) of pairs (doc_id, reference, query) of any lengths; null counts as empty."""
     kind = pairs.select("doc_id").dtypes[0][1]

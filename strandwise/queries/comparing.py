@@ -40,10 +40,9 @@ def _neighbours(spark, d):
 
 def realigned_differences(spark, d):
     """Neighbouring changes in every molecule: edits after re-alignment, and whether they give the query."""
-    p = _neighbours(spark, d).select("doc_id", "reference", "query")
-    found = align.realigned(p, diff.differences(p))
-    total = found.groupBy("doc_id").agg(F.sum(F.greatest(F.length("ref_bases"), F.length("qry_bases"))).alias("edit_distance"))
-    return align.rebuilt(p, found).join(total, "doc_id", "left").select("doc_id", F.coalesce("edit_distance", F.lit(0)).alias("edit_distance"), F.sha2("query", 256).alias("sha256"))
+    found = diff.realigned_pairs(_neighbours(spark, d), keep=("reference",))
+    total = F.aggregate("differences", F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.length(x["ref_bases"]), F.length(x["qry_bases"])))
+    return align.rebuilt_pairs(found).select("doc_id", total.alias("edit_distance"), F.sha2("query", 256).alias("sha256"))
 
 
 def alignment(spark, d):
