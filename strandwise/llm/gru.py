@@ -83,46 +83,46 @@ class Windows:
     state goes on. first: the input of a text's first step. longest: where few lanes are left, windows take more steps, up to
     this many, so that they hold about width * steps tokens as before.
 
-    Windows are made as they are asked for and hold the live lanes only: memory doesn't depend on the longest text.
+    Windows are made as they are asked for and hold the live lanes only; besides them there is one copy of the texts, lane after lane.
     """
 
     def __init__(self, texts: list[np.ndarray], width: int, steps: int, first: int, longest: int | None = None):
-        self.texts, self.first = texts, first
+        self.first = first
         # no more lanes than keep busy as long as the longest text takes
-        lengths = [len(t) for t in texts]
-        self.dealt = lanes(texts, min(width, max(FEWEST, sum(lengths) // max(1, max(lengths, default=1)))))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.dealt = lanes(texts, min(width, max(FEWEST, int(lengths.sum()) // max(1, int(lengths.max(initial=0))))))
         self.steps, self.full, self.longest = steps, width * steps, longest or steps
-        self.lengths = [sum(len(texts[i]) for i in lane) for lane in self.dealt]
+        # lane after lane: its texts, where each begins, and which it is
+        self.order = np.array([i for lane in self.dealt for i in lane if lengths[i]], np.int32)
+        self.stream = np.concatenate([np.zeros(0, np.int32), *(texts[i] for i in self.order)]).astype(np.int32, copy=False)
+        self.starts = np.cumsum(lengths[self.order]) - lengths[self.order]
+        self.begins = np.zeros(len(self.stream), bool)
+        self.begins[self.starts] = True
+        self.lengths = [int(lengths[lane].sum()) for lane in self.dealt]
 
     def __iter__(self):
         t, live = 0, len(self.dealt)
-        place = [(0, 0)] * live  # text of the lane, and place in it
-        last = [self.first] * live
-        while live and self.lengths[live - 1] <= t:
+        length = np.array(self.lengths, np.int64)
+        offset = np.cumsum(length) - length
+        full = self.lengths
+        while live and full[live - 1] <= t:
             live -= 1
         while live:
             n = max(self.steps, min(self.longest, self.full // live))
-            x, y, doc = np.zeros((n, live), np.int32), np.zeros((n, live), np.int32), np.full((n, live), -1, np.int32)
-            begin = np.zeros((n, live), bool)
-            for k in range(live):
-                at, (j, start) = 0, place[k]
-                lane = self.dealt[k]
-                while at < n and j < len(lane):
-                    text = self.texts[lane[j]]
-                    m = min(n - at, len(text) - start)
-                    y[at : at + m, k] = text[start : start + m]
-                    doc[at : at + m, k] = lane[j]
-                    x[at, k] = last[k] if start else self.first
-                    x[at + 1 : at + m, k] = text[start : start + m - 1]
-                    begin[at, k] = not start
-                    last[k] = text[start + m - 1]
-                    at, start = at + m, start + m
-                    if start == len(text):
-                        j, start = j + 1, 0
-                place[k] = (j, start)
+            step = np.arange(t, t + n)[:, None]
+            ended = step >= length[:live]
+            at = np.where(ended, 0, offset[:live] + step)
+            y, begin = self.stream[at], self.begins[at]
+            x = np.where(begin, np.int32(self.first), self.stream[at - 1])
+            begin[ended] = False
+            # the text of a lane's first step, and one more at each later begin
+            rank = np.searchsorted(self.starts, at[0], "right") - 1 - begin[0]
+            doc = self.order[rank + np.cumsum(begin, 0)]
+            for v, none in ((x, 0), (y, 0), (doc, -1)):
+                v[ended] = none
             t += n
             yield x, y, begin, doc
-            while live and self.lengths[live - 1] <= t:
+            while live and full[live - 1] <= t:
                 live -= 1
 
 
@@ -224,14 +224,14 @@ class Model:
         back = []
         # below the states' weights the biases, where a state has its one; the candidate's own bias goes with the input
         across = np.ascontiguousarray(np.vstack([p["U"], np.concatenate([p["b"][: 2 * n], p["bn"]])]).T)
-        bias = np.zeros((3 * n, 1), np.float32)
-        bias[2 * n :, 0] = p["b"][2 * n :]
+        bias = p["b"][2 * n :, None]
         last = np.zeros((n, wide), np.float32)
         last[:, :lanes] = h
         for t in range(len(x)):
             g, u, q, before = (v[t if keep else 0] for v in (gs, us, qs, befores))
             h = np.multiply(last, going[t], out=before[:n])
-            np.add(p["E"].take(x[t], 0).T, bias, out=g[:, :lanes])
+            np.copyto(g[:, :lanes], p["E"].take(x[t], 0).T)
+            g[2 * n :] += bias
             np.matmul(across, before, out=u)
             # a gate is (1 + v / (1 + |v|)) / 2 = 1 / 2 + v / (2 + 2 |v|), and its slope 2 / (2 + 2 |v|)^2
             zr, y = g[: 2 * n], q[: 2 * n]
@@ -376,8 +376,8 @@ class Model:
             for k, g in grads.items():
                 flat = g.reshape(-1)
                 p, m, v = self.p[k].reshape(-1), adam[k, 0], adam[k, 1]
-                for s in range(0, len(flat), 1 << 13):
-                    part = slice(s, s + (1 << 13))
+                for s in range(0, len(flat), 1 << 14):
+                    part = slice(s, s + (1 << 14))
                     a, b, c = flat[part], m[part], v[part]
                     a *= scale
                     b *= np.float32(0.9)

@@ -224,10 +224,13 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
                 spelled = out >= coder.spelled
                 # the word within its spelling class, by counts; rare words' own counts are joined later
                 inner = np.where(spelled, log_count - log_mass[np.maximum(out - coder.spelled, 0)], 0.0)
-                score = model.score(np.split(out, stops[:-1]), *SCORE, coder.first) / np.log(10) + np.add.reduceat(inner, starts)
+                # only sums by text are kept while the model runs
+                n_known, base, inner = np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(log_count, starts), np.add.reduceat(inner, starts)
+                del places, known, log_count, spelled
+                score = model.score(np.split(out, stops[:-1]), *SCORE, coder.first) / np.log(10) + inner
                 rare = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), others)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(2), pa.array(stops - starts), pa.array(np.add.reduceat(known, starts).astype(np.int64)), pa.array(np.add.reduceat(log_count, starts)), pa.array(score), rare],
+                    [pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(2), pa.array(stops - starts), pa.array(n_known), pa.array(base), pa.array(score), rare],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
                 )
                 row += part.num_rows
