@@ -138,14 +138,8 @@ class _Chooser:
     The layer's weights with the bias below them are kept as _exp takes them, times _SLOPE; rows of states have a one at the end.
     """
 
-    def __init__(self, weight: np.ndarray, bias: np.ndarray, learn: bool):
-        self.scaled = np.empty((len(weight) + 1, len(bias)), np.float32)
-        self.scaled[:-1], self.scaled[-1] = weight, bias
-        self.scaled *= _SLOPE
-        # states lie between -1 and 1, so most layers can't reach what _exp cuts off
-        self.within = bool(np.abs(self.scaled).sum(0).max() < _MOST)
-        self.ones = np.ones(len(bias), np.float32)
-        self.grad = np.zeros_like(self.scaled) if learn else None
+    def __init__(self, scaled: np.ndarray, within: bool, ones: np.ndarray, grad: np.ndarray | None):
+        self.scaled, self.within, self.ones, self.grad = scaled, within, ones, grad
 
     def choose(self, rows: np.ndarray, chosen: np.ndarray, logp: np.ndarray, dh: np.ndarray | None) -> None:
         """Fills logp of the chosen columns, and the gradients of the states times ln 2 * _SLOPE."""
@@ -168,29 +162,42 @@ class _Chooser:
                 own = e.reshape(-1)[at] / picked
                 e *= (1 / total)[:, None]
                 e.reshape(-1)[at] -= own
-                self.grad += h.T @ e
+                self.grad += e.T @ h
                 np.matmul(e, self.scaled[:-1].T, out=dh[s : s + _PIECE])
 
 
+def _choosers(weights: np.ndarray, biases: np.ndarray, learn: bool) -> list[_Chooser]:
+    """Choosers of layers of one size."""
+    layers, n, width = weights.shape
+    scaled = np.empty((layers, n + 1, width), np.float32)
+    scaled[:, :-1], scaled[:, -1] = weights, biases
+    scaled *= _SLOPE
+    # states lie between -1 and 1, so most layers can't reach what _exp cuts off
+    within = bool(np.abs(scaled).sum(1).max() < _MOST)
+    ones, grad = np.ones(width, np.float32), np.zeros((layers, width, n + 1), np.float32) if learn else None
+    return [_Chooser(w, within, ones, grad[k] if learn else None) for k, w in enumerate(scaled)]
+
+
 #: What _Chooser leaves out of its gradients: that of the layer, and that of the states.
 _LAYER, _STATE = np.float32(1 / np.log(2)), np.float32(1 / 2**23)
 
 
 def _sums(rows: np.ndarray, ids: np.ndarray, into: np.ndarray) -> None:
-    """Adds the rows up by ids: in each round an id's odd row goes to its sum, and its other rows are added in pairs."""
-    place = np.argsort(ids.astype(np.int16) if len(into) < 1 << 15 else ids, kind="stable")
+    """Adds the rows up by ids, in each block if there are more: in each round an id's odd row goes to its sum, and its other rows
+    are added in pairs."""
+    place = np.argsort(ids.astype(np.int16) if into.shape[-2] < 1 << 15 else ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[place], prepend=-1))
     names, size = ids[place[first]], np.diff(first, append=len(ids))
     while len(names):
         odd = size % 2 == 1
-        into[names[odd]] += rows[place[(first + size - 1)[odd]]]
+        into[..., names[odd], :] += rows.take(place[(first + size - 1)[odd]], -2)
         keep = np.ones(len(place), bool)
         keep[(first + size - 1)[odd]] = False
         place = place[keep]
-        rows = rows.take(place[::2], 0) + rows.take(place[1::2], 0)
+        rows = rows.take(place[::2], -2) + rows.take(place[1::2], -2)
         size = size // 2
         names, size = names[size > 0], size[size > 0]
-        first, place = np.cumsum(size) - size, np.arange(len(rows))
+        first, place = np.cumsum(size) - size, np.arange(rows.shape[-2])
 
 
 class Model:
@@ -208,60 +215,60 @@ class Model:
             self.rooms[name] = np.zeros(size, np.float32)
         return self.rooms[name][:size].reshape(shape)
 
-    def forward(self, x: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool):
-        """States (hidden + 1 x lanes, the last row ones) after each step, and what the way back needs. Gates stand above each other,
-        so that each is a whole block of memory; lanes that are a multiple of 64 have some empty ones beside them, as rows at such
-        distances share places of a cache. What is returned is overwritten by the next window."""
+    def table(self, names: np.ndarray | None = None) -> np.ndarray:
+        """What inputs (names, or all) give to each gate, biases included: gates x inputs x hidden."""
+        p, n = self.p, self.hidden
+        rows = (p["E"] if names is None else p["E"].take(names, 0)).reshape(-1, 3, n)
+        return np.add(rows.swapaxes(0, 1), p["b"].reshape(3, 1, n), self._room("table", 3, len(rows), n))
+
+    def forward(self, x: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool, table: np.ndarray):
+        """x: places in the table. States (lanes x hidden) before the first step (h, turned) and after each, and what the way back needs. Each gate is a block
+        of memory in the order of the states, so nothing is turned. What is returned is overwritten by the next window.
+
+        Where lanes are few the calls of a step take longer than its sums: the parts of all steps are made beforehand, and states
+        are copied only where a text begins."""
         p, n, lanes = self.p, self.hidden, x.shape[1]
-        wide = lanes + 16 * (lanes % 64 == 0)
         stay = len(x) if keep else 1
-        hs, gs, us, qs, befores = (self._room(k, m, r * n + (k in "hb"), wide) for k, m, r in (("h", len(x), 1), ("g", stay, 3), ("u", stay, 3), ("q", stay, 3), ("b", stay, 1)))
-        hs[:, n] = 1
-        befores[:, n] = 1
-        gs[:, :, lanes:] = 0
-        going = np.zeros((len(x), wide), np.float32)
-        going[:, :lanes] = ~begin
-        back = []
-        # below the states' weights the biases, where a state has its one; the candidate's own bias goes with the input
-        across = np.ascontiguousarray(np.vstack([p["U"], np.concatenate([p["b"][: 2 * n], p["bn"]])]).T)
-        bias = p["b"][2 * n :, None]
-        last = np.zeros((n, wide), np.float32)
-        last[:, :lanes] = h
-        for t in range(len(x)):
-            g, u, q, before = (v[t if keep else 0] for v in (gs, us, qs, befores))
-            h = np.multiply(last, going[t], out=before[:n])
-            np.copyto(g[:, :lanes], p["E"].take(x[t], 0).T)
-            g[2 * n :] += bias
-            np.matmul(across, before, out=u)
+        states, none = self._room("h", len(x) + 1, lanes, n), self._room("none", lanes, n)
+        gs, us, qs = (self._room(k, stay, 3, lanes, n) for k in "guq")
+        states[0] = h.T
+        starts = [np.flatnonzero(v) if some else None for v, some in zip(begin, begin.any(1).tolist(), strict=True)]
+        across = np.ascontiguousarray(p["U"].reshape(n, 3, n).swapaxes(0, 1))
+        parts = (gs, us, gs[:, :2], us[:, :2], qs[:, :2], gs[:, 0], gs[:, 1], gs[:, 2], us[:, 0], us[:, 2], qs[:, 2])
+        steps = zip(*(list(v) * (1 if keep else len(x)) for v in parts), strict=True)
+        # numbers of an array's kind, as others are looked at in each call
+        half, one, bias, take = np.float32(0.5), np.float32(1), p["bn"], table.take
+        for i, start, before, last, (g, u, zr, uzr, y, z, r, c, w, m, q) in zip(x, starts, states[:-1], states[1:], steps, strict=True):
+            if start is not None:
+                np.copyto(none, before)
+                none[start] = 0
+                before = none
+            take(i, 1, g, "clip")
+            np.matmul(before, across, u)
             # a gate is (1 + v / (1 + |v|)) / 2 = 1 / 2 + v / (2 + 2 |v|), and its slope 2 / (2 + 2 |v|)^2
-            zr, y = g[: 2 * n], q[: 2 * n]
-            zr += u[: 2 * n]
-            np.abs(zr, out=y)
-            y += 1
-            np.divide(np.float32(0.5), y, out=y)
-            zr *= y
-            zr += np.float32(0.5)
-            z, r, c, w = zr[:n], zr[n:], g[2 * n :], u[:n]
-            m, y = u[2 * n :], q[2 * n :]
-            np.multiply(r, m, out=w)
-            c += w
-            np.abs(c, out=y)
-            y += 1
-            np.divide(np.float32(1), y, out=y)
-            c *= y
+            np.add(zr, uzr, zr)
+            np.abs(zr, y)
+            np.add(y, one, y)
+            np.divide(half, y, y)
+            np.multiply(zr, y, zr)
+            np.add(zr, half, zr)
+            np.add(m, bias, m)
+            np.multiply(r, m, w)
+            np.add(c, w, c)
+            np.abs(c, q)
+            np.add(q, one, q)
+            np.divide(one, q, q)
+            np.multiply(c, q, c)
             # the new state: c + z (h - c)
-            np.subtract(h, c, out=w)
-            last = hs[t, :n]
-            np.multiply(w, z, out=last)
-            last += c
-            if keep:
-                back.append((before, z, r, m, w, q, going[t]))
-        return hs, back
+            np.subtract(before, c, w)
+            np.multiply(w, z, last)
+            np.add(last, c, last)
+        return states, (gs, us, qs, starts)
 
     def layers(self, learn: bool) -> list[_Chooser]:
         """The classes' layer and those of the words of each class, as the parameters are now."""
         p = self.p
-        return [_Chooser(p["C"], p["cb"], learn), *(_Chooser(w, b, learn) for w, b in zip(p["O"], p["ob"], strict=True))]
+        return [*_choosers(p["C"][None], p["cb"][None], learn), *_choosers(p["O"], p["ob"], learn)]
 
     def output(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None, layers: list[_Chooser] | None = None):
         """Natural log probability of each output (rows) given its state; with grads, also the states' gradients of the loss."""
@@ -285,72 +292,87 @@ class Model:
         if learn:
             dh[inner] += back
             dh *= _STATE
-            grads["C"] += layers[0].grad[:-1] * _LAYER
-            grads["cb"] += layers[0].grad[-1] * _LAYER
-            for c, layer in enumerate(layers[1:]):
-                grads["O"][c] += layer.grad[:-1] * _LAYER
-                grads["ob"][c] += layer.grad[-1] * _LAYER
+            for layer, weight, bias in zip(layers, [grads["C"], *grads["O"]], [grads["cb"], *grads["ob"]], strict=True):
+                np.multiply(layer.grad[:, :-1].T, _LAYER, weight)
+                np.multiply(layer.grad[:, -1], _LAYER, bias)
         return logp, dh
 
     def gradients(self, x, y, begin, valid, h):
         """Gradients of the mean loss of a window (backpropagation stops at its begin), the loss and the last state."""
-        grads, loss, count, h = self._sums(x, y, begin, valid, h)
+        grads, names, loss, count, h = self._sums(x, y, begin, valid, h)
+        some, grads["E"] = grads["E"], np.zeros_like(self.p["E"])
+        grads["E"][names] = some
         for g in grads.values():
             g /= count
         return grads, loss, count, h
 
     def _sums(self, x, y, begin, valid, h):
-        """gradients, but not yet divided by the number of tokens."""
-        p, n, lanes = self.p, self.hidden, x.shape[1]
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        hs, back = self.forward(x, begin, h, True)
-        wide = hs.shape[2]
+        """gradients, but not yet divided by the number of tokens, and of the inputs only those of the window (names)."""
+        p, n = self.p, self.hidden
+        names = np.flatnonzero(np.bincount(x.ravel(), minlength=len(p["E"])))
+        place = np.empty(len(p["E"]), np.int32)
+        place[names] = np.arange(len(names))
+        x = place[x]
+        grads = {k: np.zeros((len(names), *v.shape[1:]), np.float32) if k == "E" else np.empty_like(v) for k, v in p.items()}
+        states, back = self.forward(x, begin, h, True, self.table(names))
         at = np.flatnonzero(valid.ravel())
-        rows = self._rows(hs, lanes)
+        rows = self._rows(states)
         if len(at) == x.size:
             logp, dhs = self.output(rows, y.ravel(), grads)
         else:
             dhs = np.zeros((x.size, n), np.float32)
             logp, dhs[at] = self.output(rows[at], y.ravel()[at], grads)
-        count = max(1, len(at))
-        dhs = dhs.reshape(*x.shape, n)
-        # slopes of the gates' sums: of the candidate as the state gives it, of both gates, of the candidate as the input gives it
-        d = np.empty((4 * n, wide), np.float32)
-        du, dz, dr, dc = (d[k * n : (k + 1) * n] for k in range(4))
-        across = np.concatenate([p["U"][:, 2 * n :], p["U"][:, : 2 * n]], 1)
-        given = self._room("given", *x.shape, 3 * n)
-        sums = np.zeros((n + 1, 4 * n), np.float32)
-        dh, w = np.zeros((n, wide), np.float32), np.empty((n, wide), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, m, apart, q, going = back[t]
-            dh[:, :lanes] += dhs[t].T
-            q *= q
-            q[: 2 * n] *= 2
-            np.subtract(1, z, out=dc)
-            dc *= dh
-            dc *= q[2 * n :]
-            np.multiply(dc, r, out=du)
-            np.multiply(dh, apart, out=dz)
-            np.multiply(dc, m, out=dr)
-            d[n : 3 * n] *= q[: 2 * n]
-            sums += before @ d.T
-            given[t] = d[n:, :lanes].T
-            dh *= z
-            np.matmul(across, d[: 3 * n], out=w)
-            dh += w
-            dh *= going
-        grads["U"] += np.concatenate([sums[:n, n : 3 * n], sums[:n, :n]], 1)
-        grads["bn"] += sums[n, :n]
-        grads["b"] += sums[n, n:]
+        count, h = max(1, len(at)), states[-1].T.copy()
+        given = self._backward(dhs.reshape(*x.shape, n), *back).reshape(4, -1, n)
+        # what each step began with: nothing where a text begins
+        before = states[:-1]
+        before[begin] = 0
+        c, z, r = np.matmul(before.reshape(-1, n).T, given[:3])
+        np.concatenate([2 * z, 2 * r, c], 1, grads["U"])
+        sums = np.matmul(np.ones(x.size, np.float32), given)
+        sums[1:3] *= 2
+        grads["bn"][:], grads["b"][:] = sums[0], sums[1:].ravel()
         # invalid steps have no gradient: zeros may meet any input
-        _sums(given.reshape(-1, 3 * n), x.ravel(), grads["E"])
-        return grads, -float(logp.sum()), count, hs[-1, :n, :lanes].copy()
-
-    def _rows(self, hs: np.ndarray, lanes: int) -> np.ndarray:
-        """The states as rows, a lane after the other."""
-        rows = self._room("rows", len(hs), lanes, hs.shape[1])
-        np.copyto(rows, hs[:, :, :lanes].transpose(0, 2, 1))
-        return rows.reshape(-1, hs.shape[1])
+        gates = np.zeros((3, len(names), n), np.float32)
+        _sums(given[1:], x.ravel(), gates)
+        gates[:2] *= 2
+        grads["E"].reshape(-1, 3, n)[:] = gates.swapaxes(0, 1)
+        return grads, names, -float(logp.sum()), count, h
+
+    def _backward(self, dhs: np.ndarray, gs: np.ndarray, us: np.ndarray, qs: np.ndarray, starts: list) -> np.ndarray:
+        """Gradients by step, lane and unit: of the candidate as the state gives it, half of those of both gates, of the candidate as
+        the input gives it. dhs: those of the states by themselves."""
+        p, n = self.p, self.hidden
+        given = self._room("given", 4, *dhs.shape)
+        turned = p["U"].reshape(n, 3, n).transpose(1, 2, 0)
+        across = np.stack([turned[2], 2 * turned[0], 2 * turned[1]])
+        dh, w, one = np.zeros(dhs.shape[1:], np.float32), np.empty((3, *dhs.shape[1:]), np.float32), np.float32(1)
+        w0, w1, w2 = w
+        parts = (dhs, gs[:, 0], gs[:, 1], us[:, 2], us[:, 0], qs, qs[:, :2], qs[:, 2], given[:3].swapaxes(0, 1), given[1:3].swapaxes(0, 1), *given)
+        for start, (own, z, r, m, apart, q, qzr, qc, d, dzr, du, dz, dr, dc) in zip(reversed(starts), zip(*(v[::-1] for v in parts), strict=True), strict=True):
+            np.add(dh, own, dh)
+            np.multiply(q, q, q)
+            np.subtract(one, z, dc)
+            np.multiply(dc, dh, dc)
+            np.multiply(dc, qc, dc)
+            np.multiply(dc, r, du)
+            np.multiply(dh, apart, dz)
+            np.multiply(dc, m, dr)
+            np.multiply(dzr, qzr, dzr)
+            np.multiply(dh, z, dh)
+            np.matmul(d, across, w)
+            np.add(dh, w0, dh)
+            np.add(dh, w1, dh)
+            np.add(dh, w2, dh)
+            if start is not None:
+                dh[start] = 0
+        return given
+
+    def _rows(self, states: np.ndarray) -> np.ndarray:
+        """The states after each step, a lane after the other, with ones at their ends."""
+        rows = self._room("rows", len(states) - 1, states.shape[1], self.hidden + 1)
+        rows[..., :-1], rows[..., -1] = states[1:], 1
+        return rows.reshape(-1, self.hidden + 1)
 
     def train(self, windows: Windows, adam: dict, rate: float, full: int) -> int:
         """One pass over the windows with Adam, gradients clipped by norm; returns the number of tokens.
@@ -360,11 +382,11 @@ class Model:
         seen = 0
         h = np.zeros((self.hidden, 0), np.float32)
         if not adam:
-            adam |= {"t": 0} | {(k, i): np.zeros(v.size, np.float32) for k, v in self.p.items() for i in range(2)}
+            adam |= {"t": 0} | {(k, i): np.zeros_like(v) for k, v in self.p.items() for i in range(2)}
             self.p = {k: v.copy() for k, v in self.p.items()}
         for x, y, begin, doc in windows:
             h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
-            grads, _, count, h = self._sums(x, y, begin, doc >= 0, h)
+            grads, names, _, count, h = self._sums(x, y, begin, doc >= 0, h)
             seen += count
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / count
             scale = np.float32(1 / (count * max(1.0, norm)))
@@ -374,8 +396,10 @@ class Model:
             step = np.float32(rate * min(1.0, count / full) * np.sqrt(fix2) / fix1)
             least = np.float32(1e-5 * np.sqrt(fix2))
             for k, g in grads.items():
-                flat = g.reshape(-1)
-                p, m, v = self.p[k].reshape(-1), adam[k, 0], adam[k, 1]
+                # inputs that the window lacks stay as they are, and so do their means
+                own = [self.p[k], adam[k, 0], adam[k, 1]]
+                parts = [v.take(names, 0) for v in own] if k == "E" else own
+                flat, (p, m, v) = g.reshape(-1), (v.reshape(-1) for v in parts)
                 for s in range(0, len(flat), 1 << 14):
                     part = slice(s, s + (1 << 14))
                     a, b, c = flat[part], m[part], v[part]
@@ -390,18 +414,21 @@ class Model:
                     np.divide(b, a, out=a)
                     a *= step
                     p[part] -= a
+                if k == "E":
+                    for v, some in zip(own, parts, strict=True):
+                        v[names] = some
         return seen
 
     def score(self, texts: list[np.ndarray], width: int, steps: int, first: int) -> np.ndarray:
         """Natural log probability of each whole text, its windows joined by the carried state."""
         out = np.zeros(len(texts))
         h = np.zeros((self.hidden, 0), np.float32)
-        layers = self.layers(False)
+        layers, table = self.layers(False), self.table()
         for x, y, begin, doc in Windows(texts, width, steps, first, 8 * steps):
             h = np.zeros((self.hidden, x.shape[1]), np.float32) if not h.shape[1] else h[:, : x.shape[1]]
-            hs, _ = self.forward(x, begin, h, False)
-            h = hs[-1, : self.hidden, : x.shape[1]].copy()
+            states, _ = self.forward(x, begin, h, False, table)
+            rows, h = self._rows(states), states[-1].T.copy()
             at = np.flatnonzero(doc.ravel() >= 0)
-            logp, _ = self.output(self._rows(hs, x.shape[1])[at], y.ravel()[at], layers=layers)
+            logp, _ = self.output(rows if len(at) == len(rows) else rows[at], y.ravel()[at], layers=layers)
             out += np.bincount(doc.ravel()[at], logp, minlength=len(texts))
         return out

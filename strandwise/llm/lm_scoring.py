@@ -131,12 +131,15 @@ class Coder:
 def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.ndarray:
     """Parameters after len(RATES) passes, each over its own part of the texts by `key`, so that every text is used once.
 
+    A pass has one text in len(RATES), and its tasks are fewer by as much: each holds about as many texts as a partition of the input.
     In a pass each task trains on its rows from the pass's first parameters; the new ones are the means, weighted by tokens.
     Sums of whole numbers make them the same whatever order tasks end in; they do depend on which rows share a task. Sums go
     through FIRST partial ones a block, so no task reads them from all tasks. What comes to the driver is one set of parameters.
     """
     params = gru.flatten(coder.start(mass))
     known = texts.sparkSession.sparkContext.broadcast(coder)
+    last = texts.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0
+    tasks = -(-(last + 1) // len(RATES))
     for r, rate in enumerate(RATES):
         frozen = params
 
@@ -162,7 +165,7 @@ def fit(texts: DataFrame, coder: Coder, mass: np.ndarray, key: Column) -> np.nda
             return pa.table({"block": t.column("block")[:1], "first": t.column("first")[:1], "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "value": pa.array([total.tobytes()], pa.binary())})
 
         schema = "block int, first int, seen long, value binary"
-        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").mapInArrow(run, schema)
+        part = texts.filter(F.pmod(key, F.lit(len(RATES))) == r).select("text").coalesce(tasks).mapInArrow(run, schema)
         sums = part.groupBy("block", "first").applyInArrow(add, schema)
         got = sums.groupBy("block").applyInArrow(add, schema).collect()
         if got:
@@ -238,7 +241,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     kind = dict(rows.dtypes)["doc_id"]
     scored, _ = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"))
     pairs = scored.select("row", F.explode("rare").alias("word"))
-    more = pairs.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
+    # no word is frequent here, so partitions are even and counts need no sorting
+    more = pairs.join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
     out = scored.drop("rare").join(more, "row", "left")
     extra = F.coalesce("more", F.lit(0.0))
     return out.select(
